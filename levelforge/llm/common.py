@@ -74,3 +74,71 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random_words(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random 64-bit values."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed))
+
+
+def file_system(uri: str):
+    """The file system and path behind a folder that ``shared_dir`` gave; opened inside tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """Write one file under its own name. Names are never reused, so a repeated task leaves an orphan, no clash."""
+    system, path = file_system(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{name}") as f:
+        f.write(data)
+
+
+def read_file(folder: str, name: str) -> bytes:
+    system, path = file_system(folder)
+    with system.open_input_stream(f"{path}/{name}") as f:
+        return f.read()
+
+
+def id_values(column: pa.Array) -> np.ndarray:
+    """Ids as int64; null takes ``NULL_ID``."""
+    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
+def id_array(values: np.ndarray) -> pa.Array:
+    """The inverse of ``id_values``."""
+    return pa.array(values, pa.int64(), mask=values == NULL_ID)
+
+
+def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b), both long: the smallest node reachable.
+
+    Alternates two steps, each one grouping and one join: every node hands its
+    smallest known neighbour to its larger neighbours, then to its smaller ones.
+    Edges become stars around the smallest node in a logarithmic number of
+    rounds; the written edges are the only state, so lost executors cost a
+    reread. Minima are combined before the shuffle, and the join on a hub is
+    one the adaptive planner can split.
+    """
+    from pyspark.sql import functions as F
+
+    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    nodes = e.select("a").union(e.select("b")).distinct()
+    before = None
+    for _ in range(most_rounds):
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        big = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = big.where("a <> b").distinct()
+        low = e.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        small = e.join(low, F.col("a") == F.col("n"))
+        e = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    low = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    return nodes.withColumnRenamed("a", "node").join(low, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

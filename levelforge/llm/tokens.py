@@ -138,3 +138,13 @@ class PieceEncoder:
             bounds = np.concatenate([[0], np.cumsum(count)])
             ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype(np.uint32)
             yield first, ids, bounds + np.arange(len(bounds))
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """One encoder for each vocabulary and worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
