@@ -13,3 +13,28 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN first_page END AS refers_to
 FROM f
 """
+
+#: Measures, base rules and line frequency of the quality rules over ``documents``; ``{source}`` is the table.
+QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM {source}),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(words[i:i+7], ' ') AS s FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w WHERE len(words) >= 8)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n >= 2),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS j FROM twice) GROUP BY rid),
+m AS (
+  SELECT w.*, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (rid)
+),
+l AS (SELECT rid, source, text, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, source, text, unnest(lines) AS x FROM m)),
+seen AS (SELECT source, array_to_string(lw, ' ') AS line, count(DISTINCT text) AS n FROM l GROUP BY ALL HAVING count(DISTINCT text) >= 10),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+freq AS (SELECT seen.source, line FROM seen JOIN hosts ON seen.source IS NOT DISTINCT FROM hosts.source WHERE 100 * n > 5 * docs),
+gone AS (SELECT rid, sum(len(lw)) AS n FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND array_to_string(lw, ' ') = line GROUP BY rid),
+v AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words FROM m LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR 100 * (n_words - removed_words) < 30 * n_words)) AS kept
+FROM v
+"""
+ORACLES["op10_quality_rules"] = QUALITY.format(source="documents")
