@@ -159,3 +159,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     good = back.where("one AND values_there = values_here")
     out = good.select("doc_id", "item_id", "n_windows", "own", F.explode("ats").alias("at")).groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("at").alias("n_matched"), F.max("own").alias("own"))
     return out.where(100 * F.col("n_matched") >= coverage_percent * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_matched", F.when(F.col("own"), "verbatim").otherwise("reparameterised").alias("kind"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item."""
+    key = F.xxhash64("doc_id", "text")
+    bad = materialise(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key__")).distinct())
+    return docs.join(bad, key == F.col("key__"), "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, connected_components, materialise, text_slices, utf8_arrays
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -73,19 +73,19 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 3
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, most_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, fp) of whole texts; A-Z are lower-cased, a text with fewer words is one shingle, without words it is 0.
+    """(doc_id, text_hash, fp) of whole texts; A-Z are lower-cased, a text with fewer words is one shingle, without words it is 0.
 
     Null texts are empty; null and repeated doc_ids stay rows of their own.
     """
 
     def run(batches):
         for batch in batches:
-            raw, offsets = utf8_arrays(batch.column(1))
+            raw, offsets = utf8_arrays(batch.column(2))
             for first, last in text_slices(offsets, most_bytes):
                 fp = fingerprints_of(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle_words)
-                yield batch_of(FINGERPRINTS, batch.column(0).slice(first, last - first), fp.view(np.int64))
+                yield batch_of(FINGERPRINTS, *(batch.column(i).slice(first, last - first) for i in range(2)), fp.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _distance(x: np.ndarray, v) -> np.ndarray:
@@ -230,15 +230,29 @@ def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents linked at ``radius`` or fewer differing bits.
+    """(doc_id, fingerprint, component_id, group, text_hash): documents linked at ``radius`` or fewer differing bits.
 
     component_id is the smallest doc_id reachable; a component of null ids only
-    has null. An empty table gives an empty result.
+    has null. group is the component's smallest fingerprint (as a signed
+    integer). An empty table gives an empty result.
     """
     fp = materialise(fingerprints(docs, shingle_words))
     points = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     component = materialise(connected_components(near_links(points, radius)))
     group = points.join(component, points.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = group.groupBy("group").agg(F.min("least").alias("component_id"))
-    found = group.join(least, "group").select(F.col("fp").alias("point"), "component_id")
-    return fp.join(found, F.col("fp") == F.col("point")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = group.join(least, "group").select(F.col("fp").alias("point"), "component_id", "group")
+    return fp.join(found, F.col("fp") == F.col("point")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, ties by text."""
+    rows = materialise(simhash_components(docs, shingle_words, radius))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = rows.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("of"), "best")
+    drop = rows.join(best, F.col("group") == F.col("of")).where(key != F.col("best")).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).distinct()
+    twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
+    same = F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("hash__"))
+    kept = materialise(docs.join(drop, same, "left_anti"))
+    # Only rows that are there more than once are grouped.
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

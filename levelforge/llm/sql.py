@@ -38,3 +38,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 ORACLES["op10_quality_rules"] = QUALITY.format(source="documents")
+
+ORACLES["op5_sharding"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), e AS (SELECT *, h >> (60 - depth) AS prefix FROM d, (SELECT unnest(generate_series(0, 60)) AS depth)),
+s AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes, min(h) AS a, max(h) AS b FROM e GROUP BY depth, prefix),
+f AS (SELECT e.rid, min(e.depth) AS depth FROM e JOIN s USING (depth, prefix) WHERE shard_bytes <= 1048576 OR a = b GROUP BY e.rid)
+SELECT e.doc_id, e.n_bytes, CAST(e.depth AS INTEGER) AS depth, e.prefix, CAST(0 AS BIGINT) AS page, CAST(s.shard_bytes AS BIGINT) AS shard_bytes
+FROM e JOIN f USING (rid, depth) JOIN s USING (depth, prefix)
+"""

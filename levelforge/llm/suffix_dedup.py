@@ -380,3 +380,13 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     joined = joined.join(second.withColumnRenamed("answers", "more").hint("shuffle_hash"), "block", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string, carry string" if with_text else "")
     return joined.select(*columns, "answers", "more", *(["carry"] if with_text else [])).mapInArrow(finish, schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeats cut from the texts (n_chars follows); every row stays, other columns as they are."""
+    out = drop_repeats(docs, with_text=True)
+    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text", "n_chars")]
+    if rest:
+        out = out.withColumn("carry", F.from_json("carry", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(columns.get(f.name, F.col(f"carry.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
