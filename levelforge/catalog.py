@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .plans import frames, registry, relations, series, tracks
+from .plans.frames import flagship
+
+MODULES = [frames, series, relations, tracks]
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]

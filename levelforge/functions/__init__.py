@@ -1 +1 @@
-
+"""Column functions: levels, guards, text."""
