@@ -50,7 +50,7 @@ def compare(sources: DataFrame, processed: DataFrame, delays: DataFrame | None =
 def _tiled(spark, sf_dir) -> DataFrame:
     """Frames as tracks: both sides repeated to half a second at 48 kHz."""
     tile = lambda x: F.flatten(F.array_repeat(x, 750))
-    return frames(spark, sf_dir).select(F.col("vec_id").cast("string").alias("track_id"), F.lit(48_000).alias("sample_rate"), F.array(tile("l"), tile("r")).alias("channels"))
+    return frames(spark, sf_dir).repartition("vec_id").select(F.col("vec_id").cast("string").alias("track_id"), F.lit(48_000).alias("sample_rate"), F.array(tile("l"), tile("r")).alias("channels"))
 
 
 @query()
