@@ -22,13 +22,14 @@ _MARK = "\x00"
 #: How byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _AS_BYTES = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
+_SPACE = chr(_AS_BYTES[0x20])
 _PROBES = ["Word", " Thelonginent", "éàß", " Übergrößen", " a", "ñandú"]
 
 
 class PieceEncoder:
     """Encodes Arrow string columns; holds at most ``most_pieces`` remembered pieces."""
 
-    def __init__(self, path: str, most_pieces: int = 500_000):
+    def __init__(self, path: str, most_pieces: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,10 +48,14 @@ class PieceEncoder:
 
     @staticmethod
     def _as_is(piece: str) -> str:
+        if piece.isascii():
+            return piece.replace(" ", _SPACE)
         return piece.encode().decode("latin-1").translate(_AS_BYTES)
 
     @staticmethod
     def _lowered(piece: str) -> str:
+        if piece.isascii():
+            return piece.strip(" ").lower()
         return piece.strip(" ").lower().encode().decode("latin-1").translate(_AS_BYTES)
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
