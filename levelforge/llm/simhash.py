@@ -210,7 +210,8 @@ def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_
     spark = points.sparkSession
     n = points.count()
     shards = int(min(max(8, n // points_per_shard), sample // 16))
-    some = points.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * n < 2 * sample * (1 << 30)
+    some = points.where(share).orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = spark.sparkContext.broadcast(fit_router(np.random.default_rng(7).permutation(np.sort(some)), shards))
 
     def deal(batches):
@@ -229,30 +230,124 @@ def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id, group, text_hash): documents linked at ``radius`` or fewer differing bits.
 
     component_id is the smallest doc_id reachable; a component of null ids only
     has null. group is the component's smallest fingerprint (as a signed
-    integer). An empty table gives an empty result.
+    integer). ``similarity`` adds the links of ``similar_links``. An empty table
+    gives an empty result.
     """
     fp = materialise(fingerprints(docs, shingle_words))
     points = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    component = materialise(connected_components(near_links(points, radius)))
+    links = near_links(points, radius)
+    if similarity is not None:
+        links = links.union(similar_links(docs, fp, similarity=similarity))
+    component = materialise(connected_components(links))
     group = points.join(component, points.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = group.groupBy("group").agg(F.min("least").alias("component_id"))
     found = group.join(least, "group").select(F.col("fp").alias("point"), "component_id", "group")
     return fp.join(found, F.col("fp") == F.col("point")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, nulls last, ties by text."""
-    rows = materialise(simhash_components(docs, shingle_words, radius))
+BANDS, BAND_SHINGLES = 12, 3
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every shingle, A-Z lower-cased; a shorter text is one shingle, one without words none."""
+    from .spans import SpanHasher, byte_hasher
+
+    starts, ends, doc = word_spans(raw, offsets)
+    n = np.bincount(doc, minlength=len(offsets) - 1)
+    first = np.cumsum(n) - n
+    last = (first + n)[doc]
+    head = np.flatnonzero((np.arange(len(doc)) + shingle_words <= last) | (np.arange(len(doc)) == first[doc]))
+    return doc[head], SpanHasher(byte_hasher(_LOWER[raw]).of(starts, ends)).of(head, np.minimum(head + shingle_words, last[head]))
+
+
+def bands_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles of each text, text, fingerprint) with a fingerprint for each band of a text that has a shingle.
+
+    A shingle's hash puts it in one of ``BANDS`` bands; the fingerprint is the
+    SimHash of the ``BAND_SHINGLES`` smallest of the band, so texts with most
+    shingles in common have some of them equal.
+    """
+    from .common import mix64
+
+    doc, h = shingle_hashes(raw, offsets, shingle_words)
+    band = (h >> np.uint64(32)) % np.uint64(BANDS)
+    key = np.unique(doc.astype(np.uint64) << np.uint64(44) | band << np.uint64(40) | h & np.uint64(0xFFFFFFFFFF))
+    n = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=len(offsets) - 1)
+    group = key >> np.uint64(40)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    value = mix64(key & np.uint64(0xFFFFFFFFFFF))
+    a, b, c = (value[np.minimum(first + k, len(key) - 1)] if len(key) else value for k in range(BAND_SHINGLES))
+    fp = np.where(size == 1, a, np.where(size == 2, a & b, a & b | b & c | a & c))
+    return n, (group[first] >> np.uint64(4)).astype(np.int64), mix64(fp ^ (group[first] & np.uint64(15)))
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 4 << 20) -> DataFrame:
+    """(a, b): fingerprints, from ``rows`` (doc_id, text_hash, fp), of texts with Jaccard similarity of shingle sets of at least ``similarity``.
+
+    Texts whose band fingerprints agree are candidates of three of their group:
+    that with the smallest doc_id (the one others are copies of, as a rule), and
+    those with the smallest and largest hash; never of each other in pairs. Each
+    candidate is verified on the whole shingle sets. Exact copies are one text.
+    """
+
+    def sketch(batches):
+        for batch in batches:
+            raw, offsets = utf8_arrays(batch.column(2))
+            for first, last in text_slices(offsets, most_bytes):
+                n, doc, fp = bands_of(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle_words)
+                at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=last - first))]).astype(np.int32))
+                yield batch_of(_SKETCH, *(batch.column(i).slice(first, last - first) for i in range(2)), n, pa.ListArray.from_arrays(at, pa.array(fp.view(np.int64))))
+
+    def sets(batches):
+        schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        for batch in batches:
+            raw, offsets = utf8_arrays(batch.column(1))
+            for i in range(batch.num_rows):
+                text = raw[offsets[i] : offsets[i + 1]]
+                _, h = shingle_hashes(text, np.array([0, len(text)]), shingle_words)
+                yield batch_of(schema, batch.column(0).slice(i, 1), [np.unique(h).view(np.int64)])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    sketches = plain.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, bands array<long>")
+    texts = materialise(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    each = texts.select("text_hash", "doc_id", "n", F.explode("bands").alias("band"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))["text_hash"]
+    ends = each.groupBy("band").agg(first.alias("first"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
+    met = each.join(ends, "band").select("text_hash", "n", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other"), "band").where("text_hash <> other")
+    pairs = met.groupBy(F.least("text_hash", "other").alias("x"), F.greatest("text_hash", "other").alias("y")).agg(F.countDistinct("band").alias("bands"), F.min("n").alias("n"))
+    # Of twelve bands two texts at the threshold share about half; one alone is chance, but for very short texts.
+    known = rows.groupBy("text_hash").agg(F.min("fp").alias("fp"))
+    of = lambda t: known.select(F.col("text_hash").alias(t), F.col("fp").alias(f"fp_{t}"))
+    pairs = materialise(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y"))
+    wanted = pairs.select(F.col("x").alias("text_hash")).union(pairs.select("y")).distinct().join(texts.select("text_hash", F.col("doc_id").alias("least")), "text_hash").withColumnRenamed("text_hash", "hash__")
+    some = plain.join(wanted, (F.col("text_hash") == F.col("hash__")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    shingles = materialise(some.select("text_hash", "text").mapInArrow(sets, "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
+    both = pairs.join(shingles.select(F.col("text_hash").alias("x"), F.col("shingles").alias("sx")), "x").join(shingles.select(F.col("text_hash").alias("y"), F.col("shingles").alias("sy")), "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    return both.where(common >= similarity * (F.size("sx") + F.size("sy") - common)).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, ties by text.
+
+    Linked are fingerprints of 3-word shingles within 2 bits, and texts whose
+    sets of 5-word shingles are similar to at least ``similarity``.
+    """
+    rows = materialise(simhash_components(docs, similarity=similarity))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     best = rows.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("of"), "best")
     drop = rows.join(best, F.col("group") == F.col("of")).where(key != F.col("best")).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).distinct()
-    twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
+    twice = materialise(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")))
     same = F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("hash__"))
-    kept = materialise(docs.join(drop, same, "left_anti"))
+    kept = docs.join(drop, same, "left_anti")
+    if not twice.head(1):
+        return kept
     # Only rows that are there more than once are grouped.
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
