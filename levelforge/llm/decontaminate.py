@@ -115,7 +115,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, at long, length int, h long, slots array<long>, n_windows long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT, most_broadcast_windows: int = 4_000_000, most_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT, most_broadcast_windows: int = 4_000_000, most_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, kind) of every document that holds an item.
 
     n_matched counts the item's windows that the document holds on consistent

@@ -42,7 +42,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ((three[keep] * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64), own[keep]
 
 
-def train(docs: DataFrame, most_bytes: int = 4 << 20) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, most_bytes: int = 1 << 20) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [feature, language]) from all rows of ``docs`` (text, lang) that have a language."""
     schema = pa.schema([("lang", pa.string()), ("counts", pa.list_(pa.int64()))])
 

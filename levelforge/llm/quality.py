@@ -71,7 +71,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray):
     return [n_words, count(in_word & ((raw & 0xC0) != 0x80)), count(_SYMBOL[raw]), dup, repeats], lines
 
 
-def _measured(docs: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+def _measured(docs: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     """A row for each document: doc_id, source, text hash, measures, and its distinct lines with their words in all."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), *((m, pa.int64()) for m in _MEASURES), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
 

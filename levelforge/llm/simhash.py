@@ -42,7 +42,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 3, most_shingles: int = 1 << 20) -> np.ndarray:
+def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 3, most_shingles: int = 1 << 17) -> np.ndarray:
     """The 64-bit fingerprint of each text: a bit is 1 if it is set in over half the shingles' XXH64 (seed 42)."""
     n = len(offsets) - 1
     raw = _LOWER[raw]
@@ -72,7 +72,7 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 3
     return np.packbits(2 * counts > shingles[:, None], axis=1).view(">u8").reshape(n).astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, most_bytes: int = 4 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle_words: int = 3, most_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, text_hash, fp) of whole texts; A-Z are lower-cased, a text with fewer words is one shingle, without words it is 0.
 
     Null texts are empty; null and repeated doc_ids stay rows of their own.
@@ -288,7 +288,7 @@ def bands_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 5) -> tu
     return n, (group[first] >> np.uint64(4)).astype(np.int64), mix64(fp ^ (group[first] & np.uint64(15)))
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 4 << 20) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20) -> DataFrame:
     """(a, b): fingerprints, from ``rows`` (doc_id, text_hash, fp), of texts with Jaccard similarity of shingle sets of at least ``similarity``.
 
     Texts whose band fingerprints agree are candidates of three of their group:

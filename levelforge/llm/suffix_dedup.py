@@ -19,7 +19,7 @@ have it at the same offset, so they are in cells that meet).
   whose 24-byte name occurs in other contexts: the ends of repeated passages)
   and ranks their names of the full length.
 
-Texts are written once in blocks, bucketed by block, so no round shuffles text.
+Texts are written once in blocks, bucketed by run of blocks, so no round shuffles text.
 Each block sends a name once, with its smallest document: a passage that a third
 of the documents share is one entry a block. Names compare as 64 bits or more
 beside the bucket they are dealt to.
@@ -44,8 +44,8 @@ GRAM = 24
 _AROUND = LENGTH - GRAM
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("carry", pa.list_(pa.string())), ("raw", pa.large_binary())])
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+BLOCKS = pa.schema([("run", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("carry", pa.list_(pa.string())), ("raw", pa.large_binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 class Cells:
     """The cells of a block: first window, number of windows, document, gram name, context name; and the distinct (gram, context) pairs."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, slice_bytes: int = 1 << 22):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, slice_bytes: int = 1 << 19):
         self.names = Names(raw)
         first, count, place, gram = [], [], [], []
         n_windows = len(raw) - LENGTH + 1
@@ -206,11 +206,11 @@ def rank_windows(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _answer(sent: DataFrame, buckets: int, sizes: list[int], rank) -> DataFrame:
-    """Bring the entries of a bucket together, rank them, and hand each block what it asked for: (block, answers)."""
+    """Bring the entries of a bucket together, rank them, and hand each block what it asked for: (run, block, answers)."""
 
     def run(batches):
-        rows = [(bucket, block, payload) for batch in batches for bucket, block, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-        parts = [_open(p, sizes) for _, _, p in rows]
+        rows = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        parts = [_open(row[3], sizes) for row in rows]
         if not rows:
             return
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -220,16 +220,19 @@ def _answer(sent: DataFrame, buckets: int, sizes: list[int], rank) -> DataFrame:
         columns[1] ^= np.repeat(np.array([r[0] for r in rows], np.uint64), counts) * _K2 << np.uint64(40) if sizes[0] < 8 else np.uint64(0)
         state = rank(*columns[1:], columns[0])
         at = 0
-        for (bucket, block, _), n in zip(rows, counts, strict=True):
-            yield batch_of(SENT, [bucket], [block], [zlib.compress(state[at : at + n].tobytes(), 1)])
+        for (bucket, run, block, _), n in zip(rows, counts, strict=True):
+            yield batch_of(SENT, [bucket], [run], [block], [zlib.compress(state[at : at + n].tobytes(), 1)])
             at += n
 
-    told = sent.repartition(buckets, "bucket").mapInArrow(run, "bucket int, block long, payload binary")
-    return materialise(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")))
+    told = sent.repartition(buckets, "bucket").mapInArrow(run, "bucket int, run long, block long, payload binary")
+    return materialise(told.groupBy("run", "block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")))
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
-    """Texts in blocks of whole documents of about ``block_bytes``, written once as a table bucketed by block."""
+def text_blocks(docs: DataFrame, block_bytes: int = 2_000_000, blocks_per_run: int = 32) -> DataFrame:
+    """Texts in blocks of whole documents of about ``block_bytes``, written once as a table bucketed by run of blocks.
+
+    A run is one file, so files number a few for each task that reads the input.
+    """
     spark = docs.sparkSession
 
     def gather(batches):
@@ -238,7 +241,7 @@ def text_blocks(docs: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
 
         def flush():
             nonlocal ids, sizes, carry, raw, size, number
-            row = batch_of(BLOCKS, [part << 32 | number], [np.concatenate(ids)], [np.concatenate(sizes)], [[x for c in carry for x in c.to_pylist()]], [b"".join(raw)])
+            row = batch_of(BLOCKS, [part << 24 | number // blocks_per_run], [part << 32 | number], [np.concatenate(ids)], [np.concatenate(sizes)], [[x for c in carry for x in c.to_pylist()]], [b"".join(raw)])
             ids, sizes, carry, raw, size, number = [], [], [], [], 0, number + 1
             return row
 
@@ -263,8 +266,8 @@ def text_blocks(docs: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
     carry = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string"))
     name, n = f"levelforge_{uuid.uuid4().hex}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.mapInArrow(gather, "block long, ids array<long>, sizes array<long>, carry array<string>, raw binary")
-    blocks.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(n, "block").saveAsTable(name)
+    blocks = rows.mapInArrow(gather, "run long, block long, ids array<long>, sizes array<long>, carry array<string>, raw binary")
+    blocks.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(n, "run").saveAsTable(name)
     return spark.table(name)
 
 
@@ -306,7 +309,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             doc, gram, dealt = cell_entries(ids, cells)
             context = cells.context[cells.pick]
             for bucket, own in dealt:
-                yield batch_of(SENT, [bucket], [row["block"]], [_payload(doc[own], (gram[own], 5), (context[own], 5))])
+                yield batch_of(SENT, [bucket], [row["run"]], [row["block"]], [_payload(doc[own], (gram[own], 5), (context[own], 5))])
 
     def told(dealt, answers, n):
         state = np.zeros(n, np.uint8)
@@ -335,7 +338,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             ids, _, _, cells = cells_of(row)
             _, _, _, name, _, least, dealt = open_windows(row, ids, cells)
             for bucket, own in dealt:
-                yield batch_of(SENT, [bucket], [row["block"]], [_payload(least[own], (name[own], 8))])
+                yield batch_of(SENT, [bucket], [row["run"]], [row["block"]], [_payload(least[own], (name[own], 8))])
 
     def finish(batches):
         for row in rows_of(batches):
@@ -373,11 +376,13 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         schema = KEPT.append(pa.field("text", pa.string())).append(pa.field("carry", pa.string()))
         yield batch_of(schema, *columns, texts, row["carry"])
 
-    columns = [f"`{c}`" for c in ("block", "ids", "sizes", "raw")]
-    first = _answer(blocks.select(*columns).mapInArrow(send_cells, "bucket int, block long, payload binary"), buckets, [5, 5], rank_cells)
-    joined = blocks.join(first.hint("shuffle_hash"), "block", "left")
-    second = _answer(joined.select(*columns, "answers").mapInArrow(send_windows, "bucket int, block long, payload binary"), buckets, [8], rank_windows)
-    joined = joined.join(second.withColumnRenamed("answers", "more").hint("shuffle_hash"), "block", "left")
+    # The table is bucketed by run, which is enough to join by (run, block) without moving a text.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    columns = [f"`{c}`" for c in ("run", "block", "ids", "sizes", "raw")]
+    first = _answer(blocks.select(*columns).mapInArrow(send_cells, "bucket int, run long, block long, payload binary"), buckets, [5, 5], rank_cells)
+    joined = blocks.join(first.hint("shuffle_hash"), ["run", "block"], "left")
+    second = _answer(joined.select(*columns, "answers").mapInArrow(send_windows, "bucket int, run long, block long, payload binary"), buckets, [8], rank_windows)
+    joined = joined.join(second.withColumnRenamed("answers", "more").hint("shuffle_hash"), ["run", "block"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string, carry string" if with_text else "")
     return joined.select(*columns, "answers", "more", *(["carry"] if with_text else [])).mapInArrow(finish, schema)
 

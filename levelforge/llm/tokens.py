@@ -29,7 +29,7 @@ _PROBES = ["Word", " Thelonginent", "éàß", " Übergrößen", " a", "ñandú"]
 class PieceEncoder:
     """Encodes Arrow string columns; holds at most ``most_pieces`` remembered pieces."""
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
