@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise
+from .common import batch_of, materialise, task
 
 #: Schema of the calls that plain chats are read as.
 ASK_SCHEMA = {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "role": {"enum": ["user"]}}, "required": ["prompt", "turn"], "additionalProperties": False}
@@ -169,4 +169,4 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 out.append(canonical(message))
             yield batch_of(schema, *(batch.column(i) for i in range(6)), errors, out)
 
-    return rows.mapInArrow(write, "conv_id long, call_id string, call_turn long, result_turn long, status string, level int, errors array<string>, message string")
+    return rows.mapInArrow(task(write), "conv_id long, call_id string, call_turn long, result_turn long, status string, level int, errors array<string>, message string")

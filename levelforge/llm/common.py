@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -76,6 +78,26 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed))
 
 
+#: What a worker keeps between the tasks of one stage: tokenizers and what they have learned.
+CACHES: dict[str, object] = {}
+
+
+def task(run, keep_caches: bool = False):
+    """``run`` (batches to batches) for an Arrow map: workers live on, so memory goes back when a task ends, caches when another kind begins."""
+
+    def wrapped(batches):
+        if not keep_caches:
+            CACHES.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def file_system(uri: str):
     """The file system and path behind a folder that ``shared_dir`` gave; opened inside tasks."""
     from pyarrow import fs

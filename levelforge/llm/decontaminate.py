@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, text_slices, utf8_arrays
+from .common import batch_of, materialise, task, text_slices, utf8_arrays
 from .spans import SpanHasher, byte_hasher, word_spans
 
 WINDOW = 8
@@ -112,7 +112,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield batch_of(schema, batch.column(0).take(pa.array(doc)), at, np.full(len(doc), length), h.view(np.int64), _slots(own, length, value, slot), np.bincount(doc, minlength=batch.num_rows)[doc])
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "item_id long, at long, length int, h long, slots array<long>, n_windows long")
+    return rows.mapInArrow(task(run), "item_id long, at long, length int, h long, slots array<long>, n_windows long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT, most_broadcast_windows: int = 4_000_000, most_bytes: int = 1 << 20) -> DataFrame:
@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
                         yield batch_of(schema, batch.column(0).take(pa.array(doc[part] + a)), at[part], np.full(len(doc[part]), length), h[part], _slots(own[part], length, value, slot))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(run, "doc_id long, doc_at long, length int, h long, doc_slots array<long>")
+    found = rows.mapInArrow(task(run), "doc_id long, doc_at long, length int, h long, doc_slots array<long>")
     if few:
         found = materialise(found)
     hits = found.join(items, ["h", "length"]).where("size(slots) = size(doc_slots)").select("doc_id", "item_id", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("s"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, utf8_arrays
+from .common import batch_of, materialise, task, utf8_arrays
 
 FEATURES = 1 << 14
 #: Weight of the smoothing counts, and of the text: a page of n trigrams counts as TEMPER * ln(1 + n / TEMPER) of them.
@@ -62,7 +62,7 @@ def train(docs: DataFrame, most_bytes: int = 1 << 20) -> tuple[list[str], np.nda
             yield batch_of(schema, [lang], [counts])
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    partial = rows.mapInArrow(run, "lang string, counts array<long>")
+    partial = rows.mapInArrow(task(run), "lang string, counts array<long>")
     summed = materialise(partial.select("lang", F.posexplode("counts").alias("feature", "n")).where("n > 0").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
     languages = [r["lang"] for r in summed.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(languages) > MOST_LANGUAGES:
@@ -94,7 +94,7 @@ def text_scores(rows: DataFrame, model: np.ndarray, is_html: bool = True) -> Dat
             at = np.arange(batch.num_rows + 1, dtype=np.int32) * n_languages
             yield batch_of(schema, batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(out.reshape(-1))))
 
-    return rows.mapInArrow(run, "id long, scores array<double>")
+    return rows.mapInArrow(task(run), "id long, scores array<double>")
 
 
 def identify(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_array, id_values, materialise
+from .common import batch_of, id_array, id_values, materialise, task
 from .tokens import encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([at, bounds[-1:]]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield batch_of(schema, *out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE_COLUMNS + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task(cut, keep_caches=True), PIECE_COLUMNS + (", ids array<int>" if with_ids else ""))
 
 
 class CapacityTree:
@@ -166,4 +166,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_bucket: int = 100_000
             yield pa.RecordBatch.from_arrays([*kept, pa.array(row[:, 2] + order // row[:, 3]), pa.array(row[:, 4] + order % row[:, 3] * length)], names=[*columns, "sequence_id", "offset"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(assign, f"{types}, sequence_id long, offset long")
+    return ranked.mapInArrow(task(assign, keep_caches=True), f"{types}, sequence_id long, offset long")

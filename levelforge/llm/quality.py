@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, text_slices, utf8_arrays
+from .common import batch_of, materialise, task, text_slices, utf8_arrays
 from .spans import SpanHasher, byte_hasher, line_spans, repeated, word_spans
 
 #: Fixed values of the base rules.
@@ -91,7 +91,7 @@ def _measured(docs: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
                 yield batch_of(schema, *(batch.column(i).slice(a, b - a) for i in range(3)), *measures, *lists)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, source string, text_hash long, " + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<long>, line_words array<long>")
+    return rows.mapInArrow(task(run), "doc_id long, source string, text_hash long, " + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<long>, line_words array<long>")
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_LINE_DOCS, share_percent: int = LINE_SHARE_PERCENT) -> DataFrame:
@@ -157,4 +157,4 @@ def apply_quality(docs: DataFrame) -> DataFrame:
                     table = table.set_column(at, "n_chars", pc.if_else(cut_, count, table["n_chars"]))
             yield from table.drop_columns(["gone__"]).to_batches()
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(task(cut), schema)

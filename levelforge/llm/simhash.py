@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, materialise, text_slices, utf8_arrays
+from .common import batch_of, connected_components, materialise, task, text_slices, utf8_arrays
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, most_bytes: int = 1 <<
                 fp = fingerprints_of(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle_words)
                 yield batch_of(FINGERPRINTS, *(batch.column(i).slice(first, last - first) for i in range(2)), fp.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("string")).mapInArrow(task(run), "doc_id long, text_hash long, fp long")
 
 
 def _distance(x: np.ndarray, v) -> np.ndarray:
@@ -226,7 +226,7 @@ def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_
         own = np.flatnonzero(root != np.arange(len(x)))
         return pa.table([x[own].view(np.int64), x[root[own]].view(np.int64)], schema=EDGES)
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long")
+    dealt = points.select("fp").mapInArrow(task(deal), "shard int, fp long")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
@@ -315,7 +315,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, simi
                 yield batch_of(schema, batch.column(0).slice(i, 1), [np.unique(h).view(np.int64)])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    sketches = plain.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, bands array<long>")
+    sketches = plain.mapInArrow(task(sketch), "doc_id long, text_hash long, n_shingles long, bands array<long>")
     texts = materialise(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     each = texts.select("text_hash", "doc_id", "n", F.explode("bands").alias("band"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))["text_hash"]
@@ -328,7 +328,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, simi
     pairs = materialise(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y"))
     wanted = pairs.select(F.col("x").alias("text_hash")).union(pairs.select("y")).distinct().join(texts.select("text_hash", F.col("doc_id").alias("least")), "text_hash").withColumnRenamed("text_hash", "hash__")
     some = plain.join(wanted, (F.col("text_hash") == F.col("hash__")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    shingles = materialise(some.select("text_hash", "text").mapInArrow(sets, "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
+    shingles = materialise(some.select("text_hash", "text").mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
     both = pairs.join(shingles.select(F.col("text_hash").alias("x"), F.col("shingles").alias("sx")), "x").join(shingles.select(F.col("text_hash").alias("y"), F.col("shingles").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     return both.where(common >= similarity * (F.size("sx") + F.size("sy") - common)).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))

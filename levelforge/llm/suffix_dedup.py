@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch_of, id_array, id_values, materialise, shared_dir, utf8_arrays
+from .common import NULL_ID, batch_of, id_array, id_values, materialise, shared_dir, task, utf8_arrays
 
 LENGTH = 50
 GRAM = 24
@@ -224,7 +224,7 @@ def _answer(sent: DataFrame, buckets: int, sizes: list[int], rank) -> DataFrame:
             yield batch_of(SENT, [bucket], [run], [block], [zlib.compress(state[at : at + n].tobytes(), 1)])
             at += n
 
-    told = sent.repartition(buckets, "bucket").mapInArrow(run, "bucket int, run long, block long, payload binary")
+    told = sent.repartition(buckets, "bucket").mapInArrow(task(run), "bucket int, run long, block long, payload binary")
     return materialise(told.groupBy("run", "block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")))
 
 
@@ -266,7 +266,7 @@ def text_blocks(docs: DataFrame, block_bytes: int = 2_000_000, blocks_per_run: i
     carry = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string"))
     name, n = f"levelforge_{uuid.uuid4().hex}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.mapInArrow(gather, "run long, block long, ids array<long>, sizes array<long>, carry array<string>, raw binary")
+    blocks = rows.mapInArrow(task(gather), "run long, block long, ids array<long>, sizes array<long>, carry array<string>, raw binary")
     blocks.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(n, "run").saveAsTable(name)
     return spark.table(name)
 
@@ -379,12 +379,12 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # The table is bucketed by run, which is enough to join by (run, block) without moving a text.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     columns = [f"`{c}`" for c in ("run", "block", "ids", "sizes", "raw")]
-    first = _answer(blocks.select(*columns).mapInArrow(send_cells, "bucket int, run long, block long, payload binary"), buckets, [5, 5], rank_cells)
+    first = _answer(blocks.select(*columns).mapInArrow(task(send_cells), "bucket int, run long, block long, payload binary"), buckets, [5, 5], rank_cells)
     joined = blocks.join(first.hint("shuffle_hash"), ["run", "block"], "left")
-    second = _answer(joined.select(*columns, "answers").mapInArrow(send_windows, "bucket int, run long, block long, payload binary"), buckets, [8], rank_windows)
+    second = _answer(joined.select(*columns, "answers").mapInArrow(task(send_windows), "bucket int, run long, block long, payload binary"), buckets, [8], rank_windows)
     joined = joined.join(second.withColumnRenamed("answers", "more").hint("shuffle_hash"), ["run", "block"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string, carry string" if with_text else "")
-    return joined.select(*columns, "answers", "more", *(["carry"] if with_text else [])).mapInArrow(finish, schema)
+    return joined.select(*columns, "answers", "more", *(["carry"] if with_text else [])).mapInArrow(task(finish), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_array, id_values, materialise, read_file, shared_dir, write_file
+from .common import batch_of, id_array, id_values, materialise, read_file, shared_dir, task, write_file
 from .tokens import encoder
 
 BLOCK = 128
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens_p
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string"))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    return materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST_COLUMNS))
+    return materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(task(write, keep_caches=True), MANIFEST_COLUMNS))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -184,4 +184,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield batch_of(READ, id_array(names), row["base"] + bounds[:-1], counts.astype(np.int64), crc)
 
-    return files.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n).mapInArrow(task(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,7 +29,7 @@ _PROBES = ["Word", " Thelonginent", "éàß", " Übergrößen", " a", "ñandú"]
 class PieceEncoder:
     """Encodes Arrow string columns; holds at most ``most_pieces`` remembered pieces."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,11 +145,10 @@ class PieceEncoder:
             yield first, ids, bounds + np.arange(len(bounds))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each vocabulary and worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    from .common import CACHES
+
+    if path not in CACHES:
+        CACHES[path] = PieceEncoder(path)
+    return CACHES[path]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch_of, id_array, materialise, read_file, shared_dir, write_file
+from .common import NULL_ID, batch_of, id_array, materialise, read_file, shared_dir, task, write_file
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 100, bytes_per_fil
         if records:
             yield flush()
 
-    return materialise(known.mapInArrow(write, FILE_COLUMNS))
+    return materialise(known.mapInArrow(task(write), FILE_COLUMNS))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -156,4 +156,4 @@ def read_archives(files: DataFrame) -> DataFrame:
                 page, size, sha, kind, refers = zip(*out, strict=True)
                 yield batch_of(RECORDS, id_array(np.array(page, np.int64)), size, sha, kind, refers)
 
-    return files.select("folder", "name").repartition(n).mapInArrow(read, RECORD_COLUMNS)
+    return files.select("folder", "name").repartition(n).mapInArrow(task(read), RECORD_COLUMNS)
