@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch_of, id_array, id_values, materialise, shared_dir, task, utf8_arrays
+from .common import NULL_ID, batch_of, id_array, id_values, materialise, mix64, shared_dir, task, utf8_arrays
 
 LENGTH = 50
 GRAM = 24
@@ -132,7 +133,8 @@ def _smallest(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
-    return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    # The names of cells are the smallest around: mixed again they fill all buckets alike.
+    return ((mix64(names) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def _cut(x: np.ndarray, n: int) -> np.ndarray:
@@ -209,22 +211,21 @@ def _answer(sent: DataFrame, buckets: int, sizes: list[int], rank) -> DataFrame:
     """Bring the entries of a bucket together, rank them, and hand each block what it asked for: (run, block, answers)."""
 
     def run(batches):
-        rows = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
-        parts = [_open(row[3], sizes) for row in rows]
-        if not rows:
-            return
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        counts = [len(p[0]) for p in parts]
-        del parts
-        # The bucket takes the high bits of the first name.
-        columns[1] ^= np.repeat(np.array([r[0] for r in rows], np.uint64), counts) * _K2 << np.uint64(40) if sizes[0] < 8 else np.uint64(0)
-        state = rank(*columns[1:], columns[0])
-        at = 0
-        for (bucket, run, block, _), n in zip(rows, counts, strict=True):
-            yield batch_of(SENT, [bucket], [run], [block], [zlib.compress(state[at : at + n].tobytes(), 1)])
-            at += n
-
-    told = sent.repartition(buckets, "bucket").mapInArrow(task(run), "bucket int, run long, block long, payload binary")
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        # Hashing puts several buckets in some partitions: they are ranked one after the other.
+        for bucket, own in groupby(rows, key=lambda row: row[0]):
+            own = list(own)
+            parts = [_open(row[3], sizes) for row in own]
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            counts = [len(part[0]) for part in parts]
+            del parts
+            state = rank(*columns[1:], columns[0])
+            at = 0
+            for (_, run_, block, _), n in zip(own, counts, strict=True):
+                yield batch_of(SENT, [bucket], [run_], [block], [zlib.compress(state[at : at + n].tobytes(), 1)])
+                at += n
+
+    told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(task(run), "bucket int, run long, block long, payload binary")
     return materialise(told.groupBy("run", "block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")))
 
 
