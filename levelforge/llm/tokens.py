@@ -27,7 +27,7 @@ _PROBES = ["Word", " Thelonginent", "éàß", " Übergrößen", " a", "ñandú"]
 
 
 class PieceEncoder:
-    """Encodes Arrow string columns; holds at most ``most_pieces`` remembered pieces."""
+    """Encodes Arrow string columns; remembers at most ``most_pieces`` pieces, or those of one slice of texts where they are more."""
 
     def __init__(self, path: str, most_pieces: int = 500_000):
         import os
@@ -77,20 +77,36 @@ class PieceEncoder:
         self.place: dict[str, int] = {}
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _make_room(self) -> None:
+        """Forget the less used half of the remembered pieces; what stays counts half from then on."""
+        n = len(self.place)
+        if n < 2:
+            return self._forget()
+        keep = np.sort(np.argpartition(self.uses[:n], n - n // 2)[n - n // 2 :])
+        pieces, count, start, uses = list(self.place), self.count[keep], self.start[keep], self.uses[keep] // 2
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        self.place = {pieces[k]: i for i, k in enumerate(keep.tolist())}
+        self.count[: len(keep)], self.start[: len(keep)], self.uses[: len(keep)] = count, ends - count, uses
+        self.ids[: len(ids)] = ids
+        self.used = len(ids)
+
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
             some = pieces[at : at + 20_000]
             encoded = self._encode_pieces(some)
             n, total = len(self.place), sum(map(len, encoded))
             while n + len(some) > len(self.start):
-                self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+                self.start, self.count, self.uses = (np.resize(x, 2 * len(x)) for x in (self.start, self.count, self.uses))
             while self.used + total > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
             counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
             self.count[n : n + len(some)] = counts
+            self.uses[n : n + len(some)] = 0
             self.start[n : n + len(some)] = self.used + np.cumsum(counts) - counts
             self.ids[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
             self.used += total
@@ -105,12 +121,17 @@ class PieceEncoder:
         each = np.diff(np.asarray(lists.offsets))
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.place) + len(pieces) > self.most_pieces:
-            self._forget()
         place = self.place
-        if new := [p for p in pieces if p not in place]:
+        new = [p for p in pieces if p not in place]
+        if len(place) + len(new) > self.most_pieces:
+            self._make_room()
+            place = self.place
+            new = [p for p in pieces if p not in place]
+        if new:
             self._learn(new)
-        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))[np.asarray(coded.indices)]
+        known = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        self.uses[known] += 1
+        at = known[np.asarray(coded.indices)]
         count = self.count[at]
         ends = np.cumsum(count)
         take = np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)

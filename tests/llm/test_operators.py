@@ -223,6 +223,23 @@ def test_token_files(docs, empty):
     assert token_files.write_token_files(empty, tokenizer_path(BYTE_TOKENIZER)).count() == 0
 
 
+@pytest.mark.parametrize("name", [BYTE_TOKENIZER, WORD_TOKENIZER])
+@pytest.mark.parametrize("most_pieces", [1, 40, 400])
+def test_encoder_that_forgets(name, most_pieces):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from levelforge.llm.tokens import PieceEncoder
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéñß") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", " a  b\n\nc ", "x" * 3000]
+    whole = Tokenizer.from_file(tokenizer_path(name))
+    enc = PieceEncoder(tokenizer_path(name), most_pieces)
+    got = [ids[a:b].tolist() for _, ids, at in enc.encode(pa.array(texts), 7, most_bytes=900) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
 @pytest.mark.parametrize("percentile", [0.05, 0.5, 0.9, 1.0])
 def test_blocks(percentile):
     rnd = np.random.default_rng(2)
