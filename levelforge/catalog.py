@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import frames, registry, relations, series, tracks
+from .plans import frames, registry, relations, routing, series, tracks
 from .plans.frames import flagship
 
-MODULES = [frames, series, relations, tracks]
+MODULES = [frames, series, relations, routing, tracks]
 
 
 def queries() -> dict:
