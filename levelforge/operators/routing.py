@@ -119,3 +119,31 @@ def batch_verdict(rows: DataFrame, batch: str) -> DataFrame:
     ready = F.col("passed") == F.col("total")
     text = F.format_string("%s\nTracks: %d\nPASS: %d\nFixed: %d\nReview: %d\nCodec safe: %d/%d", F.when(ready, "Ready for release").otherwise("Some tracks on hold"), "total", "passed", "fixed", F.col("total") - F.col("passed"), "safe", "total")
     return n.select(batch, ready.alias("ready"), text.alias("text"))
+
+
+def bounded_loop(start: Column, ok, step, retries: int) -> Column:
+    """Struct(value, retries, ok): ``step`` is taken while ``ok`` (of the value) does not hold, at most ``retries`` times and while it changes the value by over 0.01.
+
+    A null test does not hold; null values stay null.
+    """
+    good = lambda v: F.coalesce(ok(v), F.lit(False))
+    first = F.struct(start.cast("double").alias("value"), F.lit(0).alias("retries"))
+
+    def again(s, _):
+        after = step(s["value"])
+        stay = good(s["value"]) | ~F.coalesce(F.abs(after - s["value"]) > 0.01, F.lit(False))
+        return F.when(stay, s).otherwise(F.struct(after.alias("value"), (s["retries"] + 1).alias("retries")))
+
+    end = F.aggregate(F.array_repeat(F.lit(0), retries), first, again)
+    return F.struct(end["value"].alias("value"), end["retries"].alias("retries"), good(end["value"]).alias("ok"))
+
+
+def compression_ladder(start: Column, safe, retries: int = 2, keep: float = 0.65, floor: float = 0.30) -> Column:
+    """Struct(factor, retries, mode): the compression factor is reduced until dynamics are ``safe`` at it; beyond the last retry compression is bypassed."""
+    end = bounded_loop(start, safe, lambda f: F.greatest(F.lit(floor), f * keep), retries)
+    return F.struct(end["value"].alias("factor"), end["retries"].alias("retries"), F.when(end["ok"], "compressed").otherwise("transparent").alias("mode"))
+
+
+def ceiling_ladder(ceiling: Column, safe, retries: int = 2, step: float = 0.20) -> Column:
+    """Struct(value, retries, ok): the true-peak ceiling is lowered until the codec peak is ``safe`` at it."""
+    return bounded_loop(ceiling, safe, lambda c: c - step, retries)

@@ -74,3 +74,16 @@ def settings_merge(spark, sf_dir):
     new = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("mode"), N.repair_mode(F.lit("light"))))
     merged = F.array_join(F.transform(F.array_sort(F.map_entries(N.merge_settings(m, new))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return table(spark, sf_dir, "customer").select("c_custkey", N.intro_seconds(F.col("c_nationkey") * 2).alias("seconds"), merged.alias("merged"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, [1.15, 1.08, 1.0, 0.78, 0.4][CAST(p_size % 5 + 1 AS INTEGER)]::DOUBLE AS f0, (p_partkey % 10 + 1) / 10.0::DOUBLE AS lim, -1.0 - (p_partkey % 7) / 10.0::DOUBLE AS most FROM part),
+f AS (SELECT *, greatest(0.3::DOUBLE, f0 * 0.65) AS f1, greatest(0.3::DOUBLE, greatest(0.3::DOUBLE, f0 * 0.65) * 0.65) AS f2 FROM p),
+n AS (SELECT *, CASE WHEN f0 <= lim THEN 0 WHEN f1 <= lim OR abs(f2 - f1) <= 0.01 THEN 1 ELSE 2 END AS k FROM f),
+v AS (SELECT *, CASE k WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS v FROM n)
+SELECT p_partkey, round(v, 6) AS factor, CAST(k AS INTEGER) AS retries, CASE WHEN v <= lim THEN 'compressed' ELSE 'transparent' END AS mode,
+round(CASE WHEN -1.0 <= most + 0.05 THEN -1.0 WHEN -1.2 <= most + 0.05 THEN -1.2 ELSE -1.4 END::DOUBLE, 6) AS ceiling, -1.4 <= most + 0.05 AS codec_safe FROM v""")
+def compression_ladder(spark, sf_dir):
+    start = F.element_at(F.array(*map(F.lit, (1.15, 1.08, 1.0, 0.78, 0.4))), (F.col("p_size") % 5 + 1).cast("int"))
+    limit, most = (F.col("p_partkey") % 10 + 1) / 10.0, -1.0 - (F.col("p_partkey") % 7) / 10.0
+    p = table(spark, sf_dir, "part").select("p_partkey", N.compression_ladder(start, lambda f: f <= limit).alias("f"), N.ceiling_ladder(F.lit(-1.0), lambda c: c <= most + 0.05).alias("c"))
+    return p.select("p_partkey", F.round("f.factor", 6).alias("factor"), "f.retries", "f.mode", F.round("c.value", 6).alias("ceiling"), F.col("c.ok").alias("codec_safe"))
