@@ -242,7 +242,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     points = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = near_links(points, radius)
     if similarity is not None:
-        links = links.union(similar_links(docs, fp, similarity=similarity))
+        links = similar_links(docs, fp, materialise(links), similarity=similarity)
     component = materialise(connected_components(links))
     group = points.join(component, points.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = group.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -288,13 +288,41 @@ def bands_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 5) -> tu
     return n, (group[first] >> np.uint64(4)).astype(np.int64), mix64(fp ^ (group[first] & np.uint64(15)))
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20) -> DataFrame:
-    """(a, b): fingerprints, from ``rows`` (doc_id, text_hash, fp), of texts with Jaccard similarity of shingle sets of at least ``similarity``.
+def prefixes(raw: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float, shingle_words: int = 5) -> tuple[np.ndarray, ...]:
+    """(text, shingle, place, distinct shingles of the text) of the shingles that two texts at ``similarity`` can't all differ in.
 
-    Texts whose band fingerprints agree are candidates of three of their group:
-    that with the smallest doc_id (the one others are copies of, as a rule), and
-    those with the smallest and largest hash; never of each other in pairs. Each
-    candidate is verified on the whole shingle sets. Exact copies are one text.
+    A text's shingles are put in one order for all texts: those not in
+    ``common`` (sorted hashes, and their ranks from 1) first, then by rank. The
+    first common shingle of two similar texts is among the first
+    n - ceil(similarity * n) + 1 of both.
+    """
+    doc, h = shingle_hashes(raw, offsets, shingle_words)
+    hashes, ranks = common
+    at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+    rank = np.where(hashes[at] == h, ranks[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
+    order = np.lexsort((h, rank, doc))
+    doc, h = doc[order], h[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)]
+    doc, h = doc[new], h[new]
+    n = np.bincount(doc, minlength=len(offsets) - 1)
+    place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+    own = np.flatnonzero(place <= n[doc] - np.ceil(similarity * n[doc] - 1e-9))
+    return doc[own], h[own], place[own], n[doc[own]]
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20, sample: int = 4000, most_common: int = 1 << 20, rows_per_salt: int = 256) -> DataFrame:
+    """(a, b): links that join the fingerprints, from ``rows`` (doc_id, text_hash, fp), joined by ``links``, and those of texts with Jaccard similarity of shingle sets of at least ``similarity``.
+
+    Not all pairs are given, but all components. Two passes, each verified on
+    the whole shingle sets; exact copies are one text. The first makes large
+    groups of near copies one component: texts whose band fingerprints agree are
+    candidates of three of their group. The second is exact: it looks for links
+    between different components by prefix filtering (``prefixes``), where the
+    shorter text of a pair needs fewer shingles still. Shingles found often in a
+    sample of texts come last, so a shared passage is no join key; the sample
+    decides the order alone, never what is found. The component with most texts
+    of a shingle is not compared with itself, and shingles of many texts are
+    dealt out by salts.
     """
 
     def sketch(batches):
@@ -314,9 +342,27 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, simi
                 _, h = shingle_hashes(text, np.array([0, len(text)]), shingle_words)
                 yield batch_of(schema, batch.column(0).slice(i, 1), [np.unique(h).view(np.int64)])
 
+    def heads(batches):
+        schema = pa.schema([("text_hash", pa.int64()), ("shingle", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
+        for batch in batches:
+            raw, offsets = utf8_arrays(batch.column(1))
+            for first, last in text_slices(offsets, most_bytes):
+                doc, h, place, n = prefixes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], common.value, similarity, shingle_words)
+                yield batch_of(schema, batch.column(0).take(pa.array(doc + first)), h.view(np.int64), place.astype(np.int32), n.astype(np.int32))
+
+    def verified(pairs):
+        wanted = pairs.select(F.col("x").alias("text_hash")).union(pairs.select("y")).distinct().withColumnRenamed("text_hash", "wanted")
+        some = distinct.join(wanted, F.col("text_hash") == F.col("wanted"), "left_semi")
+        shingles = materialise(some.mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
+        both = pairs.join(shingles.select(F.col("text_hash").alias("x"), F.col("shingles").alias("sx")), "x").join(shingles.select(F.col("text_hash").alias("y"), F.col("shingles").alias("sy")), "y")
+        shared = F.size(F.array_intersect("sx", "sy"))
+        return both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     sketches = plain.mapInArrow(task(sketch), "doc_id long, text_hash long, n_shingles long, bands array<long>")
     texts = materialise(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    least = texts.select(F.col("text_hash").alias("hash__"), F.col("doc_id").alias("least"))
+    distinct = plain.join(least, (F.col("text_hash") == F.col("hash__")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text_hash", "text")
     each = texts.select("text_hash", "doc_id", "n", F.explode("bands").alias("band"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))["text_hash"]
     ends = each.groupBy("band").agg(first.alias("first"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
@@ -326,12 +372,28 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle_words: int = 5, simi
     known = rows.groupBy("text_hash").agg(F.min("fp").alias("fp"))
     of = lambda t: known.select(F.col("text_hash").alias(t), F.col("fp").alias(f"fp_{t}"))
     pairs = materialise(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y"))
-    wanted = pairs.select(F.col("x").alias("text_hash")).union(pairs.select("y")).distinct().join(texts.select("text_hash", F.col("doc_id").alias("least")), "text_hash").withColumnRenamed("text_hash", "hash__")
-    some = plain.join(wanted, (F.col("text_hash") == F.col("hash__")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    shingles = materialise(some.select("text_hash", "text").mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
-    both = pairs.join(shingles.select(F.col("text_hash").alias("x"), F.col("shingles").alias("sx")), "x").join(shingles.select(F.col("text_hash").alias("y"), F.col("shingles").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    return both.where(common >= similarity * (F.size("sx") + F.size("sy") - common)).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+    component = materialise(connected_components(links.union(verified(pairs))))
+
+    share = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) * texts.count() < sample * (1 << 30)
+    seen = distinct.where(share).mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+    often = seen.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most_common).toPandas()
+    often = often.assign(h=often["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
+    common = docs.sparkSession.sparkContext.broadcast((often["h"].to_numpy(np.uint64), often["count"].to_numpy(np.int64)))
+    head = materialise(distinct.mapInArrow(task(heads), "text_hash long, shingle long, place int, n int"))
+    twice = head.groupBy("shingle").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("shingle")
+    group = known.join(component, F.col("fp") == F.col("node"), "left").select("text_hash", "fp", F.coalesce("component", "fp").alias("group"))
+    some = materialise(head.join(twice, "shingle", "left_semi").join(group, "text_hash").distinct())
+    of_shingle = some.groupBy("shingle", "group").count().groupBy("shingle").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.sum("count").alias("rows"), F.count("*").alias("groups"))
+    salts = (1 + F.floor(F.col("rows") / rows_per_salt)).cast("int").alias("salts")
+    some = materialise(some.join(of_shingle.where("groups > 1").select("shingle", "main", salts), "shingle"))
+    index = some.where(F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)).withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.col("salts")).cast("int"))
+    probe = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    side = lambda df, t: df.select("shingle", "salt", F.col("text_hash").alias(t), F.col("fp").alias(f"fp_{t}"), F.col("group").alias(f"g_{t}"), F.col("n").alias(f"n_{t}"), (F.col("n") - F.col("place")).alias(f"left_{t}"))
+    # x is the shorter; what is left from the first common shingle on must hold the overlap.
+    fits = (F.col("g_x") != F.col("g_y")) & (F.struct("n_x", "x") < F.struct("n_y", "y")) & (F.col("n_x") >= similarity * F.col("n_y") - 1e-9) & (F.least("left_x", "left_y") >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6)
+    meet = lambda i, p: side(i, "x").join(side(p, "y"), ["shingle", "salt"]).where(fits).select("x", "y", "fp_x", "fp_y")
+    across = materialise(meet(index.where("group <> main"), probe).union(meet(index.where("group = main"), probe.where("group <> main"))).distinct())
+    return component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(across))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
