@@ -4,10 +4,11 @@ Words lose their punctuation and case; numbers, units after numbers, and
 capitalised words inside a sentence become typed placeholders. Windows of
 ``WINDOW`` template tokens of all documents are hash-joined with those of the
 benchmark; where the benchmark's windows are few (their number is checked) the
-join's filter runs where the documents are read. Windows on one diagonal of a
-document and an item must fill the placeholders consistently: one value of the
-item always the same value of the document, and the other way round. That finds
-questions that were given other numbers or names.
+join's filter runs where the documents are read. A window with the item's own
+values is matched as it is. Windows with other values, on one diagonal of a
+document and an item, must fill the placeholders consistently: one value of the
+item always the same value of the document. That finds questions that were given
+other numbers or names.
 """
 
 from __future__ import annotations
@@ -118,9 +119,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT, most_broadcast_windows: int = 4_000_000, most_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, kind) of every document that holds an item.
 
-    n_matched counts the item's windows that the document holds on consistent
-    diagonals; it must reach ``coverage_percent`` of n_windows. kind is
-    ``verbatim`` if some of them has the item's own values throughout, else
+    n_matched counts the item's windows that the document holds word for word, or
+    with other values that are consistent over the changed windows of their
+    diagonal; it must reach ``coverage_percent`` of n_windows. kind is
+    ``verbatim`` if some diagonal has the item's own values throughout, else
     ``reparameterised``. Null and empty texts hold nothing; rows with one doc_id
     count as one document.
     """
@@ -150,13 +152,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     found = rows.mapInArrow(task(run), "doc_id long, doc_at long, length int, h long, doc_slots array<long>")
     if few:
         found = materialise(found)
-    hits = found.join(items, ["h", "length"]).where("size(slots) = size(doc_slots)").select("doc_id", "item_id", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("s"))
-    value = hits.groupBy("doc_id", "item_id", "n_windows", "diagonal", "s.slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"), F.collect_set("at").alias("ats"))
-    value = value.select("*", F.col("low").eqNullSafe(F.col("high")).alias("one"))
+    hits = found.join(items, ["h", "length"]).where("size(slots) = size(doc_slots)").select("doc_id", "item_id", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), (F.col("slots") == F.col("doc_slots")).alias("same"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("s"))
+    value = hits.groupBy("doc_id", "item_id", "n_windows", "diagonal", "same", "s.slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"), F.collect_set("at").alias("ats"))
+    ats = lambda which: F.flatten(F.collect_list(F.when(which, F.col("ats"))))
     back = value.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(
-        F.min("one").alias("one"), F.countDistinct("low").alias("values_there"), F.count("slots").alias("values_here"), F.min(F.col("slots").eqNullSafe(F.col("low"))).alias("own"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")
+        F.min(F.col("same") | F.col("low").eqNullSafe(F.col("high"))).alias("one"), F.min("same").alias("own"), ats(F.col("same")).alias("same_ats"), ats(~F.col("same")).alias("changed_ats")
     )
-    good = back.where("one AND values_there = values_here")
+    good = back.select("doc_id", "item_id", "n_windows", "own", F.array_distinct(F.when(F.col("one"), F.concat("same_ats", "changed_ats")).otherwise(F.col("same_ats"))).alias("ats"))
     out = good.select("doc_id", "item_id", "n_windows", "own", F.explode("ats").alias("at")).groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("at").alias("n_matched"), F.max("own").alias("own"))
     return out.where(100 * F.col("n_matched") >= coverage_percent * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_matched", F.when(F.col("own"), "verbatim").otherwise("reparameterised").alias("kind"))
 
