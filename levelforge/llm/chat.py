@@ -126,37 +126,58 @@ def levels(calls: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return nodes.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left").select("conv_id", "call_id", F.coalesce("l", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row for each call and each result without a call.
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], salts: int = 64) -> DataFrame:
+    """A row for each call with its result, if any, and for each other result: every call and result is in one row.
 
     (conv_id, call_id, call_turn, result_turn, status, level, errors, message):
     status is linked, missing_result, early_result (its turn isn't after the
     call's), cyclic or orphan_result; errors are the broken rules of the
-    arguments, null for orphans; message is canonical JSON. Of calls or results
-    with one identifier the first by turn (then by content) counts; the others
-    are dropped as repeats. Null identifiers never link.
+    arguments, null for rows without a call; message is canonical JSON. Of calls
+    or results with one identifier the first by turn (then by content) is linked;
+    each other one is a duplicate_call or duplicate_result of its own, at level 0.
+    Null identifiers never link: those calls and results are missing_id.
     """
 
-    def earliest(df, *rest):
-        # The first by (turn, ...) as a minimum, which combines before the shuffle.
-        return df.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *rest)).alias("m")).select("conv_id", "call_id", "m.*")
-
-    c = materialise(earliest(calls, "name", "arguments", "needs"))
-    r = earliest(results, "content").select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid"), F.col("turn").alias("result_turn"), "content")
+    def firsts(df, *rest):
+        # Equal rows are counted, and the first by (turn, ...) is a minimum: both combine before the shuffle.
+        some = df.where("call_id IS NOT NULL").groupBy("conv_id", "call_id", "turn", *rest).agg(F.count("*").alias("times"))
+        some = materialise(some)
+        least = materialise(some.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *rest)).alias("m"), F.sum("times").alias("all")))
+        # Identifiers used again are dealt out by salts, however often one is.
+        again = least.where("all > 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        dealt = F.pmod(F.xxhash64("turn", *rest), F.lit(salts)) == F.col("salt")
+        more = some.join(again, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")) & dealt)
+        left = F.col("times") - F.struct("turn", *rest).eqNullSafe(F.col("m")).cast("long")
+        more = more.select("conv_id", "call_id", "turn", *rest, left.alias("left")).where("left > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
+        return least.select("conv_id", "call_id", "m.*"), more
+
+    def alone(df, status, is_call):
+        null = lambda kind: F.lit(None).cast(kind)
+        turn = F.col("turn").cast("long")
+        turns = (turn, null("long")) if is_call else (null("long"), turn)
+        rest = ("name", "arguments", null("string").alias("content")) if is_call else (null("string").alias("name"), null("string").alias("arguments"), "content")
+        return df.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", turns[0].alias("call_turn"), turns[1].alias("result_turn"), F.lit(status).alias("status"), F.lit(0).alias("level"), *rest, F.lit(is_call).alias("is_call"))
+
+    first_calls, more_calls = firsts(calls, "name", "arguments", "needs")
+    first_results, more_results = firsts(results, "content")
+    c = materialise(first_calls)
+    r = first_results.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid"), F.col("turn").alias("result_turn"), "content")
     lv = levels(c).select(F.col("conv_id").alias("lc"), F.col("call_id").alias("lid"), "level", "cyclic")
     known = c.join(lv, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("call_id") == F.col("lid")), "left")
     both = known.join(r, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rid")), "full")
     status = F.when(F.col("call_id").isNull(), "orphan_result").when(F.col("cyclic"), "cyclic").when(F.col("rid").isNull(), "missing_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("linked")
-    rows = both.select(F.coalesce("conv_id", "rc").cast("long").alias("conv_id"), F.coalesce("call_id", "rid").alias("call_id"), F.col("turn").alias("call_turn"), "result_turn", status.alias("status"), F.coalesce("level", F.lit(0)).alias("level"), "name", "arguments", "content")
+    rows = both.select(F.coalesce("conv_id", "rc").cast("long").alias("conv_id"), F.coalesce("call_id", "rid").alias("call_id"), F.col("turn").alias("call_turn"), "result_turn", status.alias("status"), F.coalesce("level", F.lit(0)).alias("level"), "name", "arguments", "content", F.col("call_id").isNotNull().alias("is_call"))
+    for df, why, is_call in ((more_calls, "duplicate_call", True), (more_results, "duplicate_result", False), (calls.where("call_id IS NULL"), "missing_id", True), (results.where("call_id IS NULL"), "missing_id", False)):
+        rows = rows.unionByName(alone(df, why, is_call))
     schema = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("call_turn", pa.int64()), ("result_turn", pa.int64()), ("status", pa.string()), ("level", pa.int32()), ("errors", pa.list_(pa.string())), ("message", pa.string())])
 
     def write(batches):
         for batch in batches:
             errors, out = [], []
-            for name, arguments, content, call_id, status in zip(*(batch.column(x).to_pylist() for x in ("name", "arguments", "content", "call_id", "status")), strict=True):
+            for name, arguments, content, call_id, is_call in zip(*(batch.column(x).to_pylist() for x in ("name", "arguments", "content", "call_id", "is_call")), strict=True):
                 message = {"id": call_id}
                 wrong = None
-                if status != "orphan_result":
+                if is_call:
                     try:
                         value = json.loads(arguments if arguments is not None else "null")
                         wrong = schema_errors(value, schemas[name]) if name in schemas else [f"{name}: unknown tool"]
