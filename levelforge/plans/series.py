@@ -71,12 +71,13 @@ a AS (SELECT d.user_id, d, m, quantile_cont(abs(d - m), 0.5) OVER (PARTITION BY
 SELECT user_id, count(*) AS n, round(greatest(1.4826 * max(mad), 1e-8), 4) AS scale, count(*) FILTER (abs(d - m) > greatest(0.025, 2 * 1.4826 * mad)) AS spikes FROM a GROUP BY user_id""")
 def diff_spikes_mad(spark, sf_dir):
     """First differences, their robust scale, and those over twice it."""
-    w, all_ = Window.partitionBy("user_id").orderBy("i"), Window.partitionBy("user_id")
-    d = series(spark, sf_dir).select("user_id", F.round(F.col("v") - F.lag("v").over(w), 6).alias("d")).where("d IS NOT NULL")
-    d = d.withColumn("m", F.percentile("d", F.lit(0.5)).over(all_))
-    d = d.withColumn("mad", F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5)).over(all_))
-    over = F.abs(F.col("d") - F.col("m")) > F.greatest(F.lit(0.025), 2 * 1.4826 * F.col("mad"))
-    return d.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.greatest(1.4826 * F.max("mad"), F.lit(1e-8)), 4).alias("scale"), F.count_if(over).alias("spikes"))
+    w = Window.partitionBy("user_id").orderBy("i")
+    d = series(spark, sf_dir).select("user_id", F.round(F.col("v") - F.lag("v").over(w), 6).alias("d")).where("d IS NOT NULL").groupBy("user_id", "d").agg(F.count("*").alias("times"))
+    # Percentiles over counted values, joined back: no window holds a whole user.
+    d = d.join(d.groupBy("user_id").agg(F.percentile("d", F.lit(0.5), F.col("times")).alias("m")), "user_id").withColumn("off", F.abs(F.col("d") - F.col("m")))
+    d = d.join(d.groupBy("user_id").agg(F.percentile("off", F.lit(0.5), F.col("times")).alias("mad")), "user_id")
+    over = F.col("off") > F.greatest(F.lit(0.025), 2 * 1.4826 * F.col("mad"))
+    return d.groupBy("user_id").agg(F.sum("times").alias("n"), F.round(F.greatest(1.4826 * F.max("mad"), F.lit(1e-8)), 4).alias("scale"), F.sum(F.when(over, F.col("times")).otherwise(0)).alias("spikes"))
 
 
 @query("SELECT user_id, round(exp(avg(ln(value))) / avg(value), 4) AS flatness FROM events WHERE value > 0 GROUP BY user_id")

@@ -6,6 +6,9 @@ leaves the state as it is.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +31,57 @@ def recover(jobs: DataFrame) -> DataFrame:
 
 
 
+STATES = sorted({x for (before, _), after in TRANSITIONS.items() for x in (before, after)})
+#: What each event makes of each state, by number; the last row is any other event.
+_KINDS = sorted({event for _, event in TRANSITIONS})
+_MAPS = np.array([[STATES.index(TRANSITIONS.get((s, e), s)) for s in STATES] for e in [*_KINDS, None]], np.int8)
 
-def replay(events: DataFrame, key: str, *order: str) -> DataFrame:
-    """(key, n, status): each job's state after its events (kind) in order.
 
-    A job's own events are folded in one row; jobs are spread by key.
+def folded(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """(key, n, maps): the number of each job's events (kind), and what they make of each state, as a few maps in order.
+
+    Events are cut by range of (key, order), and each batch of a job's events is
+    folded to one map of the six states, so a job with very many events is spread
+    over tasks and only its maps meet.
     """
-    each = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "kind"))).alias("e"))
-    return each.select(key, F.size("e").alias("n"), F.aggregate("e", F.lit("WAITING"), lambda s, e: step(s, e["kind"])).alias("status"))
+
+    def fold(batches):
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            kinds = batch.column(1).cast(pa.string()).to_pylist()
+            maps = _MAPS[[_KINDS.index(k) if k in _KINDS else len(_KINDS) for k in kinds]]
+            ids = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            n = np.diff(np.append(first, len(ids)))
+            run = np.repeat(np.arange(len(first)), n)
+            while len(run) > len(first):
+                # Every second map of a job is taken after the one before it.
+                place = np.arange(len(run)) - np.searchsorted(run, run)
+                later = np.flatnonzero(place % 2 == 1)
+                maps[later - 1] = np.take_along_axis(maps[later], maps[later - 1].astype(np.intp), axis=1)
+                keep = place % 2 == 0
+                run, maps = run[keep], maps[keep]
+            at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * len(STATES))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(np.full(len(first), part, np.int32)), pa.array(np.full(len(first), number, np.int32)), pa.array(n), pa.ListArray.from_arrays(at, pa.array(maps.astype(np.int32).ravel()))], names=[key, "part", "number", "n", "map"])
+
+    kind = events.schema[key].dataType.simpleString()
+    cut = events.select(key, "kind", *order).repartitionByRange(key, *order).sortWithinPartitions(key, *order, "kind")
+    each = cut.mapInArrow(fold, f"`{key}` {kind}, part int, number int, n long, map array<int>")
+    return each.groupBy(key).agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("part", "number", "map"))), lambda x: x["map"]).alias("maps"))
+
+
+def state_after(state: Column, maps: Column) -> Column:
+    """``state`` after all ``maps``, in order; null maps leave it."""
+    names = F.array(*map(F.lit, STATES))
+    number = F.aggregate(F.coalesce(maps, F.array().cast("array<array<int>>")), F.array_position(names, state).cast("int") - 1, lambda s, m: F.get(m, s))
+    return F.get(names, number)
+
+
+def replay(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """(key, n, status): each job's state after its events (kind) in order."""
+    return folded(events, key, *order).select(key, F.col("n").cast("int").alias("n"), state_after(F.lit("WAITING"), F.col("maps")).alias("status"))
 
 
 def follow(events: DataFrame, jobs_path: str, checkpoint: str, slots: int = 1):
@@ -52,10 +98,10 @@ def follow(events: DataFrame, jobs_path: str, checkpoint: str, slots: int = 1):
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(schema).parquet(f"{jobs_path}/{number - 1}") if number else spark.createDataFrame([], schema)
-        told = batch.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("e"), F.min("seq").alias("new_seq"))
+        told = folded(batch, "job_id", "seq").join(batch.groupBy("job_id").agg(F.min("seq").alias("new_seq")), "job_id")
         both = before.join(told, "job_id", "full")
         start = F.coalesce("status", F.lit("WAITING"))
-        now = F.aggregate(F.coalesce("e", F.array().cast("array<struct<seq:long,kind:string>>")), start, lambda s, e: step(s, e["kind"]))
+        now = state_after(start, F.col("maps"))
         jobs = both.select("job_id", F.coalesce("seq", "new_seq").alias("seq"), now.alias("status"))
         running = jobs.where("status = 'RUNNING'").count()
         chosen = jobs.where("status = 'WAITING'").orderBy("seq", "job_id").limit(max(0, slots - running)).select("job_id", F.lit(True).alias("go"))
