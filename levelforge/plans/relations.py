@@ -134,6 +134,12 @@ def report_text(spark, sf_dir):
     return d.select("doc_id", F.lower(F.element_at(F.split(name, r"\."), -1)).alias("suffix"), html_escape(F.left("text", F.lit(40))).alias("html"), F.regexp_replace(F.lit("made by v3.8.1 on v2.0"), r"v[0-9]+(\.[0-9]+)*", "v3.9").alias("version"), F.right("text", F.lit(20)).alias("ending"), F.concat_ws(" / ", "lang", "source").alias("joined"))
 
 
+@query(r"""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, left(text, 40) AS beginning, right(text, 20) AS ending FROM documents""")
+def report_text_whole(spark, sf_dir):
+    """The whole text of every document escaped, and its two ends: what ``report_text`` leaves out."""
+    return table(spark, sf_dir, "documents").select("doc_id", html_escape(F.col("text")).alias("html"), F.left("text", F.lit(40)).alias("beginning"), F.right("text", F.lit(20)).alias("ending"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN value > 400 THEN NULL ELSE round(value, 4) END AS safe, CASE WHEN value > 400 THEN NULL ELSE CAST(json_extract('{\"input_i\": ' || round(value, 2) || '}', '$.input_i') AS DOUBLE) END AS last_block FROM events")
 def json_fields(spark, sf_dir):
     """A JSON field, a number made safe for JSON, and the last block of its kind in a text."""
