@@ -1,11 +1,11 @@
-"""Removal of byte strings that earlier documents hold, by distributed prefix doubling.
+"""Removal of byte strings that earlier documents hold, by distributed prefix doubling over names.
 
 Positions are named for growing lengths: the name of 16 bytes pairs the names at
 offsets 0 and 8, that of 24 bytes two of 16, that of 32 two of 16 at offset 16,
-that of 50 two of 32 at offset 18. Names are 64-bit mixes of the pair, so any
-position is named without a shuffle; Spark's part in each round is to bring
-equal names together, drop positions whose name is unique, and rank the others
-by the smallest document that holds it.
+that of 50 two of 32 at offset 18. Names are mixes of the pair and stand in for
+ranks, so any position is named without a shuffle; Spark's part in each round is
+to bring equal names together, drop positions whose name is unique, and rank the
+others by the smallest document that holds it.
 
 To have fewer rows than bytes, positions are handled in cells: all windows of
 ``LENGTH`` bytes whose smallest 24-byte name is at the same place (equal windows
@@ -14,15 +14,18 @@ have it at the same offset, so they are in cells that meet).
 * Round 1 brings together the cells with equal 24-byte names. A cell is also
   named with all around it that its windows can reach; where a smaller document
   has that whole context, all windows of the cell are repeats. Cells whose name
-  is in one document only are unique and drop out.
+  is in one document only are unique and drop out. Names that a sample of blocks
+  shows to be frequent are dealt out by name and context, and none of their
+  contexts drops out: that costs round 2 some rows, and changes no result.
 * Round 2 takes the windows of what is left (the first cell of each context
   whose 24-byte name occurs in other contexts: the ends of repeated passages)
   and ranks their names of the full length.
 
 Texts are written once in blocks, bucketed by run of blocks, so no round shuffles text.
 Each block sends a name once, with its smallest document: a passage that a third
-of the documents share is one entry a block. Names compare as 64 bits or more
-beside the bucket they are dealt to.
+of the documents share is one entry a block. Windows compare by 96 bits; cells by
+the 64 bits of their context and 32 of their name. Buckets are as many as the
+bytes of the texts call for, so a task's share does not grow with the table.
 """
 
 from __future__ import annotations
@@ -37,15 +40,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NULL_ID, batch_of, id_array, id_values, materialise, mix64, shared_dir, task, utf8_arrays
+from .common import NULL_ID, batch_of, id_array, id_values, materialise, mix64, random_words, shared_dir, task, utf8_arrays
 
 LENGTH = 50
 GRAM = 24
 _AROUND = LENGTH - GRAM
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Offsets of the words of eight bytes that cover a window, and fixed odd factors of its second name.
+_COVER = [*range(0, LENGTH - 7, 8), LENGTH - 8]
+_FACTORS = random_words(len(_COVER), 23) | np.uint64(1)
+#: Text that one bucket of names and one part of the text table stand for, and the sample of blocks that shows frequent names.
+BUCKET_BYTES, PART_BYTES, SAMPLE_BLOCKS = 32 << 20, 64 << 20, 64
 
-BLOCKS = pa.schema([("run", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("carry", pa.list_(pa.string())), ("raw", pa.large_binary())])
 SENT = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
 
 
@@ -80,6 +88,13 @@ class Names:
         """Names of ``LENGTH`` bytes."""
         return _pair(self._n32(at), self._n32(at + LENGTH - 32))
 
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """Another name of ``LENGTH`` bytes, in 32 bits: a sum of products."""
+        x = np.zeros(len(at), np.uint64)
+        for offset, factor in zip(_COVER, _FACTORS, strict=True):
+            x += self.words[at + offset] * factor
+        return mix64(x) >> np.uint64(32)
+
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     span, out = 1, x
@@ -152,34 +167,41 @@ def _by_bucket(bucket: np.ndarray, doc: np.ndarray):
     """Yields (bucket, indices) with each bucket's entries by document: the order in which answers come back."""
     order = np.lexsort((doc, bucket))
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+    ends = [*edge[1:].tolist(), len(order)]
+    for a, b in zip(edge.tolist(), ends, strict=False):
         yield int(bucket[order[a]]), order[a:b]
 
 
+def _width(most: int) -> int:
+    return next(n for n in (1, 2, 4, 8) if n == 8 or most < 1 << 8 * n)
+
+
 def _payload(doc: np.ndarray, *parts: tuple[np.ndarray, int]) -> bytes:
-    """Documents once each with how many entries they have, then the entries."""
+    """Documents once each, as distances from the smallest, with how many entries they have, then the entries."""
     ids, counts = np.unique(doc, return_counts=True)
-    head = np.array([len(ids), len(doc)], "<u4").tobytes() + ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes()
+    far = ids.view(np.uint64) - ids[:1].view(np.uint64)
+    wide = _width(int(far[-1])), _width(int(counts.max()))
+    head = np.array([len(ids), len(doc), *wide], "<u4").tobytes() + ids[:1].astype("<i8").tobytes() + _cut(far, wide[0]).tobytes() + _cut(counts, wide[1]).tobytes()
     return head + b"".join(_cut(x, n).tobytes() for x, n in parts)
 
 
 def _open(payload: bytes, sizes: list[int]) -> list[np.ndarray]:
-    m, n = np.frombuffer(payload, "<u4", 2).tolist()
-    out = [np.repeat(np.frombuffer(payload, "<i8", m, 8), np.frombuffer(payload, "<u4", m, 8 + 8 * m))]
-    at = 8 + 12 * m
-    for size in sizes:
-        out.append(_whole(np.frombuffer(payload, np.uint8, n * size, at), size))
-        at += n * size
-    return out
+    m, n, *wide = np.frombuffer(payload, "<u4", 4).tolist()
+    low, at = np.frombuffer(payload, "<i8", 1, 16).view(np.uint64), 24
+    out = []
+    for many, size in ((m, wide[0]), (m, wide[1]), *((n, size) for size in sizes)):
+        out.append(_whole(np.frombuffer(payload, np.uint8, many * size, at), size))
+        at += many * size
+    return [np.repeat((out[0] + low).view(np.int64), out[1].astype(np.int64)), *out[2:]]
 
 
-def rank_cells(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Round 1: 1 where a smaller document has the context, 2 for the first of a context whose gram occurs elsewhere too, else 0."""
+def rank_cells(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, frequent: bool = False) -> np.ndarray:
+    """Round 1: 1 where a smaller document has the context, 2 for the first of a context whose gram occurs elsewhere too (or is ``frequent``), else 0."""
     state = np.zeros(len(gram), np.uint8)
     order = np.argsort(gram)
     new = np.diff(gram[order], prepend=~gram[order[:1]]) != 0 if len(order) else np.zeros(0, bool)
     size = np.diff(np.append(np.flatnonzero(new), len(order)))
-    own = order[np.repeat(size > 1, size)]
+    own = order if frequent else order[np.repeat(size > 1, size)]
     own = own[np.lexsort((doc[own], context[own], gram[own]))]
     if not len(own):
         return state
@@ -193,17 +215,18 @@ def rank_cells(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.nda
     high = np.full(group[-1] + 1, -(2**63), np.int64)
     np.minimum.at(low, group[heads], d[heads])
     np.maximum.at(high, group[heads], d[heads])
-    state[own] = np.where(d > least, 1, np.where((low < high)[group], 2, 0))
+    state[own] = np.where(d > least, 1, np.where(frequent | (low < high)[group], 2, 0))
     return state
 
 
-def rank_windows(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def rank_windows(name: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Round 2: 1 where a smaller document has the window."""
     state = np.zeros(len(name), np.uint8)
-    order = np.lexsort((doc, name))
+    order = np.lexsort((doc, second, name))
     if len(order):
-        new = np.append(True, name[order][1:] != name[order][:-1])
-        state[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+        a, b, d = name[order], second[order], doc[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        state[order] = d > d[new][np.cumsum(new) - 1]
     return state
 
 
@@ -219,7 +242,7 @@ def _answer(sent: DataFrame, buckets: int, sizes: list[int], rank) -> DataFrame:
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             counts = [len(part[0]) for part in parts]
             del parts
-            state = rank(*columns[1:], columns[0])
+            state = rank(bucket, *columns[1:], columns[0])
             at = 0
             for (_, run_, block, _), n in zip(own, counts, strict=True):
                 yield batch_of(SENT, [bucket], [run_], [block], [zlib.compress(state[at : at + n].tobytes(), 1)])
@@ -229,10 +252,13 @@ def _answer(sent: DataFrame, buckets: int, sizes: list[int], rank) -> DataFrame:
     return materialise(told.groupBy("run", "block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")))
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = 2_000_000, blocks_per_run: int = 32) -> DataFrame:
-    """Texts in blocks of whole documents of about ``block_bytes``, written once as a table bucketed by run of blocks.
+def text_blocks(docs: DataFrame, parts: int, block_bytes: int = 2_000_000, blocks_per_run: int = 32) -> DataFrame:
+    """Texts in blocks of whole documents of about ``block_bytes``, written once in the shared folder, bucketed by run of blocks.
 
     A run is one file, so files number a few for each task that reads the input.
+    The other columns of ``docs`` go along as they are, as structs (carry). The
+    table's name is taken back at once; its files stay until the caller clears
+    the shared folder.
     """
     spark = docs.sparkSession
 
@@ -242,9 +268,11 @@ def text_blocks(docs: DataFrame, block_bytes: int = 2_000_000, blocks_per_run: i
 
         def flush():
             nonlocal ids, sizes, carry, raw, size, number
-            row = batch_of(BLOCKS, [part << 24 | number // blocks_per_run], [part << 32 | number], [np.concatenate(ids)], [np.concatenate(sizes)], [[x for c in carry for x in c.to_pylist()]], [b"".join(raw)])
+            lists = [np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(carry)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in lists]
+            row = [pa.array([part << 24 | number // blocks_per_run]), pa.array([part << 32 | number]), *lists, pa.array([b"".join(raw)], pa.large_binary())]
             ids, sizes, carry, raw, size, number = [], [], [], [], 0, number + 1
-            return row
+            return pa.RecordBatch.from_arrays(row, names=["run", "block", "ids", "sizes", "carry", "raw"])
 
         for batch in batches:
             names = id_values(batch.column(0))
@@ -264,12 +292,16 @@ def text_blocks(docs: DataFrame, block_bytes: int = 2_000_000, blocks_per_run: i
         if ids:
             yield flush()
 
-    carry = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string"))
-    name, n = f"levelforge_{uuid.uuid4().hex}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.mapInArrow(task(gather), "run long, block long, ids array<long>, sizes array<long>, carry array<string>, raw binary")
-    blocks.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(n, "run").saveAsTable(name)
-    return spark.table(name)
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.struct(*others) if others else F.lit(None).cast("string")).alias("carry"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ids", longs), T.StructField("sizes", longs), T.StructField("carry", T.ArrayType(rows.schema["carry"].dataType)), T.StructField("raw", T.BinaryType())])
+    name = f"levelforge_{uuid.uuid4().hex}"
+    rows.mapInArrow(task(gather), schema).write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(parts, "run").saveAsTable(name)
+    blocks = spark.table(name)
+    blocks.schema  # resolved: from here on the files are what counts
+    spark.sql(f"DROP TABLE {name}")
+    return blocks
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -280,14 +312,16 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256); ``with_text``
     adds the kept text, cut at whole characters (a character of which a byte
-    stays, stays), and the other columns of ``docs`` as JSON (carry). Matches
+    stays, stays), and the other columns of ``docs`` as a struct (carry). Matches
     never cross documents and are judged on the texts as given. A null text is
     empty; a null doc_id is larger than any other; rows with the same doc_id
     never remove from each other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    blocks = text_blocks(docs)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    least = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts, buckets = max(least, n_bytes // PART_BYTES), max(least, n_bytes // BUCKET_BYTES)
+    blocks = text_blocks(docs if with_text else docs.select("doc_id", "text"), parts)
 
     def cells_of(row):
         offsets = np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
@@ -297,12 +331,34 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def rows_of(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+                yield {name: batch.column(j)[i].values if name == "carry" else batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+    def count_grams(batches):
+        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("entries", pa.int64())])
+        for row in rows_of(batches):
+            _, _, _, cells = cells_of(row)
+            gram, n = np.unique(cells.gram[cells.pick], return_counts=True)
+            many = n > 1
+            yield batch_of(schema, gram[many].view(np.int64), n[many], np.full(int(many.sum()), len(cells.pick)))
+
+    def frequent_grams() -> np.ndarray:
+        """Names that would be over an eighth of a bucket, by a sample of blocks; how entries are dealt, not what is found, depends on it."""
+        n_blocks = blocks.count()
+        some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(1 << 20)) * n_blocks < SAMPLE_BLOCKS << 20).select("ids", "sizes", "raw").mapInArrow(task(count_grams), "gram long, n long, entries long")
+        n = some.groupBy("gram").agg(F.sum("n").alias("n"), F.max("entries").alias("entries"))
+        share = F.col("n") * 8 * buckets > F.col("entries") * min(n_blocks, SAMPLE_BLOCKS)
+        return np.sort(n.where((F.col("n") >= 8) & share).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
+
+    frequent = spark.sparkContext.broadcast(frequent_grams())
 
     def cell_entries(ids, cells):
         doc = _smallest(cells.pair, ids[cells.doc], len(cells.pick))
-        gram = cells.gram[cells.pick]
-        return doc, gram, list(_by_bucket(_bucket(gram, buckets), doc))
+        gram, known = cells.gram[cells.pick], frequent.value
+        at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+        spread = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+        # Buckets from ``buckets`` on hold frequent names, dealt by context.
+        bucket = np.where(spread, buckets + _bucket(_pair(gram, cells.context[cells.pick]), buckets), _bucket(gram, buckets))
+        return doc, gram, list(_by_bucket(bucket, doc))
 
     def send_cells(batches):
         for row in rows_of(batches):
@@ -310,7 +366,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             doc, gram, dealt = cell_entries(ids, cells)
             context = cells.context[cells.pick]
             for bucket, own in dealt:
-                yield batch_of(SENT, [bucket], [row["run"]], [row["block"]], [_payload(doc[own], (gram[own], 5), (context[own], 5))])
+                yield batch_of(SENT, [bucket], [row["run"]], [row["block"]], [_payload(doc[own], (gram[own], 4), (context[own], 8))])
 
     def told(dealt, answers, n):
         state = np.zeros(n, np.uint8)
@@ -330,22 +386,27 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         sure, asked = spread(np.flatnonzero(state == 1)), np.flatnonzero(state == 2)
         open_ = spread(asked)
         owner = ids[np.repeat(cells.doc[asked], cells.count[asked])]
-        name, pair = np.unique(cells.names.windows(open_), return_inverse=True) if len(open_) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        name, second = (cells.names.windows(open_), cells.names.second(open_)) if len(open_) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        order = np.lexsort((second, name))
+        new = np.append(True, (name[order][1:] != name[order][:-1]) | (second[order][1:] != second[order][:-1]))[: len(order)]
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        name, second = name[order][new], second[order][new]
         least = _smallest(pair, owner, len(name))
-        return sure, open_, owner, name, pair, least, list(_by_bucket(_bucket(name, buckets), least))
+        return sure, open_, owner, (name, second), pair, least, list(_by_bucket(_bucket(name, buckets), least))
 
     def send_windows(batches):
         for row in rows_of(batches):
             ids, _, _, cells = cells_of(row)
-            _, _, _, name, _, least, dealt = open_windows(row, ids, cells)
+            _, _, _, (name, second), _, least, dealt = open_windows(row, ids, cells)
             for bucket, own in dealt:
-                yield batch_of(SENT, [bucket], [row["run"]], [row["block"]], [_payload(least[own], (name[own], 8))])
+                yield batch_of(SENT, [bucket], [row["run"]], [row["block"]], [_payload(least[own], (name[own], 8), (second[own], 4))])
 
     def finish(batches):
         for row in rows_of(batches):
             ids, raw, offsets, cells = cells_of(row)
-            sure, open_, owner, name, pair, least, dealt = open_windows(row, ids, cells)
-            state = told(dealt, row["more"], len(name))
+            sure, open_, owner, _, pair, least, dealt = open_windows(row, ids, cells)
+            state = told(dealt, row["more"], len(least))
             repeats = np.concatenate([sure, open_[(state[pair] == 1) | (owner > least[pair])]]) if len(open_) else sure
             depth = np.zeros(len(raw) + 1, np.int32)
             np.add.at(depth, repeats, 1)
@@ -374,25 +435,29 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         text = raw[~gone].tobytes()
         at = offsets - total[offsets]
         texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)).cast(pa.string())
-        schema = KEPT.append(pa.field("text", pa.string())).append(pa.field("carry", pa.string()))
+        schema = KEPT.append(pa.field("text", pa.string())).append(pa.field("carry", row["carry"].type))
         yield batch_of(schema, *columns, texts, row["carry"])
 
-    # The table is bucketed by run, which is enough to join by (run, block) without moving a text.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    columns = [f"`{c}`" for c in ("run", "block", "ids", "sizes", "raw")]
-    first = _answer(blocks.select(*columns).mapInArrow(task(send_cells), "bucket int, run long, block long, payload binary"), buckets, [5, 5], rank_cells)
-    joined = blocks.join(first.hint("shuffle_hash"), ["run", "block"], "left")
-    second = _answer(joined.select(*columns, "answers").mapInArrow(task(send_windows), "bucket int, run long, block long, payload binary"), buckets, [8], rank_windows)
-    joined = joined.join(second.withColumnRenamed("answers", "more").hint("shuffle_hash"), ["run", "block"], "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string, carry string" if with_text else "")
+    def with_answers(rows, answers, name):
+        """Left join by run and block. The table is bucketed by run alone: the block is compared beside the key, so no text moves."""
+        told = answers.select(F.col("run").alias("told_run"), F.col("block").alias("told_block"), F.col("answers").alias(name)).hint("shuffle_hash")
+        return rows.join(told, (F.col("run") == F.col("told_run")) & (F.col("block") - F.col("told_block") == 0), "left").drop("told_run", "told_block")
+
+    columns = ["run", "block", "ids", "sizes", "raw"]
+    sent = "bucket int, run long, block long, payload binary"
+    first = _answer(blocks.select(*columns).mapInArrow(task(send_cells), sent), buckets, [4, 8], lambda bucket, *x: rank_cells(*x, frequent=bucket >= buckets))
+    joined = with_answers(blocks, first, "answers")
+    second = _answer(joined.select(*columns, "answers").mapInArrow(task(send_windows), sent), buckets, [8, 4], lambda _, *x: rank_windows(*x))
+    joined = with_answers(joined, second, "more")
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.type == pa.string() else T.LongType()) for f in KEPT])
+    if with_text:
+        schema = schema.add("text", "string").add("carry", blocks.schema["carry"].dataType.elementType)
     return joined.select(*columns, "answers", "more", *(["carry"] if with_text else [])).mapInArrow(task(finish), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeats cut from the texts (n_chars follows); every row stays, other columns as they are."""
+    """``docs`` with repeats cut from the texts (n_chars follows); every row stays, other columns as they are. A null text comes back empty."""
     out = drop_repeats(docs, with_text=True)
-    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text", "n_chars")]
-    if rest:
-        out = out.withColumn("carry", F.from_json("carry", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(columns.get(f.name, F.col(f"carry.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+    at = {c: F.col(f"carry.c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")} | columns
+    return out.select(*(at[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields))
