@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, id_array, id_values, materialise, task
-from .tokens import encoder
+from .tokens import encoder, rules
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,8 +35,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """
     schema = PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECES
 
+    known = rules(tokenizer)
+
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, known)
         for batch in batches:
             docs_ids = id_values(batch.column(0))
             for first, ids, bounds in enc.encode(batch.column(1), end_id):

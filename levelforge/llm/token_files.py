@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, id_array, id_values, materialise, read_file, shared_dir, task, write_file
-from .tokens import encoder
+from .tokens import encoder, rules
 
 BLOCK = 128
 _MAGIC = b"LFPFOR1\x00"
@@ -137,9 +137,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens_p
     committed task reported are in the manifest. An empty table gives no file.
     """
     folder = folder or shared_dir(docs.sparkSession)
+    known = rules(tokenizer)
 
     def write(batches):
-        enc, ids, docs_ids, counts, size, number = encoder(tokenizer), [], [], [], 0, 0
+        enc, ids, docs_ids, counts, size, number = encoder(tokenizer, known), [], [], [], 0, 0
         part = TaskContext.get().partitionId()
 
         def flush():
@@ -171,8 +172,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens_p
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files of a manifest, each file read and unpacked in one task."""
-    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("folder", "name", base.alias("base"))
+    # Tokens ahead of a file: those of the parts before (a row a part reaches the driver), then those of its part's files.
+    parts = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    ahead = np.cumsum([0, *(n for _, n in parts)]).tolist()
+    starts = manifest.sparkSession.createDataFrame([(p, a) for (p, _), a in zip(parts, ahead, strict=False)], "of int, ahead long")
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.withColumn("within", within).join(starts, F.col("part") == F.col("of")).select("folder", "name", (F.col("ahead") + F.col("within")).alias("base"))
     n = max(1, manifest.count())
 
     def read(batches):

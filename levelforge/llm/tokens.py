@@ -4,12 +4,16 @@ Encoding is the dearest step of a corpus job, and most words recur. A text is
 cut where the vocabulary's pre-tokenizer must cut as well (before a single
 space, around a single line end, between a letter and a sentence mark), so the
 ids of the text are those of its pieces in order. Each distinct piece is encoded
-once and remembered; texts whose white space is not of that plain form are
-encoded whole.
+once and remembered. Texts whose white space is not of that plain form, or that
+have a letter before a mark which the vocabulary's own normaliser does not leave
+a letter, are encoded whole, and so are all texts where the tokenizer file is of
+neither form that these cuts hold for.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import unicodedata
 
 import numpy as np
@@ -17,19 +21,66 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space that may join its neighbour, at an end or beside other white space, or the mark itself.
-_IRREGULAR = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MARK = "\x00"
 #: How byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _AS_BYTES = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
 _SPACE = chr(_AS_BYTES[0x20])
-_PROBES = ["Word", " Thelonginent", "éàß", " Übergrößen", " a", "ñandú"]
+_MARKS = ".,;:!?"
+
+
+def _steps(part: dict | None, inner: str) -> list[tuple]:
+    """The steps of a normaliser or pre-tokenizer of a tokenizer file: type, and what decides its effect."""
+    steps = part[inner] if part and part["type"] == "Sequence" else [part] if part else []
+    return [(x["type"], *(json.dumps(x[k]) for k in ("pattern", "content", "behavior", "invert", "add_prefix_space", "use_regex") if k in x)) for x in steps]
+
+
+def form_of(spec: dict) -> str | None:
+    """``bytes`` for byte-level BPE without a normaliser, ``lower`` for lower-cased words without white space, None for any other tokenizer file."""
+    model = spec["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or any(c in t["content"] for c in (" ", "\n", *_MARKS)) for t in spec["added_tokens"]):
+        return None
+    normal, pre = _steps(spec["normalizer"], "normalizers"), _steps(spec["pre_tokenizer"], "pretokenizers")
+    if not normal and pre == [("ByteLevel", "false", "true")]:
+        return "bytes"
+    words = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    lower = [("NFC",), ("Replace", json.dumps({"Regex": r"\s+"}), '" "'), ("Lowercase",)]
+    return "lower" if normal == lower and pre == [("Split", json.dumps(words), '"Removed"', "true"), ("ByteLevel", "false", "false")] else None
+
+
+def letters(tokenizer) -> tuple[str, frozenset[str]]:
+    """(letters that a cut from a following mark may change, letters whose normal form is their lower case or themselves), found with the tokenizer itself."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own = [c for c, yes in zip(points, pc.match_substring_regex(pa.array(points), r"^\pL$").to_pylist(), strict=True) if yes]
+    text = " ".join(c + "." for c in own)
+    normal = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+    begins = {a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(normal)}
+    forms = normal.split(" ")
+    odd, plain, at = [], [], 0
+    for c, form in zip(own, forms, strict=True):
+        if not form.endswith(".") or at + len(form) - 1 not in begins:
+            odd.append(c)
+        elif form[:-1] in (c, c.lower()) and len(form) == 2 and c < "\U00010000" and c.isalpha() and c not in "\u03a3\u0130":
+            plain.append(c)
+        at += len(form) + 1
+    return "".join(odd), frozenset(plain)
+
+
+@functools.lru_cache(8)
+def rules(path: str) -> tuple[str | None, str, frozenset[str]]:
+    """Form of a tokenizer file and its ``letters``: worked out once, on the driver, and sent along with the tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    form = form_of(json.loads(tokenizer.to_str()))
+    return form, *(letters(tokenizer) if form else ("", frozenset()))
 
 
 class PieceEncoder:
     """Encodes Arrow string columns; remembers at most ``most_pieces`` pieces, or those of one slice of texts where they are more."""
 
-    def __init__(self, path: str, most_pieces: int = 500_000):
+    def __init__(self, path: str, most_pieces: int = 500_000, known: tuple | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,15 +88,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_pieces = most_pieces
-        self.direct = next((f for f in (self._as_is, self._lowered) if all(self._by_model(f(p)) == self._whole(p) for p in _PROBES)), None)
+        self.form, odd, self.plain = known or rules(path)
+        self.direct = {"bytes": self._as_is, "lower": self._lowered}.get(self.form)
+        self.irregular = f"^{_IRREGULAR}|{_IRREGULAR}{_IRREGULAR}|{_IRREGULAR}$|{_MARK}" + (f"|[{odd}][{_MARKS}]" if odd else "")
         self._forget()
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _by_model(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
-
     @staticmethod
     def _as_is(piece: str) -> str:
         if piece.isascii():
@@ -65,7 +112,7 @@ class PieceEncoder:
         tokenize, direct = self.tokenizer.model.tokenize, self.direct
         for i, p in enumerate(pieces):
             word = p[1:] if p[:1] == " " else p
-            if direct and word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and "Σ" not in word and "İ" not in word)):
+            if direct and word.isalpha() and (word.isascii() or (self.plain.issuperset(word) and unicodedata.is_normalized("NFC", word))):
                 out[i] = [t.id for t in tokenize(direct(p))]
             else:
                 rest.append(i)
@@ -114,7 +161,7 @@ class PieceEncoder:
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts of plain form, and how many each has."""
-        marked = pc.replace_substring_regex(texts, r"(\pL)([.,;:!?])", "\\1\x00\\2")
+        marked = pc.replace_substring_regex(texts, rf"(\pL)([{_MARKS}])", "\\1\x00\\2")
         marked = pc.replace_substring(marked, " ", _MARK + " ")
         marked = pc.replace_substring(marked, "\n", _MARK + "\n" + _MARK)
         lists = pc.split_pattern(marked, _MARK)
@@ -143,7 +190,7 @@ class PieceEncoder:
         """Yields (first row, ids, n + 1 offsets) for runs of rows; each text's ids end with ``end_id``. Null: empty."""
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         texts = texts.fill_null("") if texts.null_count else texts
-        odd = np.asarray(pc.match_substring_regex(texts, f"^{_IRREGULAR}|{_IRREGULAR}{_IRREGULAR}|{_IRREGULAR}$|{_MARK}").fill_null(False).to_numpy(zero_copy_only=False))
+        odd = np.asarray(pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False)) if self.form else np.ones(len(texts), bool)
         size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
         from .common import text_slices
 
@@ -166,10 +213,10 @@ class PieceEncoder:
             yield first, ids, bounds + np.arange(len(bounds))
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each vocabulary and worker."""
+def encoder(path: str, known: tuple | None = None) -> PieceEncoder:
+    """One encoder for each vocabulary and worker; ``known`` are the driver's ``rules``."""
     from .common import CACHES
 
     if path not in CACHES:
-        CACHES[path] = PieceEncoder(path)
+        CACHES[path] = PieceEncoder(path, known=known)
     return CACHES[path]
