@@ -16,13 +16,16 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share.
+    """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` is used where it is set; where it is
-    not (local tests) a temporary folder takes its place.
+    Where that is not set, a session whose master is local gets a temporary
+    folder; on a cluster each executor would write to its own disk, so it is an
+    error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-levelforge-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -38,6 +41,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of the user has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

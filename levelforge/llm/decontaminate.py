@@ -5,10 +5,16 @@ capitalised words inside a sentence become typed placeholders. Windows of
 ``WINDOW`` template tokens of all documents are hash-joined with those of the
 benchmark; where the benchmark's windows are few (their number is checked) the
 join's filter runs where the documents are read. A window with the item's own
-values is matched as it is. Windows with other values, on one diagonal of a
-document and an item, must fill the placeholders consistently: one value of the
-item always the same value of the document. That finds questions that were given
-other numbers or names.
+values is matched as it is, wherever it stands. Windows with other values, on one
+diagonal of a document and an item, must fill the placeholders consistently: one
+value of the item always the same value of the document. That finds questions
+that were given other numbers or names.
+
+Placeholders alone say nothing: only a window with ``DISTINCT`` different words
+beside its placeholders may hold other values; windows of numbers match word for
+word, and not at all with fewer than ``DISTINCT`` different values. An item with
+fewer than ``WINDOW`` tokens is one window that matches word for word, if it has
+``DISTINCT`` different words.
 """
 
 from __future__ import annotations
@@ -18,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, task, text_slices, utf8_arrays
+from .common import batch_of, fresh, materialise, task, text_slices, utf8_arrays
 from .spans import SpanHasher, byte_hasher, word_spans
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE_PERCENT = 50
+#: Different words that a window needs.
+DISTINCT = 3
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l gal s sec secs min mins h hr hrs hour hours day days week weeks month months year years ms hz khz mhz ghz w kw mw v a k c f pa kpa bar j kj cal kcal percent dollars dollar cents cent euros euro pounds pound meters meter metres metre miles mile inches inch feet foot liters liter litres litre grams gram kilograms kilogram minutes minute seconds second degrees degree".split()
 #: Fixed hashes of the placeholders.
@@ -81,14 +89,14 @@ def templates(raw: np.ndarray, offsets: np.ndarray):
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray, lengths: list[int]):
-    """Yields (document, first token in the document, length, hash, first token, values, placeholders) for each length."""
+    """Yields (document, first token in the document, length, template hash, own hash, first token, values, placeholders) for each length."""
     doc, token, value, slot = templates(raw, offsets)
     n = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.cumsum(n) - n
-    hasher = SpanHasher(token)
+    by_token, by_value = SpanHasher(token), SpanHasher(value)
     for length in lengths:
         own = np.flatnonzero(np.arange(len(doc)) + length <= (first + n)[doc])
-        yield doc[own], own - first[doc[own]], length, hasher.of(own, own + length), own, value, slot
+        yield doc[own], own - first[doc[own]], length, by_token.of(own, own + length), by_value, own, value, slot
 
 
 def _slots(own: np.ndarray, length: int, value: np.ndarray, slot: np.ndarray) -> pa.Array:
@@ -99,21 +107,33 @@ def _slots(own: np.ndarray, length: int, value: np.ndarray, slot: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[at][mask].view(np.int64)))
 
 
+def _different(rows: np.ndarray) -> np.ndarray:
+    """How many different values each row has."""
+    rows = np.sort(rows, axis=1)
+    return 1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, at, length, h, slots, n_windows) of every item (item_id, text); a shorter item is one window, one without tokens none."""
-    schema = pa.schema([("item_id", pa.int64()), ("at", pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64())), ("n_windows", pa.int64())])
+    """(item_id, at, length, h, own_h, slots, may_change, n_windows) of the windows of every item (item_id, text) that say something; n_windows is their number."""
+    schema = pa.schema([("item_id", pa.int64()), ("at", pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("own_h", pa.int64()), ("slots", pa.list_(pa.int64())), ("may_change", pa.bool_()), ("n_windows", pa.int64())])
 
     def run(batches):
         for batch in batches:
             raw, offsets = utf8_arrays(batch.column(1))
             tokens = np.bincount(templates(raw, offsets)[0], minlength=batch.num_rows)
-            for doc, at, length, h, own, value, slot in windows(raw, offsets, sorted({min(window, n) for n in tokens.tolist() if n})):
-                mine = np.minimum(window, tokens[doc]) == length
-                doc, at, h, own = doc[mine], at[mine], h[mine], own[mine]
-                yield batch_of(schema, batch.column(0).take(pa.array(doc)), at, np.full(len(doc), length), h.view(np.int64), _slots(own, length, value, slot), np.bincount(doc, minlength=batch.num_rows)[doc])
+            for doc, at, length, h, by_value, own, value, slot in windows(raw, offsets, sorted({min(window, n) for n in tokens.tolist() if n})):
+                place = own[:, None] + np.arange(length)
+                masked = np.where(slot[place], np.uint64(0), value[place])
+                words = _different(masked) - slot[place].any(axis=1)
+                says = (words >= DISTINCT) | ((length == window) & (_different(value[place]) >= DISTINCT))
+                mine = (np.minimum(window, tokens[doc]) == length) & says
+                doc, at, h, own, words = doc[mine], at[mine], h[mine], own[mine], words[mine]
+                n = np.bincount(doc, minlength=batch.num_rows)[doc]
+                own_h = by_value.of(own, own + length).view(np.int64)
+                yield batch_of(schema, batch.column(0).take(pa.array(doc)), at, np.full(len(doc), length), h.view(np.int64), own_h, _slots(own, length, value, slot), (words >= DISTINCT) & (length == window), n)
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(task(run), "item_id long, at long, length int, h long, slots array<long>, n_windows long")
+    return rows.mapInArrow(task(run), "item_id long, at long, length int, h long, own_h long, slots array<long>, may_change boolean, n_windows long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT, most_broadcast_windows: int = 4_000_000, most_bytes: int = 1 << 20) -> DataFrame:
@@ -122,23 +142,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     n_matched counts the item's windows that the document holds word for word, or
     with other values that are consistent over the changed windows of their
     diagonal; it must reach ``coverage_percent`` of n_windows. kind is
-    ``verbatim`` if some diagonal has the item's own values throughout, else
+    ``verbatim`` if all of them are there with the item's own values, else
     ``reparameterised``. Null and empty texts hold nothing; rows with one doc_id
-    count as one document.
+    count as one document. Repeated items are items each; without items, or
+    without documents, nothing is found.
     """
     spark = docs.sparkSession
     items = materialise(benchmark_windows(benchmark, window))
     lengths = [r["length"] for r in items.select("length").distinct().orderBy("length").collect()]
     few = items.count() <= most_broadcast_windows
     known = spark.sparkContext.broadcast(np.sort(items.select("h").distinct().toPandas()["h"].to_numpy(np.int64)) if few else None)
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_at", pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("doc_at", pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("doc_own_h", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
 
     def run(batches):
         hashes = known.value
         for batch in batches:
             raw, offsets = utf8_arrays(batch.column(1))
             for a, b in text_slices(offsets, most_bytes):
-                for doc, at, length, h, own, value, slot in windows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lengths):
+                for doc, at, length, h, by_value, own, value, slot in windows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lengths):
                     h = h.view(np.int64)
                     if hashes is not None:
                         place = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
@@ -146,25 +167,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
                         doc, at, h, own = doc[hit], at[hit], h[hit], own[hit]
                     for k in range(0, len(doc), 500_000):
                         part = slice(k, k + 500_000)
-                        yield batch_of(schema, batch.column(0).take(pa.array(doc[part] + a)), at[part], np.full(len(doc[part]), length), h[part], _slots(own[part], length, value, slot))
+                        own_h = by_value.of(own[part], own[part] + length).view(np.int64)
+                        yield batch_of(schema, batch.column(0).take(pa.array(doc[part] + a)), at[part], np.full(len(doc[part]), length), h[part], own_h, _slots(own[part], length, value, slot))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(task(run), "doc_id long, doc_at long, length int, h long, doc_slots array<long>")
+    found = rows.mapInArrow(task(run), "doc_id long, doc_at long, length int, h long, doc_own_h long, doc_slots array<long>")
     if few:
         found = materialise(found)
-    hits = found.join(items, ["h", "length"]).where("size(slots) = size(doc_slots)").select("doc_id", "item_id", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), (F.col("slots") == F.col("doc_slots")).alias("same"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("s"))
-    value = hits.groupBy("doc_id", "item_id", "n_windows", "diagonal", "same", "s.slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"), F.collect_set("at").alias("ats"))
-    ats = lambda which: F.flatten(F.collect_list(F.when(which, F.col("ats"))))
-    back = value.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(
-        F.min(F.col("same") | F.col("low").eqNullSafe(F.col("high"))).alias("one"), F.min("same").alias("own"), ats(F.col("same")).alias("same_ats"), ats(~F.col("same")).alias("changed_ats")
-    )
-    good = back.select("doc_id", "item_id", "n_windows", "own", F.array_distinct(F.when(F.col("one"), F.concat("same_ats", "changed_ats")).otherwise(F.col("same_ats"))).alias("ats"))
-    out = good.select("doc_id", "item_id", "n_windows", "own", F.explode("ats").alias("at")).groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("at").alias("n_matched"), F.max("own").alias("own"))
-    return out.where(100 * F.col("n_matched") >= coverage_percent * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_matched", F.when(F.col("own"), "verbatim").otherwise("reparameterised").alias("kind"))
+    pair = ["doc_id", "item_id", "n_windows"]
+    own = items.groupBy("h", "own_h", "length", "item_id", "n_windows").agg(F.collect_list("at").alias("ats"))
+    same = found.select("doc_id", "length", "h", F.col("doc_own_h").alias("own_h")).distinct().join(own, ["h", "own_h", "length"])
+    same = same.select(*pair, F.explode("ats").alias("at"), F.lit(True).alias("same"))
+    changed = found.join(items.where("may_change"), ["h", "length"]).where("own_h <> doc_own_h AND size(slots) = size(doc_slots)")
+    changed = changed.select(*pair, "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.explode(F.arrays_zip("slots", "doc_slots")).alias("s"))
+    value = changed.groupBy(*pair, "diagonal", "s.slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"), F.collect_set("at").alias("ats"))
+    whole = value.groupBy(*pair, "diagonal").agg(F.min(F.col("low") == F.col("high")).alias("one"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")).where("one")
+    both = same.unionByName(whole.select(*pair, F.explode("ats").alias("at"), F.lit(False).alias("same")))
+    out = both.groupBy(*pair, "at").agg(F.max("same").alias("same")).groupBy(*pair).agg(F.count("*").alias("n_matched"), F.min("same").alias("same"))
+    return out.where(100 * F.col("n_matched") >= coverage_percent * F.col("n_windows")).select(*pair, "n_matched", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
-    key = F.xxhash64("doc_id", "text")
-    bad = materialise(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key__")).distinct())
-    return docs.join(bad, key == F.col("key__"), "left_anti")
+    key, name = F.xxhash64("doc_id", "text"), fresh("key")
+    bad = materialise(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bad, key == F.col(name), "left_anti")
