@@ -5,23 +5,29 @@ vantage-point tree fitted on a bounded sample deals the points out to shards: at
 each node a point goes to the inner or the outer side by its distance from the
 vantage point, and an inner point whose ball of the search radius crosses the
 node's boundary goes to the outer side as well. By the triangle inequality two
-points within the radius then meet in at least one shard. Inside a shard the
-same splitting goes on in memory down to leaves that are compared exactly. A
-shard reports a spanning forest of its links, never all its pairs.
+points within the radius then meet in at least one shard. Shards that are still
+too large get a tree of their own and are dealt out again, until each fits.
+Inside a shard the same splitting goes on in memory down to leaves that are
+compared exactly. A shard reports a spanning forest of its links, never all its
+pairs.
 """
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, materialise, task, text_slices, utf8_arrays
+from .common import batch_of, connected_components, fresh, materialise, task, text_slices, utf8_arrays
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LOG = logging.getLogger(__name__)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,7 +98,20 @@ def _distance(x: np.ndarray, v) -> np.ndarray:
     return np.bitwise_count(x ^ v)
 
 
-def fit_router(sample: np.ndarray, shards: int) -> list[tuple[int, int, int, int]]:
+def best_cut(points: np.ndarray, radius: int, tries: int = 8) -> tuple[np.uint64, int, int]:
+    """(vantage point, boundary, points of the larger side): of the first ``tries`` points and all boundaries that with the smallest larger side, copies counted."""
+    best = None
+    for v in points[:tries]:
+        upto = np.concatenate([np.zeros(radius, np.int64), np.cumsum(np.bincount(_distance(points, v), minlength=65))])
+        inner, outer = upto[radius:], len(points) - upto[:65]
+        cost = np.where(outer > 0, np.maximum(inner, outer), len(points))
+        bound = int(cost.argmin())
+        if best is None or cost[bound] < best[2]:
+            best = v, bound, int(cost[bound])
+    return best
+
+
+def fit_router(sample: np.ndarray, shards: int, radius: int = 2) -> list[tuple[int, int, int, int]]:
     """Nodes (vantage point, boundary, inner, outer) of a tree with up to ``shards`` leaves; a child below 0 is shard -1 - child."""
     nodes: list[tuple[int, int, int, int]] = []
     leaves = 0
@@ -100,17 +119,13 @@ def fit_router(sample: np.ndarray, shards: int) -> list[tuple[int, int, int, int
     def build(points: np.ndarray, want: int) -> int:
         nonlocal leaves
         if want > 1 and len(points) >= 8:
-            v = points[0]
-            d = _distance(points, v)
-            bound = int(np.median(d))
-            inner = d <= bound
-            if inner.all() and bound:
-                bound = int(d.max()) - 1
-                inner = d <= bound
-            if not inner.all() and inner.any():
-                k = len(nodes)
+            v, bound, most = best_cut(points, radius)
+            if most < 0.95 * len(points):
+                d = _distance(points, v)
+                inner, outer = points[d <= bound], points[d > bound - radius]
+                k, part = len(nodes), min(want - 1, max(1, round(want * len(inner) / (len(inner) + len(outer)))))
                 nodes.append((0, 0, 0, 0))
-                nodes[k] = (int(v), bound, build(points[inner], want // 2), build(points[~inner], want - want // 2))
+                nodes[k] = (int(v), bound, build(inner, part), build(outer, want - part))
                 return k
         leaves += 1
         return -leaves
@@ -177,12 +192,10 @@ def link_within(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
         own, tries = todo.pop()
         x = points[own]
         if len(own) > leaf and tries < 4:
-            v = x[(len(x) * (2 * tries + 1)) // 8]
-            d = _distance(x, v).astype(np.int64)
-            bound = int(np.median(d))
-            inner, outer = own[d <= bound], own[d > bound - radius]
-            if max(len(inner), len(outer)) < 0.9 * len(own):
-                todo += [(inner, 0), (outer, 0)]
+            v, bound, most = best_cut(np.concatenate([x[(len(x) * (2 * tries + 1)) // 8 :], x[: (len(x) * (2 * tries + 1)) // 8]]), radius, 1)
+            d = _distance(x, v)
+            if most < 0.9 * len(own):
+                todo += [(own[d <= bound], 0), (own[d > bound - radius], 0)]
             else:
                 todo.append((own, tries + 1))
         elif len(own) > 8 * leaf and masks is not None:
@@ -204,21 +217,45 @@ def link_within(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
 def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_per_shard: int = 50_000) -> DataFrame:
     """(a, b): links of a spanning forest over the distinct fingerprints ``points`` (fp) within ``radius`` bits.
 
-    Only the router is fitted on a sample (at most ``sample`` fingerprints); all
-    points are routed and searched. Its size is bounded by the sample.
+    Routers are fitted on a sample (at most ``2 * sample`` fingerprints a
+    round); all points are routed and searched. A shard of over four times
+    ``points_per_shard`` points is dealt out again by a router of its own, unless
+    the last one made it hardly smaller (points all near each other).
     """
     spark = points.sparkSession
-    n = points.count()
-    shards = int(min(max(8, n // points_per_shard), sample // 16))
-    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * n < 2 * sample * (1 << 30)
-    some = points.where(share).orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = spark.sparkContext.broadcast(fit_router(np.random.default_rng(7).permutation(np.sort(some)), shards))
-
-    def deal(batches):
-        for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False)
-            for shard, own in route(x.view(np.uint64), nodes.value, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard, np.int32)), pa.array(x[own])], names=["shard", "fp"])
+    rows, sizes, parts, made, copies = points.select(F.lit(0).cast("long").alias("shard"), "fp"), {0: points.count()}, [], 1, 0
+    least = 8
+    while True:
+        total = sum(sizes.values())
+        share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * total < 2 * sample * (1 << 30)
+        some = rows.where(share).orderBy(F.xxhash64("fp"), "shard").limit(2 * sample).toPandas().drop_duplicates()
+        routers, parent = {}, {}
+        for shard, own in some.groupby("shard")["fp"]:
+            x = np.random.default_rng(7).permutation(np.sort(own.to_numpy(np.int64).view(np.uint64)))
+            nodes = fit_router(x, int(min(max(least, -(-2 * sizes[shard] // points_per_shard)), max(1, len(x) // 16))), radius)
+            routers[shard] = made, nodes
+            parent.update(dict.fromkeys(range(made, made + len(nodes) + 1), shard))
+            made += len(nodes) + 1
+        shared = spark.sparkContext.broadcast(routers)
+
+        def deal(batches, shared=shared):
+            for batch in batches:
+                shard, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                for old in np.unique(shard).tolist():
+                    mine = x[shard == old]
+                    first, nodes = shared.value.get(old, (old, []))
+                    for new, own in route(mine.view(np.uint64), nodes, radius):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), first + new, np.int64)), pa.array(mine[own])], names=["shard", "fp"])
+
+        dealt = materialise(rows.mapInArrow(task(deal), "shard long, fp long"))
+        counts = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}
+        large = {k: n for k, n in counts.items() if n > 4 * points_per_shard and k in parent and n < 0.9 * sizes[parent[k]]}
+        copies += sum(n for k, n in counts.items() if k not in large)
+        parts.append(dealt.where(~F.col("shard").isin(list(large))) if large else dealt)
+        if not large:
+            break
+        rows, sizes, least = dealt.where(F.col("shard").isin(list(large))), large, 2
+    _LOG.info("%d copies of points in shards, largest %d", copies, max(counts.values(), default=0))
 
     def search(_key, table):
         x = np.unique(table["fp"].to_numpy().view(np.uint64))
@@ -226,8 +263,7 @@ def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_
         own = np.flatnonzero(root != np.arange(len(x)))
         return pa.table([x[own].view(np.int64), x[root[own]].view(np.int64)], schema=EDGES)
 
-    dealt = points.select("fp").mapInArrow(task(deal), "shard int, fp long")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    return reduce(DataFrame.union, parts).groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
@@ -244,8 +280,9 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     if similarity is not None:
         links = similar_links(docs, fp, materialise(links), similarity=similarity)
     component = materialise(connected_components(links))
-    group = points.join(component, points.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    least = group.groupBy("group").agg(F.min("least").alias("component_id"))
+    # Both sides are written, so that the join of a large component is a plain one, which the adaptive planner can split.
+    group = materialise(points.join(component, points.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
+    least = materialise(group.groupBy("group").agg(F.min("least").alias("component_id")))
     found = group.join(least, "group").select(F.col("fp").alias("point"), "component_id", "group")
     return fp.join(found, F.col("fp") == F.col("point")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
 
@@ -351,10 +388,19 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
                 yield batch_of(schema, batch.column(0).take(pa.array(doc + first)), h.view(np.int64), place.astype(np.int32), n.astype(np.int32))
 
     def verified(pairs):
-        wanted = pairs.select(F.col("x").alias("text_hash")).union(pairs.select("y")).distinct().withColumnRenamed("text_hash", "wanted")
-        some = distinct.join(wanted, F.col("text_hash") == F.col("wanted"), "left_semi")
+        """The pairs at ``similarity``. The set of the text with fewer pairs goes with the pair; the other's is sent once for each salt."""
+        ends = pairs.select(F.col("x").alias("end")).union(pairs.select("y"))
+        many = ends.groupBy("end").agg(F.count("*").alias("many"))
+        of_x, of_y = (many.select(F.col("end").alias(f"end_{t}"), F.col("many").alias(f"many_{t}")) for t in "xy")
+        known = pairs.join(of_x, F.col("x") == F.col("end_x")).join(of_y, F.col("y") == F.col("end_y"))
+        swap = F.struct("many_x", "x") > F.struct("many_y", "y")
+        turned = known.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("few"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("hub"), F.greatest("many_x", "many_y").alias("many"), "fp_x", "fp_y")
+        salts = (1 + F.floor(F.col("many") / rows_per_salt)).cast("int")
+        turned = materialise(turned.withColumn("salt", F.pmod(F.xxhash64("few"), salts).cast("int")))
+        some = distinct.join(many, F.col("text_hash") == F.col("end"), "left_semi")
         shingles = materialise(some.mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
-        both = pairs.join(shingles.select(F.col("text_hash").alias("x"), F.col("shingles").alias("sx")), "x").join(shingles.select(F.col("text_hash").alias("y"), F.col("shingles").alias("sy")), "y")
+        hubs = turned.select("hub", "salt").distinct().join(shingles.select(F.col("text_hash").alias("hub"), F.col("shingles").alias("sy")), "hub")
+        both = turned.join(shingles.select(F.col("text_hash").alias("few"), F.col("shingles").alias("sx")), "few").join(hubs, ["hub", "salt"])
         shared = F.size(F.array_intersect("sx", "sy"))
         return both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
 
@@ -404,10 +450,13 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     rows = materialise(simhash_components(docs, similarity=similarity))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    best = rows.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("of"), "best")
-    drop = rows.join(best, F.col("group") == F.col("of")).where(key != F.col("best")).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).distinct()
-    twice = materialise(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")))
-    same = F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("hash__"))
+    best = materialise(rows.groupBy("group").agg(F.min(key).alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash")))
+    # No join on the group, which may hold a third of all rows: what is not a best row goes.
+    name, hashed = fresh("id"), fresh("hash")
+    out = rows.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")), "left_anti")
+    drop = materialise(out.select(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)).distinct())
+    twice = materialise(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)))
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(hashed))
     kept = docs.join(drop, same, "left_anti")
     if not twice.head(1):
         return kept
