@@ -2,9 +2,12 @@
 
 Each file starts with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary; every record after it is a frame compressed with it, so one record
-can be read by its offset. Payloads of at least ``min_revisit_bytes`` that occur
-before (by page_id) are revisit records that name the first page; digests and
-first pages come from one grouping over (digest, size).
+can be read by its offset. Every file has a dictionary from its own records:
+trained, or, where they are too few to train on, records as they are. Payloads of
+at least ``min_revisit_bytes`` that occur before (by page_id) are revisit records
+that name the first page; digests and first pages come from one grouping by
+digest. A record's id is made of its page and digest; rows that agree in both
+carry a number after it, but for one of them.
 """
 
 from __future__ import annotations
@@ -32,22 +35,22 @@ RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("p
 RECORD_COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _urn(page_id: int) -> str:
-    return "<urn:page:null>" if page_id == NULL_ID else f"<urn:page:{page_id}>"
+def _urn(page_id: int, digest: str, number: int | None = None) -> str:
+    return f"<urn:page:{'null' if page_id == NULL_ID else page_id}:{digest[:32]}{'' if number is None else f':{number}'}>"
 
 
 def _page_id(urn: str) -> int:
-    value = urn.strip("<>").rpartition(":")[2]
+    value = urn.strip("<>").split(":")[2]
     return NULL_ID if value == "null" else int(value)
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, date: str, number: int | None = None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit without its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, digest, number)}", f"WARC-Date: {date}", f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to, digest)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -62,12 +65,18 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def train_dictionary(records: list[bytes], dictionary_bytes: int = 32_768, sample_bytes: int = 1_500_000) -> bytes:
-    """A dictionary from records spread over the file, ``sample_bytes`` of them; empty if there are too few to learn from."""
-    step = max(1, sum(map(len, records)) // sample_bytes)
-    samples = [r[:16_384] for r in records[::step]]
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * dictionary_bytes:
-        return b""
-    return zstandard.train_dictionary(dictionary_bytes, samples, k=256, d=8).as_bytes()
+    """A dictionary of at most ``dictionary_bytes`` and a tenth of the records, from whole records spread over the file, about ``sample_bytes`` of them.
+
+    What is too little to train on becomes a dictionary of plain content. Empty
+    without records.
+    """
+    total = sum(map(len, records))
+    samples = records[:: max(1, -(-total // sample_bytes))]
+    size = min(dictionary_bytes, max(1024, total // 10))
+    try:
+        return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def archive_bytes(records: list[bytes], dictionary: bytes, level: int = 3) -> bytes:
@@ -100,11 +109,22 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 100, bytes_per_fil
     """
     folder = folder or shared_dir(pages.sparkSession)
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digest = F.sha2(F.encode("html", "utf-8"), 256)
-    seen = materialise(rows.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", digest.alias("digest")))
-    first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    revisit = seen.join(first, "digest").where("page_id <> refers_to").select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), "refers_to").distinct()
-    known = rows.withColumn("digest", digest).join(revisit, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = rows.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
+    seen = materialise(rows.select("page_id", "digest", (F.octet_length("html") >= min_revisit_bytes).alias("long")).groupBy("page_id", "digest", "long").agg(F.count("*").alias("times")))
+    first = seen.where("long").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    revisit = seen.where("long").join(first, "digest").where("page_id <> refers_to").select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), "refers_to")
+    many = materialise(seen.where("times > 1").select(F.col("page_id").alias("many"), F.col("digest").alias("many_digest")))
+    number = F.lit(None).cast("long")
+    if many.head(1):
+        # Rows that agree in page and digest are written once more, numbered; the smallest number gives its place to the plain id.
+        twin = (F.col("page_id") == F.col("many")) & (F.col("digest") == F.col("many_digest"))
+        numbered = materialise(rows.join(many, twin, "left_semi").withColumn("number", F.monotonically_increasing_id()))
+        plain = numbered.groupBy("page_id", "digest").agg(F.min("number").alias("number")).select("number")
+        numbered = numbered.join(plain.select(F.col("number").alias("plain")), F.col("number") == F.col("plain"), "left").select("page_id", "url", "html", "digest", F.when(F.col("plain").isNull(), F.col("number")).alias("number"))
+        rows = rows.join(many, twin, "left_anti").withColumn("number", number).unionByName(numbered)
+    else:
+        rows = rows.withColumn("number", number)
+    known = rows.join(revisit, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "digest", "refers_to", "number")
 
     def write(batches):
         records, size = [], 0
@@ -121,10 +141,10 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 100, bytes_per_fil
             return row
 
         for batch in batches:
-            page, url, html, sha, refers = (batch.column(i) for i in range(5))
+            page, url, html, sha, refers, number = (batch.column(i) for i in range(6))
             html = html.cast(pa.large_binary())
             for i, p in enumerate(page.to_pylist()):
-                records.append(record_bytes(p, url[i].as_py(), html[i].as_py(), sha[i].as_py(), refers[i].as_py(), date))
+                records.append(record_bytes(p, url[i].as_py(), html[i].as_py(), sha[i].as_py(), refers[i].as_py(), date, number[i].as_py()))
                 size += len(records[-1])
                 if size >= bytes_per_file:
                     yield flush()
