@@ -4,15 +4,18 @@ Calls and results meet in a hash join on their identifier within a conversation.
 Calls are ordered topologically by (level, turn, call_id): level is the largest
 number of dependencies on a later turn along any path to the call, so calls
 whose dependencies all lie in earlier turns keep the order of turns without any
-iteration, and only conversations with backward dependencies are relaxed round
-by round. No conversation is ever gathered in one task.
+iteration, and only conversations with backward dependencies are gone through,
+in pieces of bounded size, round by round.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ from .common import batch_of, materialise, task
 #: Schema of the calls that plain chats are read as.
 ASK_SCHEMA = {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "role": {"enum": ["user"]}}, "required": ["prompt", "turn"], "additionalProperties": False}
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -69,7 +73,24 @@ def canonical(value) -> str:
             return {str(k): plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return valid(json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def valid(text: str) -> str:
+    """``text`` with lone surrogates, which no encoding of Unicode holds, as U+FFFD."""
+    return _SURROGATE.sub("\ufffd", text)
+
+
+def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[object, list[str]]:
+    """(value, broken rules) of a call's arguments. What is no JSON, or nested more deeply than Python's parser goes, stays text and is an error."""
+    try:
+        value = json.loads(arguments if arguments is not None else "null")
+        canonical(value)
+        return value, [valid(e) for e in schema_errors(value, schemas[name])] if name in schemas else [f"{name}: unknown tool"]
+    except RecursionError:
+        return arguments, ["$: too deep"]
+    except ValueError:
+        return arguments, ["$: not JSON"]
 
 
 def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +103,7 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     before it. Null texts are empty prompts; null roles are neither.
     """
     call = "struct<id:string,name:string,arguments:string,depends_on:array<string>>"
-    told = F.when(F.col("text").startswith("{"), F.from_json("text", f"tool_calls array<{call}>, tool_call_id string, content string"))
+    told = F.when(F.substring("text", 1, 1) == "{", F.from_json("text", f"tool_calls array<{call}>, tool_call_id string, content string"))
     rows = conversations.select("conv_id", F.col("turn").cast("long"), "role", F.col("text").cast("string"), told.alias("told"))
     has_calls, is_result = F.coalesce(F.size("told.tool_calls") > 0, F.lit(False)), F.col("told.tool_call_id").isNotNull()
     plain = ~has_calls & ~is_result
@@ -96,34 +117,91 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return given.unionByName(asks), results.unionByName(answers)
 
 
-def levels(calls: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(conv_id, call_id, level, cyclic) of distinct calls; needs that name no call of the conversation are left out."""
+def as_tool_chats(conversations: DataFrame) -> DataFrame:
+    """Plain chats told as tool calls: (conv_id, turn, role, text), the same in every run.
+
+    A user turn calls the tool ``ask`` with its text; the next turn's answer is
+    the result. A call needs the one two turns before it, but for turns 2, 8, 14
+    and so on, which need the call two turns after them (that one then needs
+    none): their results have to be ordered against the turns.
+    """
+    turn = F.col("turn").cast("long")
+    number = lambda x: F.concat(F.lit("call-"), x.cast("string"))
+    needs = F.when(turn % 6 == 2, F.array(number(turn + 2))).when((turn % 6 == 4) | (turn < 2), F.array().cast("array<string>")).otherwise(F.array(number(turn - 2)))
+    asked = F.to_json(F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("prompt"), turn.alias("turn"), "role"))
+    call = F.to_json(F.struct(F.array(F.struct(number(turn).alias("id"), F.lit("ask").alias("name"), asked.alias("arguments"), needs.alias("depends_on"))).alias("tool_calls")))
+    result = F.to_json(F.struct(number(turn - 1).alias("tool_call_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content")))
+    return conversations.select("conv_id", "turn", "role", F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
+
+
+def settled(call_ids: list, needs: list, back: list[int], known: list) -> dict:
+    """Levels of the calls that can be ordered: a row a link (call, need, 1 if the need is on a later turn, level of a need that is known)."""
+    waiting, needed_by, level = Counter(call_ids), defaultdict(list), dict.fromkeys(call_ids, 0)
+    ready = []
+
+    def arrive(call, at):
+        level[call] = max(level[call], at)
+        waiting[call] -= 1
+        if not waiting[call]:
+            ready.append(call)
+
+    for call, need, step, at in zip(call_ids, needs, back, known, strict=True):
+        if at is None:
+            needed_by[need].append((call, step))
+        else:
+            arrive(call, at + step)
+    done = {}
+    while ready:
+        call = ready.pop()
+        done[call] = level[call]
+        for other, step in needed_by[call]:
+            arrive(other, level[call] + step)
+    return done
+
+
+def levels(calls: DataFrame, links_per_piece: int = 10_000) -> DataFrame:
+    """(conv_id, call_id, level, cyclic) of distinct calls; needs that name no call of the conversation are left out.
+
+    Only conversations with a link to a later turn are gone through, each cut by
+    turn (and, where one turn has very many calls, by identifier) into pieces of
+    about ``links_per_piece`` links. In a round every piece orders what it can
+    from the levels known before, so a conversation of one piece takes one
+    round, a longer one as many as a path changes pieces. What no round can
+    order is on a cycle or needs one.
+    """
     nodes = calls.select("conv_id", "call_id", "turn")
     there = nodes.select(F.col("conv_id").alias("c"), F.col("call_id").alias("known"), F.col("turn").alias("t"))
     links = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need"))
-    links = links.join(there, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("known"))).select("conv_id", "call_id", "need", (F.col("t") >= F.col("turn")).cast("int").alias("back"))
+    links = links.join(there, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("known"))).select("conv_id", "call_id", "turn", "need", F.coalesce(F.col("t") >= F.col("turn"), F.lit(False)).cast("int").alias("back"))
     links = materialise(links)
-    turned = links.where("back = 1").groupBy("conv_id").agg(F.count("*").alias("limit")).withColumnRenamed("conv_id", "c")
-    odd = materialise(turned)
+    odd = materialise(links.groupBy("conv_id").agg(F.max("back").alias("turned"), F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high")).where("turned = 1").withColumnRenamed("conv_id", "c"))
     if not odd.head(1):
         return nodes.select("conv_id", "call_id", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    own = materialise(links.join(odd, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c"))
-    level = materialise(nodes.join(odd, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "call_id", "limit", F.lit(0).cast("long").alias("level")))
-    for _ in range(most_rounds):
-        of = level.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.col("level").alias("l"))
-        step = own.join(of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("n"))).groupBy("conv_id", "call_id").agg(F.max(F.col("l") + F.col("back")).alias("up"))
-        step = step.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), "up")
-        # One beyond the number of backward links marks a cycle, and stays there.
-        raised = F.least(F.greatest("level", F.coalesce("up", F.lit(0))), F.col("limit") + 1)
-        after = materialise(level.join(step, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left").select("conv_id", "call_id", "limit", raised.alias("level"), (raised > F.col("level")).alias("moved")))
-        moved = after.where("moved").head(1)
-        level = after.drop("moved")
-        if not moved:
+    ranges = 1 + F.floor(F.col("n") / links_per_piece)
+    place = F.coalesce(F.floor((F.col("turn") - F.col("low")) * ranges / (F.col("high") - F.col("low") + 1)), F.lit(0)).cast("int")
+    own = links.join(odd, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("range", place).select("conv_id", "call_id", "need", "back", "range")
+    size = own.groupBy("conv_id", "range").agg((1 + F.floor(F.count("*") / (4 * links_per_piece))).cast("int").alias("salts")).select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "salts")
+    own = materialise(own.join(size, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).withColumn("salt", F.pmod(F.xxhash64("call_id"), F.col("salts")).cast("int")).drop("c", "r", "salts"))
+    kind = calls.schema["conv_id"].dataType.simpleString()
+
+    def order(table):
+        done = settled(*(table[c].to_pylist() for c in ("call_id", "need", "back", "level")))
+        return pa.table([table["conv_id"].take(pa.array(np.zeros(len(done), np.int64))), pa.array(list(done), pa.string()), pa.array(list(done.values()), pa.int32())], names=["conv_id", "call_id", "level"])
+
+    inside = links.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n")).distinct()
+    first = nodes.join(odd.select(F.col("c").alias("o")), F.col("conv_id").eqNullSafe(F.col("o"))).join(inside, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left_anti")
+    known = materialise(first.select("conv_id", "call_id", F.lit(0).alias("level")))
+    while True:
+        of = known.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), "level")
+        asked = own.join(of.drop("level"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left_anti").join(of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("n")), "left").drop("c", "n")
+        found = materialise(asked.groupBy("conv_id", "range", "salt").applyInArrow(order, f"conv_id {kind}, call_id string, level int"))
+        if not found.head(1):
             break
-    else:
-        raise RuntimeError("levels did not settle")
-    found = level.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.col("level").cast("int").alias("l"), (F.col("level") > F.col("limit")).alias("cyclic"))
-    return nodes.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left").select("conv_id", "call_id", F.coalesce("l", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+        known = known.union(found)
+    found = known.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.col("level").alias("l"))
+    out = nodes.join(odd.select(F.col("c").alias("o"), F.lit(True).alias("through")), F.col("conv_id").eqNullSafe(F.col("o")), "left")
+    out = out.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left")
+    return out.select("conv_id", "call_id", F.coalesce("l", F.lit(0)).alias("level"), (F.col("through").isNotNull() & F.col("l").isNull()).alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], salts: int = 64) -> DataFrame:
@@ -178,11 +256,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], salts:
                 message = {"id": call_id}
                 wrong = None
                 if is_call:
-                    try:
-                        value = json.loads(arguments if arguments is not None else "null")
-                        wrong = schema_errors(value, schemas[name]) if name in schemas else [f"{name}: unknown tool"]
-                    except ValueError:
-                        value, wrong = arguments, ["$: not JSON"]
+                    value, wrong = checked(name, arguments, schemas)
                     message |= {"name": name, "arguments": value}
                 if content is not None:
                     message["result"] = content

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -43,9 +44,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shards
+    from .sharding import read_shards, write_shards
 
-    return shards(table(spark, sf_dir, "documents"), byte_limit=SHARD_BYTES)
+    rows = read_shards(spark, *(at := write_shards(table(spark, sf_dir, "documents"), byte_limit=SHARD_BYTES)))
+    shard, n_bytes = F.col(at[1]), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    each = rows.select("doc_id", n_bytes.alias("n_bytes"), shard["depth"].alias("depth"), shard["prefix"].alias("prefix"), shard["page"].alias("page"))
+    sums = each.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"))
+    return each.join(sums, ["depth", "prefix"]).select("doc_id", "n_bytes", "depth", "prefix", "page", "shard_bytes")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +66,9 @@ def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import ASK_SCHEMA, link, messages
+    from .chat import ASK_SCHEMA, as_tool_chats, link, messages
 
-    return link(*messages(table(spark, sf_dir, "conversations")), {"ask": ASK_SCHEMA})
+    return link(*messages(as_tool_chats(table(spark, sf_dir, "conversations"))), {"ask": ASK_SCHEMA})
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

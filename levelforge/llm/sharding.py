@@ -6,6 +6,7 @@ value alone. Bytes are summed by prefix: first at about the depth that the
 total calls for, then, round by round, only for the rows of buckets that are
 still too large. What one key alone has beyond the limit is cut into overflow
 pages by running byte counts, so that every shard of more than one row fits.
+``write_shards`` writes the rows, a folder to a shard.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise, shared_dir
 
 BITS = 60
 #: Bits a round adds below the buckets that are still too large.
@@ -58,25 +59,75 @@ def directory(sized: DataFrame, byte_limit: int) -> DataFrame:
         low, high = high + 1, min(BITS, high + STEP)
 
 
-def shards(docs: DataFrame, byte_limit: int = 256 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, depth, prefix, page, shard_bytes) of every row: its bucket and overflow page.
+def _sized(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), key_hash(key).alias("h"))
 
-    A null text has no bytes; null keys are one key. Rows of one key stay in
-    one bucket; shard_bytes is the bucket's. Only a row that is over the limit
-    by itself makes a page over the limit.
-    """
-    sized = materialise(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), key_hash(key).alias("h")).withColumn("row", F.monotonically_increasing_id()))
-    buckets = directory(sized, byte_limit)
+
+def _entries(buckets: DataFrame) -> tuple[int, DataFrame]:
+    """(bits, (entry, depth, prefix, shard_bytes)): the directory, an entry for each prefix of so many bits; shallower buckets have several entries, deeper ones share one."""
     at = buckets.agg(F.percentile_approx("depth", 0.5)).first()[0] or 0
-    # The directory: an entry for each prefix of ``at`` bits; shallower buckets have several entries, deeper ones share one.
     entry = F.when(F.col("depth") <= at, F.sequence(F.expr(f"shiftleft(prefix, greatest(0, {at} - depth))"), F.expr(f"shiftleft(prefix + 1, greatest(0, {at} - depth)) - 1"))).otherwise(F.array(F.expr(f"shiftright(prefix, greatest(0, depth - {at}))")))
-    entries = buckets.select(F.explode(entry).alias("entry"), "depth", "prefix", "shard_bytes")
-    found = sized.withColumn("mine", _prefix(F.col("h"), at)).join(entries, F.expr(f"mine = entry AND shiftright(h, {BITS} - depth) = prefix"))
-    fit = found.where(F.col("shard_bytes") <= byte_limit).select("doc_id", "n_bytes", "depth", "prefix", F.lit(0).cast("long").alias("page"), "shard_bytes")
-    over = found.where(F.col("shard_bytes") > byte_limit).withColumn("part", F.shiftright("row", 16))
+    return at, buckets.select(F.explode(entry).alias("entry"), "depth", "prefix", "shard_bytes")
+
+
+def _pages(over: DataFrame, byte_limit: int) -> DataFrame:
+    """``over`` (depth, prefix, row, n_bytes and others; rows of buckets beyond the limit) with the overflow page of each."""
+    over = over.withColumn("part", F.shiftright("row", 16))
     parts = over.groupBy("depth", "prefix", "part").agg(F.sum("n_bytes").alias("s"), F.max("n_bytes").alias("m"))
     ahead = parts.select("depth", "prefix", "part", (F.sum("s").over(Window.partitionBy("depth", "prefix").orderBy("part")) - F.col("s")).alias("ahead"), F.max("m").over(Window.partitionBy("depth", "prefix")).alias("largest"))
     within = F.sum("n_bytes").over(Window.partitionBy("depth", "prefix", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     placed = over.withColumn("within", F.coalesce(within, F.lit(0))).join(ahead, ["depth", "prefix", "part"])
     page = F.expr(f"CASE WHEN largest >= {byte_limit} THEN ahead + within ELSE (ahead + within) div greatest({byte_limit} - largest, 1) END")
-    return fit.unionByName(placed.select("doc_id", "n_bytes", "depth", "prefix", page.cast("long").alias("page"), "shard_bytes"))
+    return placed.withColumn("page", page.cast("long")).drop("part", "within", "ahead", "largest")
+
+
+def shards(docs: DataFrame, byte_limit: int = 256 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, depth, prefix, page, shard_bytes) of every row: its bucket and overflow page.
+
+    A null text has no bytes; null keys are one key. Rows of one key stay in
+    one bucket; shard_bytes is the bucket's. Only a row that is over the limit
+    by itself makes a page over the limit. An empty table has no shard.
+    """
+    sized = materialise(_sized(docs, key, text).withColumn("row", F.monotonically_increasing_id()))
+    at, entries = _entries(directory(sized, byte_limit))
+    found = sized.withColumn("mine", _prefix(F.col("h"), at)).join(entries, F.expr(f"mine = entry AND shiftright(h, {BITS} - depth) = prefix"))
+    columns = ["doc_id", "n_bytes", "depth", "prefix", "page", "shard_bytes"]
+    fit = found.where(F.col("shard_bytes") <= byte_limit).withColumn("page", F.lit(0).cast("long")).select(columns)
+    return fit.unionByName(_pages(found.where(F.col("shard_bytes") > byte_limit), byte_limit).select(columns))
+
+
+def write_shards(docs: DataFrame, byte_limit: int = 256 << 20, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[str, str]:
+    """Write ``docs`` as Parquet, a folder to a shard; returns the folder and the name of the partition column.
+
+    Rows and limits are those of ``shards``. The column is called shard, with
+    underscores after it where ``docs`` has that name; its values are
+    depth-prefix-page. Only the rows of buckets that one key fills beyond the
+    limit are written twice.
+    """
+    folder = folder or shared_dir(docs.sparkSession)
+    column = "shard"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    at, entries = _entries(directory(materialise(_sized(docs, key, text)), byte_limit))
+    own = {c: fresh(c) for c in ("h", "entry", "depth", "prefix", "shard_bytes")}
+    entries = entries.withColumnsRenamed(own)
+    h, depth, prefix, size = (F.col(own[c]) for c in ("h", "depth", "prefix", "shard_bytes"))
+    deep = F.expr(f"shiftright({own['h']}, {BITS} - {own['depth']})") == prefix
+    found = docs.withColumn(own["h"], key_hash(key)).join(entries, (_prefix(h, at) == F.col(own["entry"])) & deep)
+    user = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("user")
+    name = lambda page: F.concat_ws("-", "depth", "prefix", page).alias("shard")
+    rows = found.where(size <= byte_limit).select(depth.alias("depth"), prefix.alias("prefix"), user).select(name(F.lit(0)), "user")
+    over = entries.where(size > byte_limit)
+    if over.head(1):
+        n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes")
+        large = materialise(found.where(size > byte_limit).select(depth.alias("depth"), prefix.alias("prefix"), n_bytes, F.monotonically_increasing_id().alias("row"), user))
+        rows = rows.unionByName(_pages(large, byte_limit).select(name(F.col("page")), "user"))
+    rows.select("user.*", F.col("shard").alias(column)).repartition(column).write.partitionBy(column).parquet(folder)
+    return folder, column
+
+
+def read_shards(spark, folder: str, column: str) -> DataFrame:
+    """The rows of all shards with depth, prefix and page as a struct (``column``) in place of the shard's name."""
+    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(folder)
+    part = lambda i: F.split_part(F.col(column).cast("string"), F.lit("-"), F.lit(i))
+    return rows.withColumn(column, F.struct(part(1).cast("int").alias("depth"), part(2).cast("long").alias("prefix"), part(3).cast("long").alias("page")))
