@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, task, text_slices, utf8_arrays
+from .common import batch_of, fresh, materialise, task, text_slices, utf8_arrays
 from .spans import SpanHasher, byte_hasher, line_spans, repeated, word_spans
 
 #: Fixed values of the base rules.
@@ -22,9 +23,10 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line goes from a host when at least MIN_LINE_DOCS of its documents and more than LINE_SHARE_PERCENT % of them have it.
+#: A line goes from a host when at least MIN_LINE_DOCS of its documents have it, and more than LINE_SHARE_PERCENT % of them or MAX_LINE_DOCS: in a large host too.
 MIN_LINE_DOCS = 10
 LINE_SHARE_PERCENT = 5
+MAX_LINE_DOCS = 1000
 #: A document that loses lines is depleted if less than this share of its words, or fewer than MIN_WORDS, stay.
 KEEP_PERCENT = 30
 
@@ -94,12 +96,12 @@ def _measured(docs: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     return rows.mapInArrow(task(run), "doc_id long, source string, text_hash long, " + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<long>, line_words array<long>")
 
 
-def frequent_lines(measured: DataFrame, min_docs: int = MIN_LINE_DOCS, share_percent: int = LINE_SHARE_PERCENT) -> DataFrame:
+def frequent_lines(measured: DataFrame, min_docs: int = MIN_LINE_DOCS, share_percent: int = LINE_SHARE_PERCENT, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """(host, line): lines above the limits; a null host is a host of its own."""
     texts = measured.groupBy("source", "text_hash").agg(F.first("lines").alias("lines"))
     hosts = texts.groupBy("source").agg(F.count("*").alias("docs"))
     seen = texts.select("source", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    over = seen.alias("s").join(hosts.alias("h"), F.expr("s.source <=> h.source")).where(100 * F.col("n") > share_percent * F.col("docs"))
+    over = seen.alias("s").join(hosts.alias("h"), F.expr("s.source <=> h.source")).where((100 * F.col("n") > share_percent * F.col("docs")) | (F.col("n") >= max_docs))
     return over.select(F.col("s.source").alias("host"), "line")
 
 
@@ -129,18 +131,21 @@ def quality(docs: DataFrame, most_broadcast_lines: int = 100_000, with_lines: bo
 
 def apply_quality(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents and without the lines above the limits (n_chars follows the text)."""
-    verdict = materialise(quality(docs, with_lines=True).where("NOT kept OR gone IS NOT NULL").select("doc_id", "source", "text_hash", "kept", "gone").dropDuplicates(["doc_id", "source", "text_hash"]))
-    names = docs.columns
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).alias("d").join(verdict.alias("v"), F.expr("d.doc_id <=> v.doc_id AND d.source <=> v.source AND d.text_hash = v.text_hash"), "left")
-    rows = rows.where("coalesce(v.kept, true)").select(*(F.col(f"d.`{c}`") for c in names), F.col("v.gone").alias("gone__"))
+    verdict = quality(docs, with_lines=True).where("NOT kept OR gone IS NOT NULL").select("doc_id", "source", "text_hash", "kept", "gone").dropDuplicates(["doc_id", "source", "text_hash"])
+    own = {c: fresh(c) for c in verdict.columns}
+    verdict = materialise(verdict.withColumnsRenamed(own))
+    of = {c: F.col(x) for c, x in own.items()}
+    same = F.col("doc_id").cast("long").eqNullSafe(of["doc_id"]) & F.col("source").cast("string").eqNullSafe(of["source"]) & (F.xxhash64("text") == of["text_hash"])
+    names, mark = docs.columns, own["gone"]
+    rows = docs.join(verdict, same, "left").where(F.coalesce(of["kept"], F.lit(True))).select(*(F.col(f"`{c}`") for c in names), of["gone"])
     schema = docs.schema
 
     def cut(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if batch.column("gone__").null_count < batch.num_rows:
+            if batch.column(mark).null_count < batch.num_rows:
                 texts = batch.column("text").to_pylist()
-                for i, gone in enumerate(batch.column("gone__").to_pylist()):
+                for i, gone in enumerate(batch.column(mark).to_pylist()):
                     if gone:
                         raw = np.frombuffer(texts[i].encode(), np.uint8)
                         offsets = np.array([0, len(raw)])
@@ -150,11 +155,8 @@ def apply_quality(docs: DataFrame) -> DataFrame:
                 table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, batch.column("text").type))
                 if "n_chars" in names:
                     at = table.schema.get_field_index("n_chars")
-                    import pyarrow.compute as pc
-
                     count = pc.utf8_length(table["text"]).cast(table.schema.field("n_chars").type)
-                    cut_ = pc.is_valid(table["gone__"])
-                    table = table.set_column(at, "n_chars", pc.if_else(cut_, count, table["n_chars"]))
-            yield from table.drop_columns(["gone__"]).to_batches()
+                    table = table.set_column(at, "n_chars", pc.if_else(pc.is_valid(table[mark]), count, table["n_chars"]))
+            yield from table.drop_columns([mark]).to_batches()
 
     return rows.mapInArrow(task(cut), schema)

@@ -30,7 +30,7 @@ m AS (
 l AS (SELECT rid, source, text, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, source, text, unnest(lines) AS x FROM m)),
 seen AS (SELECT source, array_to_string(lw, ' ') AS line, count(DISTINCT text) AS n FROM l GROUP BY ALL HAVING count(DISTINCT text) >= 10),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-freq AS (SELECT seen.source, line FROM seen JOIN hosts ON seen.source IS NOT DISTINCT FROM hosts.source WHERE 100 * n > 5 * docs),
+freq AS (SELECT seen.source, line FROM seen JOIN hosts ON seen.source IS NOT DISTINCT FROM hosts.source WHERE 100 * n > 5 * docs OR n >= 1000),
 gone AS (SELECT rid, sum(len(lw)) AS n FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND array_to_string(lw, ' ') = line GROUP BY rid),
 v AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words FROM m LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
