@@ -64,6 +64,45 @@ def half_even(x: Column, digits: int = 3) -> Column:
     return F.bround(x, digits)
 
 
+def fixed(x: Column, digits: int, sign: bool = False) -> Column:
+    """``x`` in ``digits`` decimals, the exact binary value rounded half to even, as printf does; ``sign`` shows a plus too.
+
+    Spark's format_string rounds the shortest decimal form half up. Here the
+    error of the product with 10^digits is worked out (Dekker's split), so it is
+    known on which side of a tie the value lies.
+    """
+    k = 10.0**digits
+    c = x * 134217729.0
+    high = c - (c - x)
+    product = x * k
+    error = (high * k - product) + (x - high) * k
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1.0))))
+    nearest = whole + F.when(up, 1.0).otherwise(0.0)
+    text = F.format_string(f"%.{digits}f", F.abs(nearest) / k)
+    prefix = F.when((x < 0) | (nearest < 0), "-").otherwise("+" if sign else "")
+    odd = F.when(F.isnan(x), "nan").when(x == INF, "+inf" if sign else "inf").when(x == -INF, "-inf")
+    return F.when(x.isNotNull(), F.coalesce(odd, F.concat(prefix, text)))
+
+
+def metric_text(x: Column) -> Column:
+    """Two decimals; whatever is not finite is ``-inf``."""
+    return F.when(finite(x), fixed(x, 2)).otherwise("-inf")
+
+
+def to_float(text: Column, default: float | None = None) -> Column:
+    """A text's finite number, else ``default``."""
+    x = text.cast("string").try_cast("double")
+    return F.when(finite(x), x).otherwise(F.lit(default).cast("double"))
+
+
+def to_int(text: Column, default: int = 0) -> Column:
+    """A trimmed text that is a whole number, else ``default``."""
+    clean = F.trim(text.cast("string"))
+    return F.coalesce(F.when(clean.rlike("^[+-]?[0-9]+$"), clean.try_cast("int")), F.lit(default))
+
+
 def html_escape(x: Column) -> Column:
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(raw), F.lit(name))

@@ -158,9 +158,12 @@ coalesce(s.tail - o.tail > 0.65 AND (o.tail < -20 OR s.crest - o.crest > 0.75),
 """
 _DELAY = "CASE WHEN abs(delay) <= 1 THEN 'PASS' WHEN abs(delay) <= 8 THEN 'INFO' WHEN abs(delay) <= 47 THEN 'WARN' WHEN NOT consistent THEN 'UNCERTAIN' ELSE 'FAIL' END"
 GATE = PAIRS + f"""d AS (SELECT *, {_DELAY} AS delay_class FROM p),
-i AS (SELECT *, list_filter([CASE WHEN abs(lufs + 18) > 0.6 THEN 'LUFS target miss' END, CASE WHEN tp > -8.95 THEN 'true peak exceeded' END, CASE WHEN clipped > 0 THEN 'clipped samples' END,
-CASE WHEN abs(dc) > 0.04 THEN 'DC offset too high' END, CASE WHEN delay_class = 'FAIL' THEN 'confirmed residual processing delay' END, CASE WHEN risk THEN 'DYNAMICS RISK' END], lambda x: x IS NOT NULL) AS issues,
-list_filter([CASE WHEN delay_class = 'UNCERTAIN' THEN 'large delay estimate is inconsistent' END, CASE WHEN reduction > 1.5 THEN 'LRA reduced' END, CASE WHEN delay_class = 'WARN' THEN 'sub-millisecond delay estimate' END], lambda x: x IS NOT NULL) AS warnings FROM d),
+i AS (SELECT *, list_filter([CASE WHEN abs(lufs + 18) > 0.6 THEN printf('LUFS target miss: %.2f LUFS (target -18.00 ±0.60)', lufs) END, CASE WHEN tp > -8.95 THEN printf('true peak exceeded: %.2f dBTP > -9.00 dBTP', tp) END,
+CASE WHEN clipped > 0 THEN printf('clipped samples: %d', clipped) END, CASE WHEN abs(dc) > 0.04 THEN printf('DC offset too high: %.6f', abs(dc)) END, CASE WHEN delay_class = 'FAIL' THEN
+printf('confirmed residual processing delay: %d samples (%.3f ms, confidence 1.00, windows [%d])', delay, abs(delay) / 48.0::DOUBLE, delay) END,
+CASE WHEN risk THEN printf('DYNAMICS RISK: LRA reduced %.2f LU (preferred limit 0.60), final LRA %.2f LU, crest loss %.2f dB', reduction, tail, crest_loss) END], lambda x: x IS NOT NULL) AS issues,
+list_filter([CASE WHEN delay_class = 'UNCERTAIN' THEN printf('large delay estimate is inconsistent: median %d samples, confidence 1.00, windows [%d]', delay, delay) END, CASE WHEN reduction > 1.5 THEN printf('LRA reduced by %.2f LU', reduction) END,
+CASE WHEN delay_class = 'WARN' THEN printf('sub-millisecond delay estimate %d samples (%.3f ms); windows [%d], no audio shift applied', delay, abs(delay) / 48.0::DOUBLE, delay) END], lambda x: x IS NOT NULL) AS warnings FROM d),
 g AS (SELECT *, CASE WHEN len(issues) > 0 THEN 'FAIL' WHEN len(warnings) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM i),
 z AS (SELECT *, CASE WHEN len(issues) > 0 OR len(list_filter(warnings, lambda w: NOT starts_with(w, 'sub-millisecond'))) > 0 THEN 'NEEDS_REVIEW' WHEN len(warnings) > 0 THEN 'READY_WITH_WARNING' ELSE 'READY' END AS disposition FROM g)
 """
@@ -176,9 +179,11 @@ def gated(spark, sf_dir) -> DataFrame:
     reduction, crest_loss = F.col("tail") - F.col("o_tail"), F.col("crest") - F.col("o_crest")
     delay = R.delay_class(F.col("delay"), F.col("consistent"), F.lit(1.0))
     p = p.withColumns({"delay_class": delay, "reduction": reduction, "crest_loss": crest_loss, "risk": R.dynamics_risk(reduction, F.col("o_tail"), crest_loss, min_lra=-20)})
-    seen = {"lufs": F.col("o_lufs"), "true_peak": F.col("o_tp"), "clipped": F.col("o_clipped"), "dc": F.abs(F.col("o_dc")) / 400, "delay": F.col("delay_class"), "risk": F.col("risk")}
-    warnings = F.concat(R.gate_warnings({"delay": F.col("delay_class"), "lra_reduction": F.col("reduction")}), R.texts((F.col("delay_class") == "WARN", "sub-millisecond delay estimate")))
-    p = p.withColumns({"issues": R.gate_issues(seen, -18.0, -9.0, 0.6), "warnings": warnings})
+    note = R.delay_note(F.col("delay"), F.col("consistent"), F.lit(1.0), F.array("delay"))
+    seen = {"lufs": F.col("o_lufs"), "true_peak": F.col("o_tp"), "clipped": F.col("o_clipped"), "dc": F.abs(F.col("o_dc")), "delay": F.col("delay_class"), "delay_note": note}
+    seen |= {"risk": F.col("risk"), "lra_reduction": F.col("reduction"), "lra": F.col("o_tail"), "crest_loss": F.col("crest_loss")}
+    warnings = F.concat(R.gate_warnings({"delay": F.col("delay_class"), "delay_note": note, "lra_reduction": F.col("reduction")}), R.texts((F.col("delay_class") == "WARN", note)))
+    p = p.withColumns({"issues": R.gate_issues(seen, -18.0, -9.0, lufs_tolerance=0.6, dc=0.04), "warnings": warnings})
     return p.withColumns({"status": R.gate_status(F.col("issues"), F.col("warnings")), "disposition": R.disposition(F.col("issues"), F.col("warnings"), F.lit(True))})
 
 
@@ -247,7 +252,7 @@ _STEP = "(CASE WHEN {n} <= 0 THEN 0 ELSE least(1.5, greatest(0.05, {n})) END)"
 a AS (SELECT *, CASE WHEN c <= -1.45 THEN 0 ELSE least(2.0, {_STEP.format(n='(c + 1.6)')}) END AS s1 FROM m),
 b AS (SELECT *, CASE WHEN c - s1 <= -1.45 OR s1 >= 2 - 1e-9 THEN 0 ELSE least(2.0 - s1, {_STEP.format(n='(c - s1 + 1.6)')}) END AS s2 FROM a),
 d AS (SELECT *, CASE WHEN c - s1 - s2 <= -1.45 OR s1 + s2 >= 2 - 1e-9 THEN 0 ELSE least(2.0 - s1 - s2, {_STEP.format(n='(c - s1 - s2 + 1.6)')}) END AS s3 FROM b)
-SELECT vec_id, CAST(CASE WHEN tp + 1.25 > 0 AND tp + 1.25 <= 0.5 THEN round(-(tp + 1.25), 3) ELSE 0 END AS DOUBLE) + 0.0::DOUBLE AS trim_db, round(CAST({_STEP.format(n='(c + 1.6)')} AS DOUBLE), 6) AS codec_step_db,
+SELECT vec_id, CAST(CASE WHEN tp + 1.2 > 0 AND tp + 1.2 + 0.05 <= 0.5 THEN round(-(tp + 1.2 + 0.05), 3) ELSE 0 END AS DOUBLE) + 0.0::DOUBLE AS trim_db, round(CAST({_STEP.format(n='(c + 1.6)')} AS DOUBLE), 6) AS codec_step_db,
 round(CAST(s1 + s2 + s3 AS DOUBLE), 6) AS codec_total_db, CAST((s1 > 1e-9)::INT + (s2 > 1e-9)::INT + (s3 > 1e-9)::INT AS INTEGER) AS passes, c - s1 - s2 - s3 <= -1.45 AS safe FROM d""")
 def peak_trim_and_codec_loop(spark, sf_dir):
     tp = F.round(db(A.peak(F.col("x"))) + 8, 9)

@@ -157,10 +157,11 @@ def retry_policy(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_suppkey, count(*) AS n, round(max(l_extendedprice) / 1000, 6) AS p, round(avg(l_discount) * 100, 6) AS d FROM lineitem GROUP BY l_suppkey)
-SELECT a.l_suppkey, array_to_string(list_filter([CASE WHEN abs(b.n - a.n) > 20 THEN 'duration' END, CASE WHEN b.p - a.p > 0.01 THEN 'clipping' END, CASE WHEN abs(b.d - a.d) > 4.5 THEN 'level' END, CASE WHEN b.d - a.d < -0.1 THEN 'high band' END], lambda x: x IS NOT NULL), ', ') AS issues FROM s a JOIN s b ON b.l_suppkey = a.l_suppkey + 1""")
+SELECT a.l_suppkey, array_to_string(list_filter([CASE WHEN abs(b.n - a.n) > 20 THEN 'duration changed' END, CASE WHEN b.p - 95 > 0.01 THEN 'new clipping' END, CASE WHEN abs(b.d - a.d) > 4.5 THEN 'RMS change exceeds 4.5 dB' END,
+CASE WHEN 20 * log10(b.d / 10) - 20 * log10(a.d / 10) < -2.5 THEN 'high-frequency loss exceeds 2.5 dB' END], lambda x: x IS NOT NULL), ', ') AS issues FROM s a JOIN s b ON b.l_suppkey = a.l_suppkey + 1""")
 def integrity_guard(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.max("l_extendedprice") / 1000, 6).alias("p"), F.round(F.avg("l_discount") * 100, 6).alias("d"))
     b = s.select((F.col("l_suppkey") - 1).alias("l_suppkey"), *(F.col(c).alias(f"{c}2") for c in "npd"))
     c = F.col
-    issues = R.integrity_issues((c("n2") - c("n")) / 2000.0, F.lit(0), F.lit(0), c("p2") - c("p"), c("d2") - c("d"), (c("d2") - c("d")) * 25)
+    issues = R.integrity_issues((c("n2") - c("n")) / 2000.0, F.lit(0), F.lit(0), c("p2") - 95, c("d2") - c("d"), c("d") / 10, c("d2") / 10)
     return s.join(b, "l_suppkey").select("l_suppkey", F.array_join(issues, ", ").alias("issues"))

@@ -117,17 +117,24 @@ def preflight_and_gain(spark, sf_dir):
     return made.select("user_id", F.round("p.adaptive", 3).alias("adaptive"), F.round("p.reduction", 3).alias("reduction"), "p.mode", "p.stressed", "p.gain_only", F.round("p.effective", 3).alias("effective"), "p.review", "gain_db", F.array_join("p.reasons", "; ").alias("reasons"))
 
 
-@query(BASE + """, u AS (SELECT user_id, round(-30 + avg(v) FILTER (i <= 15) / 10, 6) AS rms, round(avg(CASE WHEN v < 30 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS quiet, round(avg(CASE WHEN v > 200 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS high, round(avg(CASE WHEN v > 250 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS very, round(exp(avg(ln(v))) / avg(v) - 0.4, 6) AS flat, round(count(*) FILTER (v > 300) / 10.0::DOUBLE, 6) AS clicks, round(max(v) / 20, 6) AS hum FROM s GROUP BY user_id),
-a AS (SELECT *, greatest(0, (high - 0.055) * 180) + greatest(0, (flat - 0.08) * 45) AS st FROM u), b AS (SELECT *, rms < -21 AND quiet > 0.08 AND high > 0.06 AND flat > 0.07 AND st >= 8 AS hiss, clicks >= 0.8 AND rms < -18 AS click, rms < -16 AND hum >= 18 AS hum_, very > 0.18 AND flat > 0.12 AND very > 0.12 AS art FROM a),
-c AS (SELECT *, hiss AND high > 0.09 AND flat > 0.06 AS stat FROM b), d AS (SELECT *, greatest(0, least(100, CASE WHEN hiss THEN least(42, st) ELSE 0 END + CASE WHEN stat THEN 8 ELSE 0 END + CASE WHEN click THEN least(32, 8 + 4 * clicks) ELSE 0 END + CASE WHEN hum_ THEN least(35, 0.9 * hum) ELSE 0 END + CASE WHEN art THEN 26 ELSE 0 END)) AS score FROM c)
+@query(BASE + """, u AS (SELECT user_id, round(-30 + avg(v) FILTER (i <= 15) / 10, 6) AS rms, round(avg(CASE WHEN v < 30 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS quiet, round(avg(CASE WHEN v > 200 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS high, round(avg(CASE WHEN v > 250 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS very, round(exp(avg(ln(v))) / avg(v) - 0.4, 6) AS flat, round(count(*) FILTER (v > 300) / 10.0::DOUBLE, 6) AS clicks, round(max(v) / 20, 6) AS hum,
+round(avg(CASE WHEN v > 200 THEN 1.0 ELSE 0.0 END) FILTER (mid)::DOUBLE, 6) AS mid_high, round(exp(avg(ln(v)) FILTER (mid)) / avg(v) FILTER (mid) - 0.4, 6) AS mid_flat,
+round(greatest(avg(CASE WHEN v > 250 THEN 1.0 ELSE 0.0 END) FILTER (mid), avg(CASE WHEN v > 250 THEN 1.0 ELSE 0.0 END) FILTER (i > n - 8))::DOUBLE, 6) AS body_very
+FROM (SELECT *, i > greatest(0, n // 2 - 4) AND i <= greatest(0, n // 2 - 4) + 8 AS mid FROM s) GROUP BY user_id),
+a AS (SELECT *, greatest(0, (high - 0.055) * 180) + greatest(0, (flat - 0.08) * 45) AS st FROM u), b AS (SELECT *, rms < -21 AND quiet > 0.08 AND high > 0.06 AND flat > 0.07 AND st >= 8 AS hiss, clicks >= 0.8 AND rms < -18 AS click, rms < -16 AND hum >= 18 AS hum_, very > 0.18 AND flat > 0.12 AND body_very > 0.12 AS art FROM a),
+c AS (SELECT *, hiss AND mid_high > 0.09 AND mid_flat > 0.06 AS stat FROM b), d AS (SELECT *, greatest(0, least(100, CASE WHEN hiss THEN least(42, st) ELSE 0 END + CASE WHEN stat THEN 8 ELSE 0 END + CASE WHEN click THEN least(32, 8 + 4 * clicks) ELSE 0 END + CASE WHEN hum_ THEN least(35, 0.9 * hum) ELSE 0 END + CASE WHEN art THEN 26 ELSE 0 END)) AS score FROM c)
 SELECT user_id, round(score, 3)::DOUBLE AS score, array_to_string(list_filter([CASE WHEN hiss THEN 'HISS' END, CASE WHEN stat THEN 'STATIC' END, CASE WHEN click THEN 'CLICK_CRACKLE' END, CASE WHEN hum_ THEN 'HUM' END, CASE WHEN art THEN 'HIGH_FREQ_ARTIFACT' END], lambda x: x IS NOT NULL), ' / ') AS found,
 CASE WHEN art THEN 'NEEDS_REVIEW' WHEN score >= 52 THEN 'MEDIUM_REPAIR' WHEN score >= 12 THEN 'LIGHT_REPAIR' ELSE 'CLEAN' END AS decision FROM d""")
 def noise_decision(spark, sf_dir):
     v = F.col("v")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    u = series(spark, sf_dir).groupBy("user_id").agg(F.round(-30 + F.avg(F.when(F.col("i") <= 15, v)) / 10, 6).alias("rms"), share(v < 30).alias("quiet"), share(v > 200).alias("high"), share(v > 250).alias("very"), F.round(F.exp(F.avg(F.ln(v))) / F.avg(v) - 0.4, 6).alias("flat"), F.round(F.count_if(v > 300) / 10.0, 6).alias("clicks"), F.round(F.max(v) / 20, 6).alias("hum"))
-    c = F.col
-    d = u.select("user_id", R.noise_decision(c("rms"), c("quiet"), c("high"), c("very"), c("flat"), c("clicks"), c("hum"), c("high"), c("very")).alias("d"))
+    start = F.greatest(F.lit(0), F.expr("n div 2") - 4)
+    middle = (F.col("i") > start) & (F.col("i") <= start + 8)
+    part = lambda own, c: F.avg(F.when(own, F.when(c, 1.0).otherwise(0.0)))
+    flat = F.exp(F.avg(F.when(middle, F.ln(v)))) / F.avg(F.when(middle, v)) - 0.4
+    body = [F.round(part(middle, v > 200), 6).alias("mid_high"), F.round(flat, 6).alias("mid_flat"), F.round(F.greatest(part(middle, v > 250), part(F.col("i") > F.col("n") - 8, v > 250)), 6).alias("body_very")]
+    u = series(spark, sf_dir).groupBy("user_id").agg(F.round(-30 + F.avg(F.when(F.col("i") <= 15, v)) / 10, 6).alias("rms"), share(v < 30).alias("quiet"), share(v > 200).alias("high"), share(v > 250).alias("very"), F.round(F.exp(F.avg(F.ln(v))) / F.avg(v) - 0.4, 6).alias("flat"), F.round(F.count_if(v > 300) / 10.0, 6).alias("clicks"), F.round(F.max(v) / 20, 6).alias("hum"), *body)
+    d = u.select("user_id", R.noise_decision(*(F.col(x) for x in ("rms", "quiet", "high", "very", "flat", "clicks", "hum", "mid_high", "mid_flat", "body_very"))).alias("d"))
     return d.select("user_id", F.round("d.score", 3).alias("score"), F.array_join("d.found", " / ").alias("found"), "d.decision")
 
 

@@ -13,38 +13,57 @@ from .frames import frames
 from .registry import query
 
 
-def analyze(tracks: DataFrame) -> DataFrame:
-    """All metrics of tracks (track_id, sample_rate, channels): native ones from the arrays, whole-track ones in one Arrow pass."""
+def analyze(tracks: DataFrame, tail_ms: float = 100.0) -> DataFrame:
+    """All metrics of tracks (track_id, sample_rate, channels) in one pass over the samples: native ones from the arrays, whole-track ones in Arrow.
+
+    The end is the last ``tail_ms`` of every channel. A track that can't be
+    measured keeps its row, with the reason in error.
+    """
     first = F.transform(F.get("channels", F.lit(0)), lambda v: v)
     second = F.coalesce(F.get("channels", F.lit(1)), first)
     flat = F.flatten("channels")
     envelope = F.zip_with(first, second, lambda a, b: F.greatest(F.abs(a), F.abs(b)))
     head, tail = A.edge_silence_ms(envelope, 1)
-    end = F.flatten(F.transform("channels", lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - (F.col("sample_rate") / 20).cast("int") + 1), F.greatest(F.lit(1), (F.col("sample_rate") / 20).cast("int")))))
-    native = tracks.select(
-        "track_id", "sample_rate", F.size("channels").alias("n_channels"), F.size(first).alias("n_frames"), db(A.peak(flat)).alias("peak_db"), db(A.rms(flat)).alias("rms_db"), A.crest_db(flat).alias("crest_db"),
-        F.array_max(F.transform("channels", lambda c: F.abs(A.mean(c)))).alias("max_dc"), A.clipped(flat).alias("clipped"), A.stereo_correlation(first, second).alias("correlation"), A.side_to_mid_db(first, second).alias("side_to_mid_db"),
-        (head / F.col("sample_rate")).alias("leading_ms"), (tail / F.col("sample_rate")).alias("trailing_ms"), db(A.rms(end)).alias("end_rms_db"), db(F.array_max(F.transform("channels", lambda c: F.abs(F.element_at(c, -1))))).alias("last_db"),
-    )
-    return native.join(spectral_metrics(tracks), "track_id")
+    n = F.greatest(F.lit(1), F.round(F.col("sample_rate") * tail_ms / 1000.0).cast("int"))
+    end = F.flatten(F.transform("channels", lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - n + 1), n)))
+    native = {
+        "n_channels": F.size("channels"), "n_frames": F.size(first), "peak_db": db(A.peak(flat)), "rms_db": db(A.rms(flat)), "crest_db": A.crest_db(flat),
+        "max_dc": F.array_max(F.transform("channels", lambda c: F.abs(A.mean(c)))), "clipped": A.clipped(flat), "correlation": A.stereo_correlation(first, second), "side_to_mid_db": A.side_to_mid_db(first, second),
+        "leading_ms": head / F.col("sample_rate"), "trailing_ms": tail / F.col("sample_rate"), "end_rms_db": db(A.rms(end)), "last_db": db(F.array_max(F.transform("channels", lambda c: F.abs(F.element_at(c, -1))))),
+    }
+    return spectral_metrics(tracks.select("track_id", "sample_rate", "channels").withColumns(native), ["sample_rate", *native])
+
 
+def compare(sources: DataFrame, processed: DataFrame, delays: DataFrame | None = None, target_lufs: float = -14.0, ceiling: float = -1.0, energetic_rms: float | None = None, max_lra_reduction: float | None = None, **limits) -> DataFrame:
+    """(track_id, issues, warnings, notes, status, disposition) of the analysed pairs.
 
-def compare(sources: DataFrame, processed: DataFrame, delays: DataFrame | None = None, target_lufs: float = -14.0, ceiling: float = -1.0) -> DataFrame:
-    """(track_id, issues, warnings, status, disposition) of the analysed pairs; ``delays`` has (track_id, delay, consistent, confidence)."""
+    ``delays`` are those of ``operators.alignment.delay_diagnostics``. A tail is
+    cut hard where its end is over -50 dB and its last sample over -60 dB. The
+    reduction of the LRA is an issue only with a limit, a warning only without.
+    """
     s = sources.select("track_id", *(F.col(c).alias(f"s_{c}") for c in ("n_frames", "sample_rate", "lra", "crest_db", "trailing_ms")))
     p = processed.join(s, "track_id")
     if delays is not None:
-        p = p.join(delays, "track_id", "left")
+        p = p.join(delays.select("track_id", "delay", "consistent", "confidence", "estimates", F.col("error").alias("delay_error")), "track_id", "left")
     c = F.col
-    kind = R.delay_class(c("delay"), c("consistent"), c("confidence")) if delays is not None else F.lit("PASS")
-    loud_end = c("end_rms_db") > -35.0
-    p = p.withColumns({"delay_class": kind, "reduction": c("s_lra") - c("lra"), "hard_cut": (c("last_db") > -60) & (c("end_rms_db") > -60), "energetic": loud_end, "delta_ms": c("n_frames") * 1000.0 / c("sample_rate") - c("s_n_frames") * 1000.0 / c("s_sample_rate")})
-    risk = R.dynamics_risk(c("reduction"), c("lra"), c("s_crest_db") - c("crest_db"))
+    kind, note = F.lit("PASS"), F.lit("")
+    if delays is not None:
+        measured = c("delay"), c("consistent"), c("confidence")
+        kind, note = F.when(c("delay").isNotNull(), R.delay_class(*measured)), F.when(c("delay").isNotNull(), R.delay_note(*measured, c("estimates")))
+    seconds = lambda t: c(f"{t}n_frames") * 1000.0 / c(f"{t}sample_rate")
+    p = p.withColumns({"delay_class": kind, "delay_note": note, "hard_cut": (c("end_rms_db") > -50) & (c("last_db") > -60), "delta_ms": seconds("") - seconds("s_"), "shorter_ms": c("s_trailing_ms") - c("trailing_ms")})
+    p = p.withColumn("stats", R.dynamics_stats(c("s_lra"), c("lra"), c("s_crest_db"), c("crest_db"), max_lra_reduction))
+    p = p.withColumn("energetic", c("end_rms_db") > energetic_rms if energetic_rms is not None else F.lit(False))
+    p = p.withColumn("tail", R.tail_class(c("shorter_ms"), c("delta_ms"), c("hard_cut"), c("energetic"), c("last_db"), c("end_rms_db")))
+    p = p.withColumn("tail_note", R.tail_note(c("shorter_ms"), c("tail")))
     valid = R.all_valid(c("lufs"), c("true_peak_db"), c("peak_db"), c("rms_db"))
-    seen = {"rate": c("sample_rate"), "valid": valid, "lufs": c("lufs"), "true_peak": c("true_peak_db"), "clipped": c("clipped"), "dc": c("max_dc"), "correlation": c("correlation"), "low_correlation": c("low_band_correlation"), "delay": c("delay_class"), "duration_delta_ms": c("delta_ms"), "risk": risk, "hard_cut": c("hard_cut"), "energetic": c("energetic")}
-    tail = R.tail_class(c("s_trailing_ms") - c("trailing_ms"), c("delta_ms"), c("hard_cut"), c("energetic"), c("last_db"), c("end_rms_db"))
-    out = p.withColumns({"issues": R.gate_issues(seen, target_lufs, ceiling), "warnings": R.gate_warnings({"delay": c("delay_class"), "tail": tail})})
-    return out.select("track_id", "issues", "warnings", R.gate_status(c("issues"), c("warnings")).alias("status"), R.disposition(c("issues"), c("warnings"), F.lit(True)).alias("disposition"))
+    seen = {"rate": c("sample_rate"), "n_channels": c("n_channels"), "valid": valid, "lufs": c("lufs"), "true_peak": c("true_peak_db"), "clipped": c("clipped"), "dc": c("max_dc"), "correlation": c("correlation"), "low_correlation": c("low_band_correlation"), "delay": c("delay_class"), "delay_note": c("delay_note"), "duration_delta_ms": c("delta_ms"), "risk": c("stats.risky"), "lra_reduction": c("stats.lra_reduction"), "lra": c("lra"), "crest_loss": c("stats.crest_loss"), "hard_cut": c("hard_cut"), "energetic": c("energetic"), "end_rms": c("end_rms_db"), "last": c("last_db")}
+    warned = {"source_rate": c("s_sample_rate"), "rate": c("sample_rate"), "delay": c("delay_class"), "delay_note": c("delay_note"), "lra_reduction": c("stats.lra_reduction"), "tail": c("tail"), "tail_note": c("tail_note")}
+    if delays is not None:
+        warned["delay_error"] = c("delay_error")
+    issues = R.gate_issues(seen, target_lufs, ceiling, lra_reduction=max_lra_reduction, energetic_rms=energetic_rms, **limits)
+    out = p.withColumns({"issues": issues, "warnings": R.gate_warnings(warned, max_lra_reduction), "notes": F.when(c("tail") == "INFO", c("tail_note")).otherwise("")})
+    return out.select("track_id", "issues", "warnings", "notes", R.gate_status(c("issues"), c("warnings")).alias("status"), R.disposition(c("issues"), c("warnings"), F.lit(True)).alias("disposition"))
 
 
 def _tiled(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed transitions: (state, event) to state.
@@ -30,6 +30,88 @@ def recover(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"status": F.when(lost, "WAITING").otherwise(F.col("status")), "recovered": lost})
 
 
+def slots(asked: Column) -> Column:
+    """Jobs that may run at once: two if two are asked for, else one."""
+    return F.when(asked == 2, 2).otherwise(1)
+
+
+def launch(jobs: DataFrame, queues: DataFrame) -> DataFrame:
+    """(queue, job_id) of the waiting jobs to start: the first by seq, as many as slots are free.
+
+    ``jobs`` has queue, job_id, seq and status, ``queues`` has queue, asked,
+    paused and stop_after_current. A queue that is paused, or stops after its
+    current jobs, starts none; null flags are no. A row a job of one queue meets
+    in a window, after jobs that neither wait nor run are gone.
+    """
+    running = jobs.where("status = 'RUNNING'").groupBy("queue").agg(F.count("*").alias("running"))
+    on = queues.where(~(F.coalesce("paused", F.lit(False)) | F.coalesce("stop_after_current", F.lit(False))))
+    free = on.join(running, "queue", "left").select("queue", F.greatest(F.lit(0), slots(F.col("asked")) - F.coalesce("running", F.lit(0))).alias("free")).where("free > 0")
+    w = Window.partitionBy("queue").orderBy("seq", "job_id")
+    waiting = jobs.where("status = 'WAITING'").withColumn("place", F.row_number().over(w)).where("place <= 2")
+    return waiting.join(free, "queue").where("place <= free").select("queue", "job_id")
+
+
+def act(jobs: DataFrame, actions: DataFrame) -> DataFrame:
+    """``jobs`` after ``actions`` (job_id, action): remove takes a job that isn't running, cancel ends one that waits or runs; others stay.
+
+    Several actions on one job are taken together, remove first.
+    """
+    asked = actions.groupBy("job_id").agg(F.max(F.col("action") == "remove").alias("remove"), F.max(F.col("action") == "cancel").alias("cancel"))
+    both = jobs.join(asked, "job_id", "left")
+    kept = both.where(~(F.coalesce("remove", F.lit(False)) & (F.col("status") != "RUNNING")))
+    ended = F.coalesce("cancel", F.lit(False)) & F.col("status").isin("WAITING", "RUNNING")
+    return kept.withColumn("status", F.when(ended, "CANCELLED").otherwise(F.col("status"))).select(jobs.columns)
+
+
+def without_waiting(jobs: DataFrame) -> DataFrame:
+    return jobs.where("status IS NULL OR status <> 'WAITING'")
+
+
+def stale(shown: DataFrame, jobs: DataFrame, key: str = "job_id") -> DataFrame:
+    """Ids that are shown but are no jobs any more."""
+    return shown.select(key).join(jobs.select(key), key, "left_anti")
+
+
+def poll(jobs: DataFrame, progress: DataFrame, results: DataFrame) -> DataFrame:
+    """``jobs`` (job_id, status, current_track, total_tracks, error) after a look at the running ones.
+
+    ``results`` (job_id, code, status, error) has those that ended: code 0 with a
+    completed status completes, anything else fails. ``progress`` (job_id,
+    current_track, total_tracks) moves the others on. Jobs that don't run stay.
+    """
+    p = progress.select(F.col("job_id").alias("p_id"), F.col("current_track").alias("p_current"), F.col("total_tracks").alias("p_total"))
+    r = results.select(F.col("job_id").alias("r_id"), "code", F.col("status").alias("r_status"), F.col("error").alias("r_error"))
+    both = jobs.join(p, F.col("job_id") == F.col("p_id"), "left").join(r, F.col("job_id") == F.col("r_id"), "left")
+    runs, ended = F.col("status") == "RUNNING", F.col("r_id").isNotNull()
+    good = (F.col("code") == 0) & F.col("r_status").isin("COMPLETED", "COMPLETED_WITH_REVIEW")
+    good = F.coalesce(good, F.lit(False))
+    status = F.when(runs & ended, F.when(good, F.col("r_status")).otherwise("FAILED")).otherwise(F.col("status"))
+    error = F.when(runs & ended & ~good, F.coalesce("r_error", F.format_string("worker exited with code %d", "code"))).otherwise(F.col("error"))
+    current = F.when(runs & ended & good, F.col("total_tracks")).when(runs & ~ended, F.coalesce("p_current", "current_track")).otherwise(F.col("current_track"))
+    total = F.when(runs & ~ended, F.coalesce("p_total", "total_tracks")).otherwise(F.col("total_tracks"))
+    return both.select("job_id", status.alias("status"), current.alias("current_track"), total.alias("total_tracks"), error.alias("error"))
+
+
+def add_jobs(jobs: DataFrame, new: DataFrame, now: Column, expected: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(jobs to add, refused folders) of ``new`` (folder, n_files): a folder with a waiting or running job is refused.
+
+    A job's id is its time and a random part; a folder without the expected
+    number of files carries a warning. Of repeated new folders one is added.
+    """
+    open_ = jobs.where(F.col("status").isin("WAITING", "RUNNING")).select("folder")
+    one = new.groupBy("folder").agg(F.min("n_files").alias("n_files"))
+    fresh = one.join(open_, "folder", "left_anti")
+    name = F.concat_ws("_", F.date_format(now, "yyyyMMdd_HHmmss_SSSSSS"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 6))
+    warning = F.when(F.col("n_files") != expected, F.format_string(f"expected {expected} WAV files, found %d", "n_files"))
+    return fresh.select(name.alias("job_id"), "folder", F.lit("WAITING").alias("status"), F.lit(0).alias("current_track"), F.col("n_files").alias("total_tracks"), warning.alias("warning")), one.join(open_, "folder", "left_semi").select("folder")
+
+
+def queue_row(jobs: DataFrame) -> DataFrame:
+    """What a list of jobs shows: (job_id, status, folder, progress, result); the result is its end, else its warning, else the start of its error."""
+    c = F.col
+    result = F.coalesce(F.when(c("status") == "COMPLETED", "done").when(c("status") == "COMPLETED_WITH_REVIEW", "to review"), F.nullif("warning", F.lit("")), F.left("error", F.lit(32)), F.lit(""))
+    return jobs.select("job_id", "status", F.element_at(F.split("folder", "/"), -1).alias("folder"), F.format_string("%d/%d", "current_track", "total_tracks").alias("progress"), result.alias("result"))
+
 
 STATES = sorted({x for (before, _), after in TRANSITIONS.items() for x in (before, after)})
 #: What each event makes of each state, by number; the last row is any other event.
