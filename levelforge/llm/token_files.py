@@ -178,7 +178,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     starts = manifest.sparkSession.createDataFrame([(p, a) for (p, _), a in zip(parts, ahead, strict=False)], "of int, ahead long")
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("within", within).join(starts, F.col("part") == F.col("of")).select("folder", "name", (F.col("ahead") + F.col("within")).alias("base"))
-    n = max(1, manifest.count())
+    n_files, least = manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(n_files, least), n_files // 8)
 
     def read(batches):
         for batch in batches:

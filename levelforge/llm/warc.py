@@ -160,7 +160,8 @@ def read_archives(files: DataFrame) -> DataFrame:
     A response's size and digest are computed from its payload and must be
     those of its header; a revisit has them from its header.
     """
-    n = max(1, files.count())
+    n_files, least = files.count(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(n_files, least), n_files // 8)
 
     def read(batches):
         for batch in batches:
