@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: that with the smallest doc_id."""
+    """One document of each group of near copies stays: that with the smallest doc_id."""
     return keep_one(docs)
 
 
@@ -50,7 +50,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: Fingerprints and tokens are beyond SQL: tests compare the stages with brute force.
+#: Fingerprints and tokens are beyond SQL: tests/llm/test_pipeline.py compares every stage with plain Python.
 ORACLE_SQL = None
 
 
