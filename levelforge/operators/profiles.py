@@ -33,12 +33,20 @@ def resolve(profiles: DataFrame, most_levels: int = 32) -> DataFrame:
     return chain.join(own, "at").groupBy("name", "key").agg(F.min_by("value", "depth").alias("value"))
 
 
-def compose(channels: DataFrame, genres: DataFrame) -> DataFrame:
-    """Every channel with every genre: both are small catalogues, so the product is one by design (5 x 18 rows)."""
-    c, g = channels.alias("c"), genres.alias("g")
-    both = c.crossJoin(F.broadcast(g))
+def compose(channels: DataFrame, genres: DataFrame, most_genres: int = 1000) -> DataFrame:
+    """Every channel with every genre: both are catalogues of some dozen rows, so each pair is a profile by design.
+
+    The genres are read as one array (more than ``most_genres`` are an error)
+    and taken through by each channel: no cross join. Limits are the smaller of
+    both; the compressor's ratio is drawn towards 1 by the channel's scale.
+    """
+    rows = genres.limit(most_genres + 1).collect()
+    if len(rows) > most_genres:
+        raise ProfileError(f"more than {most_genres} genres")
+    array = F.array(*(F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(r, genres.schema, strict=True))) for r in rows))
+    both = channels.select(F.struct("*").alias("c"), F.explode(array).alias("g")) if rows else channels.limit(0).select(F.struct("*").alias("c"), F.lit(None).cast(genres.schema).alias("g"))
+    least = lambda n: F.least(f"c.{n}", f"g.{n}").alias(n)
     return both.select(
-        F.concat(F.lit("CG_"), "c.key", F.lit("__"), "g.key").alias("key"), F.concat("c.label", F.lit(" + "), "g.label").alias("label"), F.col("c.target").alias("target"),
-        (F.col("c.target") - F.col("c.concession")).alias("min_target"),
-        F.round(0.55 * F.col("c.lra") + 0.45 * F.col("g.lra"), 1).alias("target_lra"), F.least("c.max_wet", "g.max_wet").alias("max_wet"),
+        F.concat(F.lit("CG_"), "c.key", F.lit("__"), "g.key").alias("key"), F.concat("c.label", F.lit(" + "), "g.label").alias("label"), F.col("c.target").alias("target"), (F.col("c.target") - F.col("c.concession")).alias("min_target"),
+        F.round(0.55 * F.col("c.lra") + 0.45 * F.col("g.lra"), 1).alias("target_lra"), least("max_wet"), least("max_dense"), least("max_lra_reduction"), F.bround(1.0 + (F.col("g.ratio") - 1.0) * F.col("c.scale"), 3).alias("ratio"),
     )

@@ -22,16 +22,18 @@ def profile_inheritance(spark, sf_dir):
     return profiles.resolve(spark.createDataFrame(PROFILES, "name string, inherits string, key string, value double"))
 
 
-@query("""WITH c AS (SELECT upper(trim(r_name)) AS key, r_name AS label, -14.0 - r_regionkey AS target, 2.0 AS concession, 6.0 + r_regionkey AS lra, 3.0 + r_regionkey AS w FROM region),
-g AS (SELECT DISTINCT upper(trim(c_mktsegment)) AS key, c_mktsegment AS label, CAST(length(c_mktsegment) AS DOUBLE) AS lra, length(c_mktsegment) / 2.0 AS w FROM customer)
-SELECT 'CG_' || c.key || '__' || g.key AS key, c.label || ' + ' || g.label AS label, c.target::DOUBLE AS target, (c.target - c.concession)::DOUBLE AS min_target, round(0.55 * c.lra::DOUBLE + 0.45 * g.lra::DOUBLE, 1) AS target_lra, least(c.w, g.w)::DOUBLE AS max_wet FROM c, g""")
+@query("""WITH c AS (SELECT upper(trim(r_name)) AS key, r_name AS label, -14.0 - r_regionkey AS target, 2.0 AS concession, 6.0 + r_regionkey AS lra, 3.0 + r_regionkey AS w, r_regionkey / 4.0 AS scale FROM region),
+g AS (SELECT DISTINCT upper(trim(c_mktsegment)) AS key, c_mktsegment AS label, CAST(length(c_mktsegment) AS DOUBLE) AS lra, length(c_mktsegment) / 2.0 AS w, 1 + length(c_mktsegment) / 10.0 AS ratio FROM customer)
+SELECT 'CG_' || c.key || '__' || g.key AS key, c.label || ' + ' || g.label AS label, c.target::DOUBLE AS target, (c.target - c.concession)::DOUBLE AS min_target, round(0.55 * c.lra::DOUBLE + 0.45 * g.lra::DOUBLE, 1) AS target_lra, least(c.w, g.w)::DOUBLE AS max_wet,
+least(c.w + 1, g.w)::DOUBLE AS max_dense, least(c.w / 4, g.w / 3)::DOUBLE AS max_lra_reduction, round(CAST(1 + (g.ratio - 1) * c.scale AS DOUBLE), 3) AS ratio FROM c, g""")
 def catalog_cross(spark, sf_dir):
-    r = table(spark, sf_dir, "region")
-    k = F.col("r_regionkey").cast("double")
-    c = r.select(F.upper(F.trim("r_name")).alias("key"), F.col("r_name").alias("label"), (-14.0 - k).alias("target"), F.lit(2.0).alias("concession"), (6.0 + k).alias("lra"), (3.0 + k).alias("max_wet"))
-    s = F.col("c_mktsegment")
-    g = table(spark, sf_dir, "customer").select(s).distinct().select(F.upper(F.trim(s)).alias("key"), s.alias("label"), F.length(s).cast("double").alias("lra"), (F.length(s) / 2.0).alias("max_wet"))
-    return profiles.compose(c, g)
+    """Every region as a channel with every segment as a genre."""
+    k, s = F.col("r_regionkey").cast("double"), F.col("c_mktsegment")
+    channel = {"key": F.upper(F.trim("r_name")), "label": F.col("r_name"), "target": -14.0 - k, "concession": F.lit(2.0), "lra": 6.0 + k, "max_wet": 3.0 + k, "max_dense": 4.0 + k, "max_lra_reduction": (3.0 + k) / 4, "scale": k / 4.0}
+    size = F.length(s)
+    genre = {"key": F.upper(F.trim(s)), "label": s, "lra": size.cast("double"), "max_wet": size / 2.0, "max_dense": size / 2.0, "max_lra_reduction": size / 6.0, "ratio": 1 + size / 10.0}
+    named = lambda d: [x.alias(n) for n, x in d.items()]
+    return profiles.compose(table(spark, sf_dir, "region").select(named(channel)), table(spark, sf_dir, "customer").select(s).distinct().select(named(genre)))
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'DEFAULT') AS profile FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
@@ -127,14 +129,20 @@ def display_order(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_name", F.when(at == 0, 3).otherwise(at).cast("int").alias("place")).orderBy("place", "r_name")
 
 
-@query(r"""SELECT doc_id, lower(split_part('track ' || doc_id || '.WAV', '.', -1)) AS suffix, replace(replace(replace(left(text, 40), '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS html, regexp_replace('made by v3.8.1 on v2.0', 'v[0-9]+(\.[0-9]+)*', 'v3.9', 'g') AS version, right(text, 20) AS ending, lang || ' / ' || source AS joined FROM documents WHERE text NOT LIKE '%>%' AND text NOT LIKE '%''%'""")
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(rf"""SELECT doc_id, lower(split_part('track ' || doc_id || '.WAV', '.', -1)) AS suffix, {_ESCAPED} AS html, regexp_replace('made by v3.8.1 on v2.0', 'v[0-9]+(\.[0-9]+)*', 'v3.9', 'g') AS version,
+right(text, 20) AS ending, lang || ' / ' || source AS joined FROM documents""")
 def report_text(spark, sf_dir):
+    """Suffix, escaped text, renewed version, end and joined labels of every document."""
     name = F.concat(F.lit("track "), F.col("doc_id").cast("string"), F.lit(".WAV"))
-    d = table(spark, sf_dir, "documents").where("text NOT LIKE '%>%' AND text NOT LIKE '%\\'%'")
-    return d.select("doc_id", F.lower(F.element_at(F.split(name, r"\."), -1)).alias("suffix"), html_escape(F.left("text", F.lit(40))).alias("html"), F.regexp_replace(F.lit("made by v3.8.1 on v2.0"), r"v[0-9]+(\.[0-9]+)*", "v3.9").alias("version"), F.right("text", F.lit(20)).alias("ending"), F.concat_ws(" / ", "lang", "source").alias("joined"))
+    suffix, version = F.lower(F.element_at(F.split(name, r"\."), -1)), F.regexp_replace(F.lit("made by v3.8.1 on v2.0"), r"v[0-9]+(\.[0-9]+)*", "v3.9")
+    joined = F.concat("lang", F.lit(" / "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", suffix.alias("suffix"), html_escape(F.col("text")).alias("html"), version.alias("version"), F.right("text", F.lit(20)).alias("ending"), joined.alias("joined"))
 
 
-@query(r"""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, left(text, 40) AS beginning, right(text, 20) AS ending FROM documents""")
+@query(f"""SELECT doc_id, {_ESCAPED} AS html, left(text, 40) AS beginning, right(text, 20) AS ending FROM documents""")
 def report_text_whole(spark, sf_dir):
     """The whole text of every document escaped, and its two ends: what ``report_text`` leaves out."""
     return table(spark, sf_dir, "documents").select("doc_id", html_escape(F.col("text")).alias("html"), F.left("text", F.lit(40)).alias("beginning"), F.right("text", F.lit(20)).alias("ending"))

@@ -1,8 +1,10 @@
-"""Audio files through Spark's binary reader: scan, decode, write."""
+"""Audio files through Spark's binary reader: scan, decode (PCM and float WAV), write."""
 
 from __future__ import annotations
 
 import io
+import struct
+import uuid
 import wave
 
 import numpy as np
@@ -32,18 +34,44 @@ def folders(files: DataFrame, expected: int = 15) -> DataFrame:
     return n.withColumn("warning", F.when(F.col("n") != expected, F.format_string("%d files instead of %d", F.col("n"), F.lit(expected))))
 
 
+#: Fixed format tags of WAV files: whole numbers, floats, and the one whose real tag comes later in the header.
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+
+
+def chunks(data: bytes) -> dict[bytes, bytes]:
+    """The first chunk of each name of a WAV file; ValueError where it is none."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    out, at = {}, 12
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        out.setdefault(name, data[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    if b"fmt " not in out or b"data" not in out or len(out[b"fmt "]) < 16:
+        raise ValueError("no format or no samples")
+    return out
+
+
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(rate, sample bytes, channels x samples in -1..1) of PCM WAV bytes."""
-    with wave.open(io.BytesIO(data)) as w:
-        width, raw = w.getsampwidth(), np.frombuffer(w.readframes(w.getnframes()), np.uint8)
-        bytes_ = raw.reshape(-1, width)
-        if width == 1:
-            x = bytes_[:, 0].astype(np.float64) - 128
-        else:
-            wide = np.zeros((len(bytes_), 4), np.uint8)
-            wide[:, 4 - width :] = bytes_
-            x = wide.view("<i4")[:, 0] / 2.0 ** (32 - 8 * width)
-        return w.getframerate(), width, (x / 2.0 ** (8 * width - 1)).reshape(-1, w.getnchannels()).T
+    """(rate, sample bytes, channels x samples) of WAV bytes: PCM of 8 to 32 bits in -1..1, floats of 32 and 64 bits as they are."""
+    parts = chunks(data)
+    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", parts[b"fmt "])
+    if tag == EXTENSIBLE and len(parts[b"fmt "]) >= 26:
+        tag = struct.unpack_from("<H", parts[b"fmt "], 24)[0]
+    width = bits // 8
+    if not channels or not rate or bits % 8 or (tag, width) not in {*((PCM, w) for w in (1, 2, 3, 4)), (FLOAT, 4), (FLOAT, 8)}:
+        raise ValueError(f"format {tag} with {bits} bits is not read")
+    raw = np.frombuffer(parts[b"data"], np.uint8)
+    raw = raw[: len(raw) // (width * channels) * (width * channels)].reshape(-1, width)
+    if tag == FLOAT:
+        x = np.ascontiguousarray(raw).view(f"<f{width}")[:, 0].astype(np.float64)
+    elif width == 1:
+        x = (raw[:, 0].astype(np.float64) - 128) / 128
+    else:
+        wide = np.zeros((len(raw), 4), np.uint8)
+        wide[:, 4 - width :] = raw
+        x = wide.view("<i4")[:, 0] / 2.0**31
+    return rate, width, x.reshape(-1, channels).T
 
 
 def encode(x: np.ndarray, rate: int, width: int = 3) -> bytes:
@@ -61,7 +89,7 @@ def encode(x: np.ndarray, rate: int, width: int = 3) -> bytes:
 
 
 def read_wav(spark: SparkSession, folder: str) -> DataFrame:
-    """Tracks (track_id, sample_rate, sample_bytes, channels, error); a file that isn't PCM WAV has its reason in error."""
+    """Tracks (track_id, sample_rate, sample_bytes, channels, error); a file that is no WAV of ``decode``'s formats has its reason in error."""
 
     def run(frames):
         for frame in frames:
@@ -86,3 +114,29 @@ def to_wav(tracks: DataFrame, width: int = 3) -> DataFrame:
             yield pd.DataFrame({"track_id": frame["track_id"], "content": [encode(np.array([np.asarray(c) for c in r.channels]), int(r.sample_rate), width) for r in frame.itertuples(index=False)]})
 
     return tracks.select("track_id", "sample_rate", "channels").mapInPandas(run, "track_id string, content binary")
+
+
+def write_wav(tracks: DataFrame, folder: str, width: int = 3) -> DataFrame:
+    """Write a file for each track in ``folder`` (which driver and executors share); returns (track_id, path).
+
+    A name is the track's own with a random part, so a repeated task never
+    writes over a file: paths that are in no returned row are orphans of it.
+    Evaluate the result once (write it), as each evaluation writes anew.
+    """
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for frame in frames:
+            out = []
+            for track, content in frame.itertuples(index=False):
+                name = f"{str(track).rpartition('/')[2].removesuffix('.wav')}-{uuid.uuid4().hex}.wav"
+                with system.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+                out.append((track, f"{folder.rstrip('/')}/{name}"))
+            yield pd.DataFrame(out, columns=["track_id", "path"])
+
+    kind = tracks.schema["track_id"].dataType.simpleString()
+    return to_wav(tracks, width).mapInPandas(run, f"track_id {kind}, path string")
