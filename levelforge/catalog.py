@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import checks, frames, registry, relations, routing, series, tracks
+from .plans import checks, ends, frames, registry, relations, routing, series, tracks
 from .plans.frames import flagship
 
-MODULES = [frames, series, relations, routing, tracks, checks]
+MODULES = [frames, series, relations, routing, tracks, checks, ends]
 
 
 def queries() -> dict:

@@ -63,8 +63,9 @@ def edge_silence_ms(envelope: Column, sample_rate: int, threshold_db: float = -7
     return F.when(none, full).otherwise(F.array_min(loud) * 1000.0 / sample_rate), F.when(none, full).otherwise((n - 1 - F.array_max(loud)) * 1000.0 / sample_rate)
 
 
-def tail(x: Column, n: int) -> Column:
-    return F.slice(x, F.greatest(F.lit(1), F.size(x) - n + 1), F.lit(n))
+def tail(x: Column, n) -> Column:
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.slice(x, F.greatest(F.lit(1), F.size(x) - n + 1), n)
 
 
 def gain(x: Column, gain_db) -> Column:
