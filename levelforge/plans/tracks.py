@@ -9,7 +9,7 @@ from ..functions.levels import db
 from ..operators import arrays as A
 from ..operators import rules as R
 from ..operators.kernels import spectral_metrics
-from .frames import frames
+from .frames import BASE, _peak, frames
 from .registry import query
 
 
@@ -84,3 +84,34 @@ def fullness_chain(spark, sf_dir):
 
     made = render_fullness(_tiled(spark, sf_dir).withColumns({"warmth": F.lit(0.4), "body": F.lit(0.2), "saturation": F.lit(3.0), "density": F.lit(2.0)}))
     return made.select("track_id", F.round(db(A.peak(F.flatten("channels"))), 3).alias("peak_db"), F.round(db(A.rms(F.flatten("channels"))), 3).alias("rms_db"))
+
+
+@query(f"""{BASE}g AS (SELECT CAST(vec_id AS VARCHAR) AS track_id, greatest({_peak('l')}, {_peak('r')}) AS p FROM f)
+SELECT track_id, 6.021::DOUBLE AS loudness_step, 6.021::DOUBLE AS peak_step, 0.0::DOUBLE AS flatness_step, 0.0::DOUBLE AS high_step, 0.0::DOUBLE AS hum_step, 6.021::DOUBLE AS band_step, TRUE AS over_sample_peak, round(p, 6) AS sample_peak FROM g""")
+def spectral_invariants(spark, sf_dir):
+    """What halving a track must do to its measures: levels fall by 6.021 dB, shares and shapes stay; its true peak is no less than its peak."""
+    t = _tiled(spark, sf_dir)
+    half = t.withColumn("channels", F.transform("channels", lambda x: F.transform(x, lambda v: v * 0.5)))
+    names = ["lufs", "true_peak_db", "flatness", "high_ratio", "hum"]
+    peak = F.array_max(F.transform("channels", A.peak))
+    a = spectral_metrics(t.withColumn("sample_peak", peak), ["sample_peak"])
+    b = spectral_metrics(half).select(F.col("track_id").alias("half_id"), *(F.col(n).alias(f"half_{n}") for n in names), F.col("bands").alias("half_bands"))
+    step = {n: F.round(F.col(n) - F.col(f"half_{n}"), 3) + 0.0 for n in names}
+    band = F.round(F.col("bands")["500-1000Hz"] - F.col("half_bands")["500-1000Hz"], 3)
+    over = F.col("true_peak_db") >= db(F.col("sample_peak")) - 1e-9
+    return a.join(b, F.col("track_id") == F.col("half_id")).select("track_id", step["lufs"].alias("loudness_step"), step["true_peak_db"].alias("peak_step"), step["flatness"].alias("flatness_step"), step["high_ratio"].alias("high_step"), step["hum"].alias("hum_step"), band.alias("band_step"), over.alias("over_sample_peak"), F.round("sample_peak", 6).alias("sample_peak"))
+
+
+@query(BASE + "SELECT CAST(vec_id AS VARCHAR) AS track_id, 2 AS n_channels, 24000 AS n_frames, TRUE AS peak_held, TRUE AS loudness_held, TRUE AS finite FROM f")
+def fullness_invariants(spark, sf_dir):
+    """What the fullness chain must keep: shape, a peak of at most 0.998, and the loudness, unless the peak held it down."""
+    from ..operators.kernels import render_fullness
+
+    t = _tiled(spark, sf_dir).withColumns({"warmth": F.lit(0.4), "body": F.lit(0.2), "saturation": F.lit(3.0), "density": F.lit(2.0)})
+    made = render_fullness(t)
+    peak = F.array_max(F.transform("channels", A.peak))
+    shape = {"n_channels": F.size("channels"), "n_frames": F.array_min(F.transform("channels", F.size)), "peak": peak}
+    after = spectral_metrics(made.withColumns(shape), list(shape))
+    before = spectral_metrics(t).select(F.col("track_id").alias("of"), F.col("lufs").alias("lufs_before"))
+    held = (F.abs(F.col("lufs") - F.col("lufs_before")) < 0.01) | (F.col("peak") > 0.9979)
+    return after.join(before, F.col("track_id") == F.col("of")).select("track_id", "n_channels", "n_frames", (F.col("peak") <= 0.998 + 1e-9).alias("peak_held"), held.alias("loudness_held"), F.col("error").isNull().alias("finite"))

@@ -6,8 +6,11 @@ leaves the state as it is.
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,14 +169,15 @@ def replay(events: DataFrame, key: str, *order: str) -> DataFrame:
     return folded(events, key, *order).select(key, F.col("n").cast("int").alias("n"), state_after(F.lit("WAITING"), F.col("maps")).alias("status"))
 
 
-def follow(events: DataFrame, jobs_path: str, checkpoint: str, slots: int = 1):
+def follow(events: DataFrame, jobs_path: str, checkpoint: str, slots: int = 1, keep: int = 3):
     """Keep the table of jobs at ``jobs_path`` up to date from a stream of events (job_id, seq, kind); returns the query's writer.
 
     Kinds are submit, start, finish, review, fail and cancel. Each micro-batch
     folds its events onto the jobs' states, then admits the waiting jobs with
     the smallest seq into the free slots: admission looks across jobs, so it is
     a batch operation and not a per-key state. A micro-batch writes the table of
-    its own number and nothing else, so one that is repeated gives the same.
+    its own number and nothing else, so one that is repeated gives the same; of
+    the tables before it the last ``keep`` stay (one at least, which it reads).
     """
     schema = "job_id long, seq long, status string"
 
@@ -189,5 +193,10 @@ def follow(events: DataFrame, jobs_path: str, checkpoint: str, slots: int = 1):
         chosen = jobs.where("status = 'WAITING'").orderBy("seq", "job_id").limit(max(0, slots - running)).select("job_id", F.lit(True).alias("go"))
         after = jobs.join(chosen, "job_id", "left").select("job_id", "seq", F.when(F.col("go"), "RUNNING").otherwise(F.col("status")).alias("status"))
         after.write.mode("overwrite").parquet(f"{jobs_path}/{number}")
+        old = number - max(1, keep) - 1
+        if old >= 0:
+            system, path = fs.FileSystem.from_uri(f"{jobs_path}/{old}")
+            with contextlib.suppress(FileNotFoundError):
+                system.delete_dir(path)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
