@@ -68,7 +68,8 @@ def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import ASK_SCHEMA, as_tool_chats, link, messages
 
-    return link(*messages(as_tool_chats(table(spark, sf_dir, "conversations"))), {"ask": ASK_SCHEMA})
+    linked = link(*messages(as_tool_chats(table(spark, sf_dir, "conversations"))), {"ask": ASK_SCHEMA})
+    return linked.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,56 @@ f AS (SELECT e.rid, min(e.depth) AS depth FROM e JOIN s USING (depth, prefix) WH
 SELECT e.doc_id, e.n_bytes, CAST(e.depth AS INTEGER) AS depth, e.prefix, CAST(0 AS BIGINT) AS page, CAST(s.shard_bytes AS BIGINT) AS shard_bytes
 FROM e JOIN f USING (rid, depth) JOIN s USING (depth, prefix)
 """
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+_LOWER = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+_EDGE = r"[!-#$-/:-@\[-`{-~]"
+
+#: Templates of documents and items, their windows, and what matches. Placeholders are control characters, which no word holds at its edges here.
+ORACLES["op9_benchmark_decontamination"] = rf"""
+WITH src AS (SELECT row_number() OVER () AS rid, * FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark) WHERE text IS NOT NULL),
+l AS (SELECT rid, kind, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS ln FROM (SELECT *, string_split(text, chr(10)) AS lines FROM src)),
+w AS (SELECT rid, kind, id, ln, unnest(words) AS w, generate_subscripts(words, 1) AS k FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l)),
+o AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY ln, k) AS i FROM w),
+b AS (SELECT *, i = 1 OR ln <> lag(ln) OVER p OR right(lag(w) OVER p, 1) IN ('.', '!', '?', ':') AS begins FROM o WINDOW p AS (PARTITION BY rid ORDER BY i)),
+s AS (SELECT *, sum(begins::INT) OVER (PARTITION BY rid ORDER BY i) AS begun, regexp_replace(regexp_replace(w, '^{_EDGE}{{0,8}}', ''), '{_EDGE}{{0,8}}$', '') AS bare FROM b),
+t AS (SELECT rid, kind, id, begun, bare, translate(bare, '{_UPPER}', '{_LOWER}') AS v, regexp_full_match(bare, '[0-9.,%+/:-]*[0-9][0-9.,%+/:-]*') AS number, row_number() OVER (PARTITION BY rid ORDER BY i) AS j FROM s WHERE bare <> ''),
+u AS (SELECT *, coalesce(begun <> lag(begun) OVER q, TRUE) AS opens, coalesce(lag(number) OVER q, FALSE) AS after FROM t WINDOW q AS (PARTITION BY rid ORDER BY j)),
+x AS (SELECT *, CASE WHEN number THEN chr(1) WHEN after AND NOT opens AND v IN ({{units}}) THEN chr(2) WHEN NOT opens AND contains('{_UPPER}', left(bare, 1)) THEN chr(3) ELSE v END AS t FROM u),
+a AS (SELECT rid, kind, id, list(t ORDER BY j) AS ts, list(v ORDER BY j) AS vs FROM x GROUP BY ALL),
+i0 AS (SELECT rid, id AS item_id, least(8, len(ts)) AS n, unnest(generate_series(1, len(ts) - least(8, len(ts)) + 1)) AS pos, ts, vs FROM a WHERE kind = 'b'),
+i1 AS (SELECT rid, item_id, n, pos, ts[pos:pos+n-1] AS t, vs[pos:pos+n-1] AS v FROM i0),
+i2 AS (SELECT *, len(list_distinct(list_filter(t, lambda y: y NOT IN (chr(1), chr(2), chr(3))))) AS words, len(list_distinct(v)) AS different FROM i1),
+items AS (SELECT *, array_to_string(t, ' ') AS h, array_to_string(v, ' ') AS own_h, words >= 3 AND n = 8 AS may_change, count(*) OVER (PARTITION BY rid) AS n_windows FROM i2 WHERE words >= 3 OR (n = 8 AND different >= 3)),
+d0 AS (SELECT id AS doc_id, n, unnest(generate_series(1, len(ts) - n + 1)) AS pos, ts, vs FROM a, (SELECT DISTINCT n FROM items) WHERE kind = 'd' AND len(ts) >= n),
+docs AS (SELECT doc_id, n, pos, ts[pos:pos+n-1] AS t, vs[pos:pos+n-1] AS v FROM d0),
+found AS (SELECT *, array_to_string(t, ' ') AS h, array_to_string(v, ' ') AS own_h FROM docs WHERE array_to_string(t, ' ') IN (SELECT h FROM items)),
+same AS (SELECT DISTINCT doc_id, item_id, n_windows, items.pos FROM found JOIN items USING (h, own_h, n)),
+pairs AS (SELECT doc_id, item_id, n_windows, items.pos, found.pos - items.pos AS diagonal, unnest(items.t) AS slot, unnest(items.v) AS mine, unnest(found.v) AS other FROM found JOIN items USING (h, n) WHERE may_change AND found.own_h <> items.own_h),
+one AS (SELECT doc_id, item_id, n_windows, diagonal FROM (SELECT doc_id, item_id, n_windows, diagonal, mine, count(DISTINCT other) AS k FROM pairs WHERE slot IN (chr(1), chr(2), chr(3)) GROUP BY ALL) GROUP BY ALL HAVING max(k) = 1),
+both_ AS (SELECT *, TRUE AS same FROM same UNION ALL SELECT DISTINCT doc_id, item_id, n_windows, pos, FALSE FROM pairs JOIN one USING (doc_id, item_id, n_windows, diagonal)),
+m AS (SELECT doc_id, item_id, n_windows, pos, bool_or(same) AS same FROM both_ GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, count(*) AS n_matched, CASE WHEN bool_and(same) THEN 'verbatim' ELSE 'reparameterised' END AS kind FROM m GROUP BY doc_id, item_id, n_windows HAVING 100 * count(*) >= 50 * n_windows
+"""
+
+
+def _filled(sql: str) -> str:
+    from .decontaminate import UNITS
+
+    return sql.replace("{units}", ", ".join(f"'{u}'" for u in UNITS))
+
+
+ORACLES["op9_benchmark_decontamination"] = _filled(ORACLES["op9_benchmark_decontamination"])
+
+#: Chats as tool calls: of the turns that are needed, only 2, 8, 14 and so on need a later one, and none needs those.
+ORACLES["op8_tool_call_linking"] = """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT m.conv_id, m.turn, m.text, m.turn % 6 = 2 AND later.turn IS NOT NULL AS late FROM m LEFT JOIN m AS later ON later.conv_id = m.conv_id AND later.turn = m.turn + 2 AND later.role = 'user' WHERE m.role = 'user'),
+r AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant'),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(c.turn, r.turn - 1) AS call_id, c.turn AS call_turn, r.turn AS result_turn, c.text AS prompt, r.text AS content, late FROM c FULL JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1)
+SELECT conv_id, call_id, call_turn, result_turn, CASE WHEN call_turn IS NULL THEN 'orphan_result' WHEN result_turn IS NULL THEN 'missing_result' ELSE 'linked' END AS status,
+  CASE WHEN late THEN 1 ELSE 0 END AS level, CASE WHEN call_turn IS NULL THEN NULL WHEN prompt = '' THEN '$.prompt: minLength' ELSE '' END AS errors,
+  CAST(CASE WHEN call_turn IS NULL THEN to_json({'id': call_id, 'result': content}) WHEN result_turn IS NULL THEN to_json({'arguments': {'prompt': prompt, 'role': 'user', 'turn': call_turn}, 'id': call_id, 'name': 'ask'})
+    ELSE to_json({'arguments': {'prompt': prompt, 'role': 'user', 'turn': call_turn}, 'id': call_id, 'name': 'ask', 'result': content}) END AS VARCHAR) AS message
+FROM j
+"""
