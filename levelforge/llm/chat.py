@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, task
+from .common import batch_of, fresh, materialise, task
 
 #: Schema of the calls that plain chats are read as.
 ASK_SCHEMA = {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "role": {"enum": ["user"]}}, "required": ["prompt", "turn"], "additionalProperties": False}
@@ -204,31 +204,42 @@ def levels(calls: DataFrame, links_per_piece: int = 10_000) -> DataFrame:
     return out.select("conv_id", "call_id", F.coalesce("l", F.lit(0)).alias("level"), (F.col("through").isNotNull() & F.col("l").isNull()).alias("cyclic"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], salts: int = 64) -> DataFrame:
+def firsts(rows: DataFrame, *rest: str) -> tuple[DataFrame, DataFrame | None]:
+    """(first row of each identifier by turn, then by a hash of ``rest``; the other rows, None where no identifier is used again).
+
+    Which row is first is found without the texts. They are joined only where
+    some identifier is used again: a plain join, which the adaptive planner can
+    split however often one is. Equal rows are one row and a count on the way.
+    """
+    hashed, key = fresh("hash"), ["conv_id", "call_id"]
+    own = rows.where("call_id IS NOT NULL").withColumn(hashed, F.xxhash64(*rest))
+    place = F.struct("turn", hashed)
+    counted = own.groupBy(*key, "turn", hashed).agg(F.count("*").alias("times"))
+    least = materialise(counted.groupBy(*key).agg(F.min(place).alias("m"), F.min_by("times", place).alias("m_times"), F.sum("times").alias("all")))
+    if not least.where("all > 1").head(1):
+        return own.drop(hashed), None
+    known = least.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), "m", "m_times")
+    found = own.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")))
+    same = place.eqNullSafe(F.col("m"))
+    one, several = found.where(same & (F.col("m_times") == 1)), found.where(same & (F.col("m_times") > 1)).dropDuplicates(key)
+    again = several.withColumn("k", F.explode(F.sequence(F.lit(2).cast("long"), F.col("m_times"))))
+    return one.unionByName(several).select(rows.columns), found.where(~same).select(rows.columns).unionByName(again.select(rows.columns))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row for each call with its result, if any, and for each other result: every call and result is in one row.
 
     (conv_id, call_id, call_turn, result_turn, status, level, errors, message):
     status is linked, missing_result, early_result (its turn isn't after the
-    call's), cyclic or orphan_result; errors are the broken rules of the
-    arguments, null for rows without a call; message is canonical JSON. Of calls
-    or results with one identifier the first by turn (then by content) is linked;
-    each other one is a duplicate_call or duplicate_result of its own, at level 0.
-    Null identifiers never link: those calls and results are missing_id.
+    call's), cyclic (on a cycle of needs, or needing one) or orphan_result;
+    errors are the broken rules of the arguments, null for rows without a call;
+    message is canonical JSON. Of calls or results with one identifier the first
+    by turn (then by a hash of the content) is linked; each other one is a
+    duplicate_call or duplicate_result of its own, at level 0. Null identifiers
+    never link: those calls and results are missing_id. Null conversations are
+    one conversation; empty tables give an empty result.
     """
 
-    def firsts(df, *rest):
-        # Equal rows are counted, and the first by (turn, ...) is a minimum: both combine before the shuffle.
-        some = df.where("call_id IS NOT NULL").groupBy("conv_id", "call_id", "turn", *rest).agg(F.count("*").alias("times"))
-        some = materialise(some)
-        least = materialise(some.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *rest)).alias("m"), F.sum("times").alias("all")))
-        # Identifiers used again are dealt out by salts, however often one is.
-        again = least.where("all > 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        dealt = F.pmod(F.xxhash64("turn", *rest), F.lit(salts)) == F.col("salt")
-        more = some.join(again, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")) & dealt)
-        left = F.col("times") - F.struct("turn", *rest).eqNullSafe(F.col("m")).cast("long")
-        more = more.select("conv_id", "call_id", "turn", *rest, left.alias("left")).where("left > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
-        return least.select("conv_id", "call_id", "m.*"), more
-
     def alone(df, status, is_call):
         null = lambda kind: F.lit(None).cast(kind)
         turn = F.col("turn").cast("long")
@@ -236,17 +247,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], salts:
         rest = ("name", "arguments", null("string").alias("content")) if is_call else (null("string").alias("name"), null("string").alias("arguments"), "content")
         return df.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", turns[0].alias("call_turn"), turns[1].alias("result_turn"), F.lit(status).alias("status"), F.lit(0).alias("level"), *rest, F.lit(is_call).alias("is_call"))
 
-    first_calls, more_calls = firsts(calls, "name", "arguments", "needs")
+    c, more_calls = firsts(calls, "name", "arguments", "needs")
     first_results, more_results = firsts(results, "content")
-    c = materialise(first_calls)
     r = first_results.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid"), F.col("turn").alias("result_turn"), "content")
-    lv = levels(c).select(F.col("conv_id").alias("lc"), F.col("call_id").alias("lid"), "level", "cyclic")
+    lv = levels(materialise(c.select("conv_id", "call_id", "turn", "needs"))).select(F.col("conv_id").alias("lc"), F.col("call_id").alias("lid"), "level", "cyclic")
     known = c.join(lv, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("call_id") == F.col("lid")), "left")
     both = known.join(r, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rid")), "full")
     status = F.when(F.col("call_id").isNull(), "orphan_result").when(F.col("cyclic"), "cyclic").when(F.col("rid").isNull(), "missing_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("linked")
     rows = both.select(F.coalesce("conv_id", "rc").cast("long").alias("conv_id"), F.coalesce("call_id", "rid").alias("call_id"), F.col("turn").alias("call_turn"), "result_turn", status.alias("status"), F.coalesce("level", F.lit(0)).alias("level"), "name", "arguments", "content", F.col("call_id").isNotNull().alias("is_call"))
     for df, why, is_call in ((more_calls, "duplicate_call", True), (more_results, "duplicate_result", False), (calls.where("call_id IS NULL"), "missing_id", True), (results.where("call_id IS NULL"), "missing_id", False)):
-        rows = rows.unionByName(alone(df, why, is_call))
+        if df is not None:
+            rows = rows.unionByName(alone(df, why, is_call))
     schema = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("call_turn", pa.int64()), ("result_turn", pa.int64()), ("status", pa.string()), ("level", pa.int32()), ("errors", pa.list_(pa.string())), ("message", pa.string())])
 
     def write(batches):
