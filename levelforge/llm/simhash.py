@@ -347,19 +347,65 @@ def prefixes(raw: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.
     return doc[own], h[own], place[own], n[doc[own]]
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20, sample: int = 4000, most_common: int = 1 << 20, rows_per_salt: int = 256) -> DataFrame:
+def shared_shingles(texts: DataFrame, heads, buckets: int) -> DataFrame:
+    """(shingle) of those that ``heads`` gives for texts of more than one group; ``texts`` is (text_hash, text, fp, group).
+
+    Each batch sends a shingle once for each group, 14 bytes, packed by bucket: a
+    row for each would be several times that. Groups compare by 48 mixed bits.
+    """
+    from itertools import groupby
+
+    from .common import mix64
+    from .suffix_dedup import _by_bucket, _cut, _whole
+
+    sent, found = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())]), pa.schema([("shingle", pa.int64())])
+
+    def pack(batches):
+        for batch in batches:
+            groups = mix64(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+            for row, h, _, _ in heads(batch):
+                g = groups[row] & np.uint64(0xFFFFFFFFFFFF)
+                order = np.lexsort((g, h))
+                h, g = h[order], g[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))[: len(h)]
+                h, g = h[new], g[new]
+                bucket = ((mix64(h) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                for k, own in _by_bucket(bucket, np.arange(len(h))):
+                    yield batch_of(sent, [k], [_cut(h[own], 8).tobytes() + _cut(g[own], 6).tobytes()])
+
+    def meet(batches):
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, own in groupby(rows, key=lambda row: row[0]):
+            raw = [np.frombuffer(payload, np.uint8) for _, payload in own]
+            h = np.concatenate([_whole(x[: len(x) // 14 * 8], 8) for x in raw])
+            g = np.concatenate([_whole(x[len(x) // 14 * 8 :], 6) for x in raw])
+            order = np.lexsort((g, h))
+            h, g = h[order], g[order]
+            several = (h[1:] == h[:-1]) & (g[1:] != g[:-1])
+            yield batch_of(found, np.unique(h[1:][several]).view(np.int64))
+
+    packed = texts.mapInArrow(task(pack), "bucket int, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(task(meet), "shingle long")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20, sample: int = 4000, most_common: int = 1 << 20, rows_per_salt: int = 256, most_shared: int = 4_000_000) -> DataFrame:
     """(a, b): links that join the fingerprints, from ``rows`` (doc_id, text_hash, fp), joined by ``links``, and those of texts with Jaccard similarity of shingle sets of at least ``similarity``.
 
     Not all pairs are given, but all components. Two passes, each verified on
     the whole shingle sets; exact copies are one text. The first makes large
     groups of near copies one component: texts whose band fingerprints agree are
-    candidates of three of their group. The second is exact: it looks for links
+    candidates of three of their group, each text's nearest candidate first, then
+    those still in different components. The second is exact: it looks for links
     between different components by prefix filtering (``prefixes``), where the
-    shorter text of a pair needs fewer shingles still. Shingles found often in a
-    sample of texts come last, so a shared passage is no join key; the sample
-    decides the order alone, never what is found. The component with most texts
-    of a shingle is not compared with itself, and shingles of many texts are
-    dealt out by salts.
+    shorter text of a pair needs fewer shingles still, over the shingles that
+    more than one component has (``shared_shingles``; where there are at most
+    ``most_shared``, they are filtered as texts are read, else joined). Shingles
+    found often in a sample of texts come last, so a shared passage is no join
+    key; the sample decides the order alone, never what is found. The component
+    with most texts of a shingle is not compared with itself, and shingles of
+    many texts are dealt out by salts. The texts are written once more, without
+    exact copies, and shuffled only where the table of components is too large
+    to be broadcast.
     """
 
     def sketch(batches):
@@ -379,18 +425,29 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
                 _, h = shingle_hashes(text, np.array([0, len(text)]), shingle_words)
                 yield batch_of(schema, batch.column(0).slice(i, 1), [np.unique(h).view(np.int64)])
 
-    def heads(batches):
-        schema = pa.schema([("text_hash", pa.int64()), ("shingle", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
+    def heads(batch):
+        """(row in the batch, shingle, place, shingles of the text) of the prefixes, a slice at a time."""
+        raw, offsets = utf8_arrays(batch.column(1))
+        for first, last in text_slices(offsets, most_bytes):
+            doc, h, place, n = prefixes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], common.value, similarity, shingle_words)
+            yield doc + first, h, place, n
+
+    def head_rows(batches):
+        schema = pa.schema([("text_hash", pa.int64()), ("fp", pa.int64()), ("group", pa.int64()), ("shingle", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
+        known = shared.value
         for batch in batches:
-            raw, offsets = utf8_arrays(batch.column(1))
-            for first, last in text_slices(offsets, most_bytes):
-                doc, h, place, n = prefixes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], common.value, similarity, shingle_words)
-                yield batch_of(schema, batch.column(0).take(pa.array(doc + first)), h.view(np.int64), place.astype(np.int32), n.astype(np.int32))
+            for row, h, place, n in heads(batch):
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                    hit = np.flatnonzero(known[at] == h) if len(known) else at[:0]
+                    row, h, place, n = row[hit], h[hit], place[hit], n[hit]
+                own = pa.array(row)
+                yield batch_of(schema, *(batch.column(i).take(own) for i in (0, 2, 3)), h.view(np.int64), place.astype(np.int32), n.astype(np.int32))
 
     def verified(pairs):
         """The pairs at ``similarity``. The set of the text with fewer pairs goes with the pair; the other's is sent once for each salt."""
         ends = pairs.select(F.col("x").alias("end")).union(pairs.select("y"))
-        many = ends.groupBy("end").agg(F.count("*").alias("many"))
+        many = materialise(ends.groupBy("end").agg(F.count("*").alias("many")))
         of_x, of_y = (many.select(F.col("end").alias(f"end_{t}"), F.col("many").alias(f"many_{t}")) for t in "xy")
         known = pairs.join(of_x, F.col("x") == F.col("end_x")).join(of_y, F.col("y") == F.col("end_y"))
         swap = F.struct("many_x", "x") > F.struct("many_y", "y")
@@ -398,7 +455,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
         salts = (1 + F.floor(F.col("many") / rows_per_salt)).cast("int")
         turned = materialise(turned.withColumn("salt", F.pmod(F.xxhash64("few"), salts).cast("int")))
         some = distinct.join(many, F.col("text_hash") == F.col("end"), "left_semi")
-        shingles = materialise(some.mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]))
+        shingles = materialise(some.mapInArrow(task(sets), "text_hash long, shingles array<long>"))
         hubs = turned.select("hub", "salt").distinct().join(shingles.select(F.col("text_hash").alias("hub"), F.col("shingles").alias("sy")), "hub")
         both = turned.join(shingles.select(F.col("text_hash").alias("few"), F.col("shingles").alias("sx")), "few").join(hubs, ["hub", "salt"])
         shared = F.size(F.array_intersect("sx", "sy"))
@@ -407,28 +464,47 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     sketches = plain.mapInArrow(task(sketch), "doc_id long, text_hash long, n_shingles long, bands array<long>")
     texts = materialise(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    least = texts.select(F.col("text_hash").alias("hash__"), F.col("doc_id").alias("least"))
-    distinct = plain.join(least, (F.col("text_hash") == F.col("hash__")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text_hash", "text")
+    n_texts = texts.count()
+    least = materialise(texts.select(F.col("text_hash").alias("of"), F.col("doc_id").alias("least")))
+    distinct = materialise(plain.join(least, (F.col("text_hash") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text_hash", "text"), "zstd")
+    if distinct.count() > n_texts:
+        distinct = materialise(distinct.dropDuplicates(["text_hash"]), "zstd")
     each = texts.select("text_hash", "doc_id", "n", F.explode("bands").alias("band"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))["text_hash"]
     ends = each.groupBy("band").agg(first.alias("first"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
     met = each.join(ends, "band").select("text_hash", "n", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other"), "band").where("text_hash <> other")
     pairs = met.groupBy(F.least("text_hash", "other").alias("x"), F.greatest("text_hash", "other").alias("y")).agg(F.countDistinct("band").alias("bands"), F.min("n").alias("n"))
     # Of twelve bands two texts at the threshold share about half; one alone is chance, but for very short texts.
-    known = rows.groupBy("text_hash").agg(F.min("fp").alias("fp"))
+    known = materialise(rows.groupBy("text_hash").agg(F.min("fp").alias("fp")))
     of = lambda t: known.select(F.col("text_hash").alias(t), F.col("fp").alias(f"fp_{t}"))
-    pairs = materialise(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y"))
-    component = materialise(connected_components(links.union(verified(pairs))))
-
-    share = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) * texts.count() < sample * (1 << 30)
-    seen = distinct.where(share).mapInArrow(task(sets), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+    pairs = materialise(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y", "bands"))
+    ends = [pairs.select(F.col(t).alias("t"), F.struct("bands", F.col(o).alias("o"), F.col(f"fp_{t}").alias("fp_t"), F.col(f"fp_{o}").alias("fp_o")).alias("b")) for t, o in ("xy", "yx")]
+    nearest = ends[0].union(ends[1]).groupBy("t").agg(F.max("b").alias("b"))
+    turn = F.col("t") > F.col("b.o")
+    pick = lambda yes, no: F.when(turn, yes).otherwise(no)
+    nearest = nearest.select(F.least("t", "b.o").alias("x"), F.greatest("t", "b.o").alias("y"), pick(F.col("b.fp_o"), F.col("b.fp_t")).alias("fp_x"), pick(F.col("b.fp_t"), F.col("b.fp_o")).alias("fp_y")).distinct()
+    component = materialise(connected_components(links.union(verified(materialise(nearest)))))
+    in_ = lambda t: component.select(F.col("node").alias(f"node_{t}"), F.col("component").alias(f"in_{t}"))
+    rest = pairs.join(in_("x"), F.col("fp_x") == F.col("node_x"), "left").join(in_("y"), F.col("fp_y") == F.col("node_y"), "left")
+    rest = materialise(rest.where(F.coalesce("in_x", "fp_x") != F.coalesce("in_y", "fp_y")).select("x", "y", "fp_x", "fp_y"))
+    stars = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if rest.head(1):
+        component = materialise(connected_components(stars.union(verified(rest))))
+
+    share = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) * n_texts < sample * (1 << 30)
+    seen = distinct.where(share).mapInArrow(task(sets), "text_hash long, shingles array<long>")
     often = seen.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most_common).toPandas()
     often = often.assign(h=often["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
-    common = docs.sparkSession.sparkContext.broadcast((often["h"].to_numpy(np.uint64), often["count"].to_numpy(np.int64)))
-    head = materialise(distinct.mapInArrow(task(heads), "text_hash long, shingle long, place int, n int"))
-    twice = head.groupBy("shingle").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("shingle")
-    group = known.join(component, F.col("fp") == F.col("node"), "left").select("text_hash", "fp", F.coalesce("component", "fp").alias("group"))
-    some = materialise(head.join(twice, "shingle", "left_semi").join(group, "text_hash").distinct())
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast((often["h"].to_numpy(np.uint64), often["count"].to_numpy(np.int64)))
+    group = materialise(known.join(component, F.col("fp") == F.col("node"), "left").select(F.col("text_hash").alias("of"), "fp", F.coalesce("component", "fp").alias("group")))
+    grouped = distinct.join(group, F.col("text_hash") == F.col("of")).select("text_hash", "text", "fp", "group")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), n_texts // 20_000)
+    between = materialise(shared_shingles(grouped, heads, buckets))
+    few = between.count() <= most_shared
+    shared = spark.sparkContext.broadcast(np.sort(between.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)) if few else None)
+    head = grouped.mapInArrow(task(head_rows), "text_hash long, fp long, group long, shingle long, place int, n int")
+    some = materialise(head if few else head.join(between, "shingle", "left_semi"))
     of_shingle = some.groupBy("shingle", "group").count().groupBy("shingle").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.sum("count").alias("rows"), F.count("*").alias("groups"))
     salts = (1 + F.floor(F.col("rows") / rows_per_salt)).cast("int").alias("salts")
     some = materialise(some.join(of_shingle.where("groups > 1").select("shingle", "main", salts), "shingle"))

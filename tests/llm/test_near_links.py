@@ -1,6 +1,9 @@
 """The near-dedup stage against brute force, over texts that share a long passage."""
 
 import random
+from functools import partial
+
+import pytest
 
 from levelforge.llm import simhash
 
@@ -44,7 +47,9 @@ def least_reached(n, links):
     return [find(i) for i in range(n)]
 
 
-def test_links_beside_a_shared_passage(spark):
+@pytest.mark.parametrize("most_shared", [4_000_000, 0])
+def test_links_beside_a_shared_passage(spark, monkeypatch, most_shared):
+    monkeypatch.setattr(simhash, "similar_links", partial(simhash.similar_links, most_shared=most_shared))
     rows = passage_texts()
     out = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
     fp = {r.doc_id: int(r.fingerprint, 16) for r in out}
