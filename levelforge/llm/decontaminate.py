@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     items = materialise(benchmark_windows(benchmark, window))
     lengths = [r["length"] for r in items.select("length").distinct().orderBy("length").collect()]
     few = items.count() <= most_broadcast_windows
-    known = spark.sparkContext.broadcast(np.sort(items.select("h").distinct().toPandas()["h"].to_numpy(np.int64)) if few else None)
+    known = spark.sparkContext.broadcast(np.sort(items.select("h").distinct().toArrow()["h"].to_numpy()) if few else None)
     schema = pa.schema([("doc_id", pa.int64()), ("doc_at", pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("doc_own_h", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
 
     def run(batches):

@@ -228,7 +228,7 @@ def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_
     while True:
         total = sum(sizes.values())
         share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * total < 2 * sample * (1 << 30)
-        some = rows.where(share).orderBy(F.xxhash64("fp"), "shard").limit(2 * sample).toPandas().drop_duplicates()
+        some = rows.where(share).orderBy(F.xxhash64("fp"), "shard").limit(2 * sample).toArrow().to_pandas().drop_duplicates()
         routers, parent = {}, {}
         for shard, own in some.groupby("shard")["fp"]:
             x = np.random.default_rng(7).permutation(np.sort(own.to_numpy(np.int64).view(np.uint64)))
@@ -493,16 +493,17 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
 
     share = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) * n_texts < sample * (1 << 30)
     seen = distinct.where(share).mapInArrow(task(sets), "text_hash long, shingles array<long>")
-    often = seen.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most_common).toPandas()
-    often = often.assign(h=often["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
+    often = seen.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most_common).toArrow()
+    often, ranks = often["h"].to_numpy().view(np.uint64), often["count"].to_numpy()
+    order = np.argsort(often)
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast((often["h"].to_numpy(np.uint64), often["count"].to_numpy(np.int64)))
+    common = spark.sparkContext.broadcast((often[order], ranks[order]))
     group = materialise(known.join(component, F.col("fp") == F.col("node"), "left").select(F.col("text_hash").alias("of"), "fp", F.coalesce("component", "fp").alias("group")))
     grouped = distinct.join(group, F.col("text_hash") == F.col("of")).select("text_hash", "text", "fp", "group")
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), n_texts // 20_000)
     between = materialise(shared_shingles(grouped, heads, buckets))
     few = between.count() <= most_shared
-    shared = spark.sparkContext.broadcast(np.sort(between.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)) if few else None)
+    shared = spark.sparkContext.broadcast(np.sort(between.toArrow()["shingle"].to_numpy().view(np.uint64)) if few else None)
     head = grouped.mapInArrow(task(head_rows), "text_hash long, fp long, group long, shingle long, place int, n int")
     some = materialise(head if few else head.join(between, "shingle", "left_semi"))
     of_shingle = some.groupBy("shingle", "group").count().groupBy("shingle").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.sum("count").alias("rows"), F.count("*").alias("groups"))

@@ -347,7 +347,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(1 << 20)) * n_blocks < SAMPLE_BLOCKS << 20).select("ids", "sizes", "raw").mapInArrow(task(count_grams), "gram long, n long, entries long")
         n = some.groupBy("gram").agg(F.sum("n").alias("n"), F.max("entries").alias("entries"))
         share = F.col("n") * 8 * buckets > F.col("entries") * min(n_blocks, SAMPLE_BLOCKS)
-        return np.sort(n.where((F.col("n") >= 8) & share).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
+        return np.sort(n.where((F.col("n") >= 8) & share).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
 
     frequent = spark.sparkContext.broadcast(frequent_grams())
 
