@@ -347,6 +347,23 @@ def prefixes(raw: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.
     return doc[own], h[own], place[own], n[doc[own]]
 
 
+def parity_bits(h: np.ndarray) -> bytes:
+    """Of a set of hashes: a bit for each of at least four times as many places (a power of two), 1 where an odd number of them fall."""
+    places = 1 << max(6, (4 * len(h) - 1).bit_length())
+    from .common import mix64
+
+    odd = np.bincount((mix64(h) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """No more than the number of hashes that are in one of two sets alone: places whose parities differ, the finer bits folded to the coarser."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def shared_shingles(texts: DataFrame, heads, buckets: int) -> DataFrame:
     """(shingle) of those that ``heads`` gives for texts of more than one group; ``texts`` is (text_hash, text, fp, group).
 
@@ -444,8 +461,33 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
                 own = pa.array(row)
                 yield batch_of(schema, *(batch.column(i).take(own) for i in (0, 2, 3)), h.view(np.int64), place.astype(np.int32), n.astype(np.int32))
 
+    def bitmaps(batches):
+        schema = pa.schema([("text_hash", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+        for batch in batches:
+            raw, offsets = utf8_arrays(batch.column(1))
+            for i in range(batch.num_rows):
+                text = raw[offsets[i] : offsets[i + 1]]
+                h = np.unique(shingle_hashes(text, np.array([0, len(text)]), shingle_words)[1])
+                yield batch_of(schema, batch.column(0).slice(i, 1), [len(h)], [parity_bits(h)])
+
+    def close(batches):
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4, 8)]
+            most = (1 - similarity) / (1 + similarity)
+            keep = [least_difference(a, b) <= most * (n + m) + 1e-6 for a, b, n, m in zip(*columns, strict=True)]
+            yield batch.select(["x", "y", "fp_x", "fp_y"]).filter(pa.array(keep, pa.bool_()))
+
+    def possible(pairs):
+        """The pairs without those that parity bits, half a byte for a shingle in place of eight, show to differ too much: none at ``similarity`` goes."""
+        ends = materialise(pairs.select(F.col("x").alias("end")).union(pairs.select("y")).distinct())
+        bits = materialise(distinct.join(ends, F.col("text_hash") == F.col("end"), "left_semi").mapInArrow(task(bitmaps), "text_hash long, n long, bits binary"))
+        side = lambda t: bits.select(F.col("text_hash").alias(t), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
+        both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "fp_x", "fp_y", "bits_x", "bits_y", "n_x", "n_y")
+        return materialise(both.mapInArrow(task(close), "x long, y long, fp_x long, fp_y long"))
+
     def verified(pairs):
         """The pairs at ``similarity``. The set of the text with fewer pairs goes with the pair; the other's is sent once for each salt."""
+        pairs = possible(pairs)
         ends = pairs.select(F.col("x").alias("end")).union(pairs.select("y"))
         many = materialise(ends.groupBy("end").agg(F.count("*").alias("many")))
         of_x, of_y = (many.select(F.col("end").alias(f"end_{t}"), F.col("many").alias(f"many_{t}")) for t in "xy")

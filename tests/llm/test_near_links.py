@@ -3,6 +3,7 @@
 import random
 from functools import partial
 
+import numpy as np
 import pytest
 
 from levelforge.llm import simhash
@@ -69,3 +70,15 @@ def test_links_of_short_and_nested_texts(spark):
     links = [(i, j) for i, j in brute_force(rows) if texts[i].strip() and texts[j].strip()]
     links += [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2]
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(least_reached(len(rows), links)))
+
+
+def test_parity_bits_never_show_more_than_the_difference():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 5, 63, 64, 300, 5000):
+        for m in (0, 3, 80, 4000):
+            both, a, b = (np.unique(rnd.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m, m // 2))
+            x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+            least = simhash.least_difference(simhash.parity_bits(x), simhash.parity_bits(y))
+            assert least <= len(np.setxor1d(x, y)) and (n or least == 0 or m) and least == simhash.least_difference(simhash.parity_bits(y), simhash.parity_bits(x))
+    x = np.unique(rnd.integers(0, 1 << 63, 1000).astype(np.uint64))
+    assert simhash.least_difference(simhash.parity_bits(x), simhash.parity_bits(x)) == 0 and simhash.least_difference(simhash.parity_bits(x[:600]), simhash.parity_bits(x)) > 250
