@@ -84,6 +84,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, tampered_text
+
+    return manifest(table(spark, sf_dir, "documents"), tampered_text())
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

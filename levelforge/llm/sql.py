@@ -103,3 +103,45 @@ SELECT conv_id, call_id, call_turn, result_turn, CASE WHEN call_turn IS NULL THE
     ELSE to_json({'arguments': {'prompt': prompt, 'role': 'user', 'turn': call_turn}, 'id': call_id, 'name': 'ask', 'result': content}) END AS VARCHAR) AS message
 FROM j
 """
+
+#: Unsigned CRC-32 of the decimal form of ``{id}``.
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
+def _levels(nodes: str, name: str, levels: int) -> str:
+    """``{name}0`` to ``{name}{levels}``: the runs of eight (tree, g, hs, total) of each level above ``nodes`` (tree, i, h); the last holds one node a tree."""
+    out, below = [], nodes
+    for k in range(levels + 1):
+        out.append(f"{name}{k} AS (SELECT tree, i // 8 AS g, list(h ORDER BY i) AS hs, max(total) AS total FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS total FROM {below}) GROUP BY tree, i // 8)")
+        below = f"(SELECT tree, g AS i, CASE WHEN total = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}{k})"
+    return ",\n".join(out)
+
+
+def _climb(leaves: str, name: str, levels: int, keep: str) -> str:
+    """``leaves`` (tree, i) with ``path`` (left and right siblings of each level) by joins with the runs of each level."""
+    joins = " ".join(f"JOIN {name}{k} ON {name}{k}.tree = a.tree AND {name}{k}.g = a.i // {8 ** (k + 1)}" for k in range(levels))
+    place = [f"((a.i // {8**k}) % 8)" for k in range(levels)]
+    pairs = ", ".join(f"CASE WHEN {name}{k}.total > 1 THEN [array_to_string({name}{k}.hs[1:{place[k]}], ''), array_to_string({name}{k}.hs[{place[k]}+2:], '')] ELSE [] END" for k in range(levels))
+    return f"SELECT {keep}, flatten([{pairs}]) AS path, {name}{levels}.hs[1] AS top FROM {leaves} AS a {joins} JOIN {name}{levels} ON {name}{levels}.tree = a.tree"
+
+
+def _value(x: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+_FIVE = " || ".join(_value(x) for x in ("doc_id", "source", "lang", "n_chars"))
+_TAMPERED = f"CASE WHEN {CRC.format(id='doc_id')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+
+#: Eight levels of eight (16 million documents a language), four over the languages; a fold takes the siblings two by two.
+ORACLES["op13_merkle_manifest"] = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_FIVE} || {_value("text")}) AS h, sha256({_FIVE} || {_value(f"({_TAMPERED})")}) AS claim FROM documents),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, claim) - 1 AS i FROM d),
+{_levels("leaf", "r", 8)},
+own AS ({_climb("leaf", "r", 8, "a.doc_id, a.tree, a.h, a.claim")}),
+subs AS (SELECT '' AS tree, tree AS lang, hs[1] AS h, row_number() OVER (ORDER BY tree) - 1 AS i FROM r8),
+{_levels("subs", "s", 4)},
+over_ AS ({_climb("subs", "s", 4, "a.lang, a.h AS subroot")}),
+p AS (SELECT doc_id, h AS leaf, subroot, over_.top AS root, claim, list_concat(own.path, over_.path) AS path FROM own JOIN over_ ON own.tree = over_.lang),
+f AS (SELECT *, list_reduce(list_prepend(claim, list_transform(generate_series(1, len(path), 2), lambda k: path[k] || '|' || path[k + 1])), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(path, '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
