@@ -145,3 +145,21 @@ p AS (SELECT doc_id, h AS leaf, subroot, over_.top AS root, claim, list_concat(o
 f AS (SELECT *, list_reduce(list_prepend(claim, list_transform(generate_series(1, len(path), 2), lambda k: path[k] || '|' || path[k + 1])), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root FROM p)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(path, '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
 """
+
+#: Prefixes by the hash of their turns; every node adds itself to all prefixes of its smallest member down to it.
+ORACLES["op12_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER own AS i, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST)),
+k AS (SELECT c, n, {CRC.format(id="c")} % 4 AS h, c - c % 20 AS base FROM (SELECT DISTINCT c, n FROM t)),
+v AS (SELECT k.c, k.h, k.base, least(k.h, coalesce(b.n, 0)) AS taken FROM k LEFT JOIN k AS b ON b.c = k.base),
+r AS (SELECT v.c, t.i AS d, role, text FROM v JOIN t ON t.c = v.base AND t.i <= v.h UNION ALL SELECT v.c, taken + i - h, role, text FROM v JOIN t ON t.c = v.c AND t.i > v.h),
+x AS (SELECT c, d, sha256(strlen(role) || ':' || role || text) AS turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+paths AS (SELECT c, d, w, sha256(array_to_string(list(turn) OVER (PARTITION BY c ORDER BY d), '')) AS p FROM x UNION ALL SELECT c, 0, 0, '' FROM v),
+node AS (SELECT d, p, count(*) AS n_convs, min(c) AS conv_id, max(w) AS w FROM paths GROUP BY d, p),
+up AS (SELECT node.*, q.p AS above FROM node LEFT JOIN paths AS q ON q.c = node.conv_id AND q.d = node.d - 1),
+family AS (SELECT above AS p, count(*) AS n_children FROM up WHERE d > 0 GROUP BY above),
+full_ AS (SELECT up.*, coalesce(n_children, 0) AS n_children, m.conv_id AS parent_conv_id FROM up LEFT JOIN family ON family.p = up.p LEFT JOIN node AS m ON m.p = up.above),
+sums AS (SELECT a.p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * f.w) AS saved_tokens FROM full_ AS f JOIN paths AS a ON a.c = f.conv_id AND a.d <= f.d GROUP BY a.p),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY c) AS most FROM paths) WHERE d = most GROUP BY p)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_ JOIN sums USING (p) LEFT JOIN ends USING (p)
+"""
