@@ -5,32 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 class ProfileError(ValueError):
     """A profile that inherits in a circle or from a name that isn't there."""
 
 
-def resolve(profiles: DataFrame, most_levels: int = 32) -> DataFrame:
-    """(name, key, value): every setting of each profile, the nearest ancestor's own value winning.
+def ancestors(profiles: DataFrame) -> DataFrame:
+    """(name, at, depth): each profile with itself (depth 0) and everything it inherits from, nearest first.
 
-    ``profiles`` is (name, inherits, key, value) in long form; keys are dotted
-    paths, so nested settings merge leaf by leaf. One recursive query climbs all
-    chains at once. Raises ``ProfileError`` for unknown parents and circles.
+    Distances double each round, so a chain of n profiles takes log2(n) rounds,
+    each one join. Raises ``ProfileError`` for unknown parents and circles:
+    after as many steps as there are profiles nothing may be left above any.
     """
-    spark = profiles.sparkSession
-    names = profiles.select("name", "inherits").distinct()
-    lost = names.where("inherits IS NOT NULL").join(names.select(F.col("name").alias("inherits")), "inherits", "left_anti").head(1)
+    names = written(profiles.select("name", "inherits").distinct())
+    lost = names.where("inherits IS NOT NULL").join(names.select(F.col("name").alias("inherits")).distinct(), "inherits", "left_anti").head(1)
     if lost:
         raise ProfileError(f"unknown parent {lost[0]['inherits']} of {lost[0]['name']}")
-    names.createOrReplaceTempView("levelforge_profile_names")
-    chain = spark.sql(f"""WITH RECURSIVE up(name, at, depth) AS (
-      SELECT name, name, 0 FROM levelforge_profile_names
-      UNION ALL SELECT up.name, n.inherits, depth + 1 FROM up JOIN levelforge_profile_names n ON up.at = n.name WHERE n.inherits IS NOT NULL AND depth < {most_levels})
-      SELECT * FROM up""")
-    if chain.where(F.col("depth") >= most_levels).head(1):
-        raise ProfileError("profiles inherit in a circle")
+    n, far = names.count(), 1
+    jumps = [names.where("inherits IS NOT NULL")]
+    while jumps[-1].head(1):
+        if far >= n:
+            raise ProfileError(f"profiles inherit in a circle: {jumps[-1].head(1)[0]['name']}")
+        up = jumps[-1].select(F.col("name").alias("inherits"), F.col("inherits").alias("next"))
+        jumps.append(written(jumps[-1].join(up, "inherits").select("name", F.col("next").alias("inherits"))))
+        far *= 2
+    known = names.select("name", F.col("name").alias("at"), F.lit(0).cast("long").alias("depth"))
+    for k, jump in enumerate(jumps[:-1]):
+        onward = known.select(F.col("name").alias("inherits"), "at", (F.col("depth") + (1 << k)).alias("depth"))
+        known = written(known.union(jump.join(onward, "inherits").select("name", "at", "depth")))
+    return known
+
+
+def resolve(profiles: DataFrame) -> DataFrame:
+    """(name, key, value): every setting of each profile after a deep merge along its chain.
+
+    ``profiles`` is (name, inherits, key, value) in long form, keys dotted
+    paths. Maps merge; anything else replaces: an inherited leaf goes if a
+    nearer profile has a leaf at its path, above it (a value in place of the
+    map) or below it (a map in place of the value).
+    """
     own = profiles.where("key IS NOT NULL").select(F.col("name").alias("at"), "key", "value")
-    return chain.join(own, "at").groupBy("name", "key").agg(F.min_by("value", "depth").alias("value"))
+    near = ancestors(profiles).join(own, "at").groupBy("name", "key").agg(F.min("depth").alias("depth"), F.min_by("value", "depth").alias("value"))
+    leaves = written(near)
+    steps = F.split("key", r"\.")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ".")))
+    paths = leaves.where(F.size(steps) > 1).select("name", "key", "depth", above.alias("path"))
+    nearest = leaves.select("name", F.col("key").alias("path"), F.col("depth").alias("at_path"))
+    under_value = paths.join(nearest, ["name", "path"]).where("at_path < depth").select("name", "key").distinct()
+    maps = paths.groupBy("name", F.col("path").alias("key")).agg(F.min("depth").alias("map_depth"))
+    kept = leaves.join(under_value, ["name", "key"], "left_anti").join(maps, ["name", "key"], "left")
+    return kept.where("map_depth IS NULL OR map_depth >= depth").select("name", "key", "value")
 
 
 def compose(channels: DataFrame, genres: DataFrame, most_genres: int = 1000) -> DataFrame:

@@ -231,7 +231,7 @@ def reduction_factors(reasons: Column) -> tuple[Column, Column, Column]:
 
 
 def peak_only(reasons: Column) -> Column:
-    return (F.size(reasons) > 0) & F.forall(reasons, lambda x: F.lower(x).startswith("true peak"))
+    return (F.size(reasons) > 0) & F.forall(reasons, lambda x: F.lower(F.btrim(x, F.lit(" \t\n\r\x0b\x0c"))).startswith("true peak exceeded"))
 
 
 def peak_trim(true_peak: Column, ceiling=-1.2, margin=0.05, most=0.50) -> Column:

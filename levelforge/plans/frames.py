@@ -221,23 +221,23 @@ def tail_class(spark, sf_dir):
     return frames(spark, sf_dir).select("vec_id", kind.alias("tail_class"))
 
 
-_REASONS = "[['codec preview unsafe'], ['DYNAMICS RISK: LRA reduced'], ['crest loss too high'], ['low-band stereo correlation too low'], ['true peak exceeded'], ['clipped samples: 4', 'true peak exceeded'], []]"
+_REASONS = "[['codec preview unsafe'], ['DYNAMICS RISK: LRA reduced'], ['crest loss too high'], ['low-band stereo correlation too low'], ['true peak exceeded'], ['clipped samples: 4', 'true peak exceeded'], [], ['true peak margin'], [' True peak exceeded', 'true peak exceeded: -0.2']]"
 
 
 @query(BASE + f"""b AS (SELECT vec_id, round({_db(_rms('list_slice(x, 1, 16)'))}, 9) AS w, round({_db(_rms('list_slice(x, 9, 24)'))}, 9) AS b, round(greatest({_db(_rms('list_slice(x, 25, 40)'))}, {_db(_rms('list_slice(x, 41, 64)'))}), 9) + 3 AS p,
-(['OLD POP', 'JAZZ', 'K-POP', 'UNKNOWN'])[vec_id % 4 + 1] AS genre, CAST(60 + vec_id % 5 * 10 AS INTEGER) AS strength, ({_REASONS})[vec_id % 7 + 1] AS reasons FROM f),
+(['OLD POP', 'JAZZ', 'K-POP', 'UNKNOWN'])[vec_id % 4 + 1] AS genre, CAST(60 + vec_id % 5 * 10 AS INTEGER) AS strength, ({_REASONS})[vec_id % 9 + 1] AS reasons FROM f),
 g AS (SELECT *, p - w AS gw, p - b AS gb, CASE genre WHEN 'OLD POP' THEN 6.0 WHEN 'JAZZ' THEN 2.0 ELSE 3.0 END AS sat, CASE genre WHEN 'OLD POP' THEN 5.0 WHEN 'JAZZ' THEN 1.0 ELSE 2.0 END AS den, lower(array_to_string(reasons, ' / ')) AS t FROM b),
 h AS (SELECT *, round_even(CASE WHEN gw > 2.5 THEN greatest(0.0, least(0.8, (gw - 2.5) * 0.2)) WHEN gw < -5 THEN greatest(-0.5, least(0.0, (gw + 5) * 0.12)) ELSE 0 END * (strength / 100.0::DOUBLE), 3) AS warmth,
 round_even(CASE WHEN gb > 3 THEN greatest(0.0, least(0.5, (gb - 3) * 0.16)) WHEN gb < -4 THEN greatest(-0.5, least(0.0, (gb + 4) * 0.1)) ELSE 0 END * (strength / 100.0::DOUBLE), 3) AS body FROM g)
 SELECT vec_id, round(warmth, 3) AS warmth, round(body, 3) AS body, round(sat * strength / 100.0::DOUBLE, 3) AS saturation, round(den * strength / 100.0::DOUBLE, 3) AS density,
 CASE WHEN contains(t, 'codec') THEN 100 WHEN contains(t, 'lra') AND contains(t, 'risk') THEN 60 WHEN contains(t, 'crest') THEN 50 WHEN contains(t, 'low-band stereo correlation') THEN 60 ELSE 50 END AS retry_strength,
 round(CASE WHEN contains(t, 'low-band stereo correlation') THEN 0.35 ELSE 1.0 END, 3)::DOUBLE AS warmth_factor, round((CASE WHEN contains(t, 'clipped') THEN 0.5 ELSE 1.0 END) * (CASE WHEN contains(t, 'true peak') THEN 0.7 ELSE 1.0 END), 3)::DOUBLE AS wet_factor,
-len(reasons) > 0 AND len(list_filter(reasons, lambda x: NOT starts_with(lower(x), 'true peak'))) = 0 AS peak_only FROM h""")
+len(reasons) > 0 AND len(list_filter(reasons, lambda x: NOT starts_with(lower(trim(x)), 'true peak exceeded'))) = 0 AS peak_only FROM h""")
 def fullness_and_retry(spark, sf_dir):
     x = F.col("x")
     level = lambda a, n: db(A.rms(F.slice(x, a, n)))
-    cases = [["codec preview unsafe"], ["DYNAMICS RISK: LRA reduced"], ["crest loss too high"], ["low-band stereo correlation too low"], ["true peak exceeded"], ["clipped samples: 4", "true peak exceeded"], []]
-    reasons = F.get(F.array(*(F.array(*map(F.lit, c)).cast("array<string>") for c in cases)), (F.col("vec_id") % 7).cast("int"))
+    cases = [["codec preview unsafe"], ["DYNAMICS RISK: LRA reduced"], ["crest loss too high"], ["low-band stereo correlation too low"], ["true peak exceeded"], ["clipped samples: 4", "true peak exceeded"], [], ["true peak margin"], [" True peak exceeded", "true peak exceeded: -0.2"]]
+    reasons = F.get(F.array(*(F.array(*map(F.lit, c)).cast("array<string>") for c in cases)), (F.col("vec_id") % 9).cast("int"))
     genre = F.get(F.array(*map(F.lit, ["OLD POP", "JAZZ", "K-POP", "UNKNOWN"])), (F.col("vec_id") % 4).cast("int"))
     made = R.fullness(F.round(level(1, 16), 9), F.round(level(9, 16), 9), F.round(F.greatest(level(25, 16), level(41, 24)), 9) + 3, genre, F.lit("RICH"), 60 + F.col("vec_id") % 5 * 10)
     f = frames(spark, sf_dir).select("vec_id", made.alias("d"), reasons.alias("reasons"))

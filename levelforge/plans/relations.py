@@ -10,16 +10,24 @@ from ..operators import profiles, reports
 from ..operators import rules as R
 from .registry import query, table
 
-# Fixed small profile document in long form: name, parent, dotted key, value.
-PROFILES = [("base", None, "limits.a", 1.0), ("base", None, "limits.b", 2.0), ("base", None, "target", -14.0), ("child", "base", "limits.b", 9.0), ("grand", "child", "target", -16.0), ("grand", "child", "limits.c", 3.0), ("other", None, "target", -12.0)]
-_VALUES = ", ".join(f"('{n}', {'NULL' if p is None else repr(p)}, '{k}', {v}::DOUBLE)" for n, p, k, v in PROFILES)
+#: ``part`` as profiles: each inherits from the part of half its key; some say "limits" as a value, some as a map, some a map within it.
+_PROFILES = """own AS (SELECT CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey > 1 THEN CAST(p_partkey // 2 AS VARCHAR) END AS inherits,
+  CASE p_size % 5 WHEN 0 THEN 'limits' WHEN 1 THEN 'limits.a' WHEN 2 THEN 'limits.b' WHEN 3 THEN 'limits.a.x' ELSE 'target' END AS key, CAST(p_size AS DOUBLE) AS value FROM part),
+p AS (SELECT name, CASE WHEN inherits IN (SELECT name FROM own) THEN inherits END AS inherits, key, value FROM own)"""
 
 
-@query(f"""WITH RECURSIVE p(name, inherits, key, value) AS (VALUES {_VALUES}), n AS (SELECT DISTINCT name, inherits FROM p),
-up AS (SELECT name, name AS at, 0 AS depth FROM n UNION ALL SELECT up.name, n.inherits, depth + 1 FROM up JOIN n ON up.at = n.name WHERE n.inherits IS NOT NULL)
-SELECT up.name, key, arg_min(value, depth) AS value FROM up JOIN p ON up.at = p.name GROUP BY up.name, key""")
+@query(f"""WITH RECURSIVE {_PROFILES},
+up AS (SELECT name, name AS at, 0 AS depth FROM p UNION ALL SELECT up.name, p.inherits, depth + 1 FROM up JOIN p ON up.at = p.name WHERE p.inherits IS NOT NULL),
+l AS (SELECT up.name, key, depth, value FROM up JOIN p ON up.at = p.name),
+near AS (SELECT name, key, min(depth) AS depth, arg_min(value, depth) AS value FROM l GROUP BY name, key)
+SELECT name, key, value FROM near WHERE NOT EXISTS (SELECT 1 FROM near AS o WHERE o.name = near.name AND o.depth < near.depth AND (starts_with(near.key, o.key || '.') OR starts_with(o.key, near.key || '.')))""")
 def profile_inheritance(spark, sf_dir):
-    return profiles.resolve(spark.createDataFrame(PROFILES, "name string, inherits string, key string, value double"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    names = ["limits", "limits.a", "limits.b", "limits.a.x", "target"]
+    part = table(spark, sf_dir, "part").select(key.cast("string").alias("name"), F.when(key > 1, F.expr("p_partkey div 2").cast("string")).alias("inherits"), F.get(F.array(*map(F.lit, names)), size % 5).alias("key"), size.cast("double").alias("value"))
+    there = part.select(F.col("name").alias("inherits"), F.lit(True).alias("there")).distinct()
+    known = part.join(there, "inherits", "left").withColumn("inherits", F.when(F.col("there"), F.col("inherits")))
+    return profiles.resolve(known)
 
 
 @query("""WITH c AS (SELECT upper(trim(r_name)) AS key, r_name AS label, -14.0 - r_regionkey AS target, 2.0 AS concession, 6.0 + r_regionkey AS lra, 3.0 + r_regionkey AS w, r_regionkey / 4.0 AS scale FROM region),

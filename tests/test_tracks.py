@@ -64,6 +64,13 @@ def test_profiles(spark):
     rows = [("base", None, "n.a", 1.0), ("base", None, "n.b", 2.0), ("child", "base", "n.b", 9.0)]
     got = {(r.name, r.key): r.value for r in profiles.resolve(spark.createDataFrame(rows, schema)).collect()}
     assert got["child", "n.a"] == 1.0 and got["child", "n.b"] == 9.0
+    rows = [("base", None, "limits.a", 1.0), ("base", None, "limits.b", 2.0), ("base", None, "limits.c.d", 3.0), ("base", None, "limitsx.y", 4.0), ("child", "base", "limits", 9.0), ("grand", "child", "limits.b", 5.0), ("grand", "child", "limitsx.y.z", 6.0)]
+    got = sorted(tuple(r) for r in profiles.resolve(spark.createDataFrame(rows, schema)).where("name <> 'base'").collect())
+    assert got == [("child", "limits", 9.0), ("child", "limitsx.y", 4.0), ("grand", "limits.b", 5.0), ("grand", "limitsx.y.z", 6.0)]
+    chain = [(f"p{i}", f"p{i - 1}" if i else None, f"k{i}", float(i)) for i in range(70)]
+    assert profiles.resolve(spark.createDataFrame(chain, schema)).where("name = 'p69'").count() == 70
+    with pytest.raises(profiles.ProfileError, match="circle"):
+        profiles.resolve(spark.createDataFrame([("tail", "x", "k", 1.0), ("x", "y", "k", 1.0), ("y", "x", "k", 1.0)], schema))
     with pytest.raises(profiles.ProfileError):
         profiles.resolve(spark.createDataFrame([("x", "gone", "k", 1.0)], schema))
     with pytest.raises(profiles.ProfileError):
