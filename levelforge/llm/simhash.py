@@ -18,15 +18,18 @@ import logging
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, fresh, materialise, task, text_slices, utf8_arrays
+from .common import batch_of, connected_components, fresh, materialise, mix64, task, text_slices, utf8_arrays
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DEALT_COLUMNS = "shard long, was long, fp long"
+_DEALT = pa.schema([("shard", pa.int64()), ("was", pa.int64()), ("fp", pa.int64())])
 _LOG = logging.getLogger(__name__)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -214,48 +217,80 @@ def link_within(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
     return forest.parent
 
 
+#: Sample points that a router needs for each shard it makes.
+ENOUGH = 64
+#: Points of a large shard that one task deals out.
+DEALT = 200_000
+
+
+def wanted(n: int, points_per_shard: int, seen: int) -> int:
+    """Shards that a router over ``seen`` sample points makes of ``n`` points."""
+    return max(2, min(-(-2 * n // points_per_shard), seen // ENOUGH))
+
+
 def near_links(points: DataFrame, radius: int = 2, sample: int = 20_000, points_per_shard: int = 50_000) -> DataFrame:
     """(a, b): links of a spanning forest over the distinct fingerprints ``points`` (fp) within ``radius`` bits.
 
-    Routers are fitted on a sample (at most ``2 * sample`` fingerprints a
-    round); all points are routed and searched. A shard of over four times
-    ``points_per_shard`` points is dealt out again by a router of its own, unless
-    the last one made it hardly smaller (points all near each other).
+    Routers are fitted on samples, all points are routed and searched. The first
+    router comes from one sample (at most ``2 * sample`` fingerprints, the only
+    ones that reach the driver) and deals points where they are read. A shard of
+    over four times ``points_per_shard`` points is dealt out again by a router of
+    its own, fitted in a task on at most ``sample`` points of that shard, until
+    each fits; left as it is only if that makes it hardly smaller (points all
+    near each other).
     """
-    spark = points.sparkSession
-    rows, sizes, parts, made, copies = points.select(F.lit(0).cast("long").alias("shard"), "fp"), {0: points.count()}, [], 1, 0
-    least = 8
+    spark, total = points.sparkSession, points.count()
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * total < 2 * sample * (1 << 30)
+    some = points.select("fp").where(share).orderBy(F.xxhash64("fp")).limit(2 * sample).toArrow()["fp"].to_numpy()
+
+    def router(fps: np.ndarray, n: int):
+        x = np.random.default_rng(7).permutation(np.sort(fps.astype(np.int64).view(np.uint64)))
+        return fit_router(x, max(wanted(n, points_per_shard, len(x)), min(8, len(x) // 16)), radius)
+
+    shared = spark.sparkContext.broadcast(router(some, total) if len(some) else [])
+
+    def dealt_out(x: np.ndarray, shard: int, n: int, nodes):
+        """(shard, points of its parent, fingerprint): a shard's name mixes its parent's with its number; names that clash share a task, no more."""
+        for new, own in route(x.view(np.uint64), nodes, radius):
+            name = int(mix64(np.array([shard ^ (new + 1)], np.int64).view(np.uint64)).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name, np.int64)), pa.array(np.full(len(own), n, np.int64)), pa.array(x[own])], schema=_DEALT)
+
+    def first(batches):
+        for batch in batches:
+            yield from dealt_out(batch.column(0).to_numpy(zero_copy_only=False), 0, total, shared.value)
+
+    def fit(pdf):
+        nodes = np.array(router(pdf["fp"].to_numpy(), int(pdf["n"].iloc[0])), dtype=object)
+        flat = [v - (1 << 64) if v >= 1 << 63 else v for v in nodes.ravel().tolist()]
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "nodes": [flat]})
+
+    def again(rows, routers):
+        if not rows.num_rows:
+            return pa.Table.from_batches([], schema=_DEALT)
+        flat = np.array(routers["nodes"][0].as_py(), np.int64).reshape(-1, 4)
+        nodes = [(v & (1 << 64) - 1, b, i, o) for v, b, i, o in flat.tolist()]
+        out = dealt_out(rows["fp"].to_numpy(), rows["shard"][0].as_py(), rows["n"][0].as_py(), nodes)
+        return pa.Table.from_batches(list(out), schema=_DEALT)
+
+    dealt = materialise(points.select("fp").mapInArrow(task(first), _DEALT_COLUMNS))
+    parts, sizes = [], []
     while True:
-        total = sum(sizes.values())
-        share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * total < 2 * sample * (1 << 30)
-        some = rows.where(share).orderBy(F.xxhash64("fp"), "shard").limit(2 * sample).toArrow().to_pandas().drop_duplicates()
-        routers, parent = {}, {}
-        for shard, own in some.groupby("shard")["fp"]:
-            x = np.random.default_rng(7).permutation(np.sort(own.to_numpy(np.int64).view(np.uint64)))
-            nodes = fit_router(x, int(min(max(least, -(-2 * sizes[shard] // points_per_shard)), max(1, len(x) // 16))), radius)
-            routers[shard] = made, nodes
-            parent.update(dict.fromkeys(range(made, made + len(nodes) + 1), shard))
-            made += len(nodes) + 1
-        shared = spark.sparkContext.broadcast(routers)
-
-        def deal(batches, shared=shared):
-            for batch in batches:
-                shard, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-                for old in np.unique(shard).tolist():
-                    mine = x[shard == old]
-                    first, nodes = shared.value.get(old, (old, []))
-                    for new, own in route(mine.view(np.uint64), nodes, radius):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), first + new, np.int64)), pa.array(mine[own])], names=["shard", "fp"])
-
-        dealt = materialise(rows.mapInArrow(task(deal), "shard long, fp long"))
-        counts = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}
-        large = {k: n for k, n in counts.items() if n > 4 * points_per_shard and k in parent and n < 0.9 * sizes[parent[k]]}
-        copies += sum(n for k, n in counts.items() if k not in large)
-        parts.append(dealt.where(~F.col("shard").isin(list(large))) if large else dealt)
-        if not large:
+        size = materialise(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.max("was").alias("was")))
+        large = materialise(size.where((F.col("n") > 4 * points_per_shard) & (F.col("n") < 0.9 * F.col("was"))).select("shard", "n"))
+        sizes.append(size.join(large.select("shard"), "shard", "left_anti").select("n"))
+        if not large.head(1):
+            parts.append(dealt)
             break
-        rows, sizes, least = dealt.where(F.col("shard").isin(list(large))), large, 2
-    _LOG.info("%d copies of points in shards, largest %d", copies, max(counts.values(), default=0))
+        parts.append(dealt.join(large.select("shard"), "shard", "left_anti"))
+        rows = dealt.drop("was").join(large, "shard")
+        enough = F.least(F.lit(sample), ENOUGH * F.ceil(2 * F.col("n") / points_per_shard))
+        routers = rows.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * F.col("n") < enough * (1 << 30)).groupBy("shard").applyInPandas(fit, "shard long, nodes array<long>")
+        salts = F.ceil(F.col("n") / DEALT).cast("int")
+        routers = materialise(large.join(routers, "shard").select("shard", "nodes", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(1)), salts).cast("int"))
+        dealt = materialise(salted.groupBy("shard", "salt").cogroup(routers.groupBy("shard", "salt")).applyInArrow(lambda a, b: again(a, b), _DEALT_COLUMNS))
+    copies, largest = reduce(DataFrame.union, sizes).agg(F.sum("n"), F.max("n")).first()
+    _LOG.info("%d copies of points in shards, largest %d", copies or 0, largest or 0)
 
     def search(_key, table):
         x = np.unique(table["fp"].to_numpy().view(np.uint64))

@@ -37,6 +37,16 @@ def test_large_shards_are_dealt_out_again(spark, caplog):
     assert np.array_equal(forest.parent, expected)
 
 
+def test_small_samples_still_make_shards_that_fit(spark, caplog):
+    x = np.unique(np.random.default_rng(9).integers(0, 1 << 63, 80_000).astype(np.uint64))
+    x = np.unique(np.concatenate([x, x[:500] ^ np.uint64(5)]))
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    with caplog.at_level("INFO", logger="levelforge.llm.simhash"):
+        got = {frozenset(np.array(r, np.int64).view(np.uint64).tolist()) for r in simhash.near_links(df, 2, sample=200, points_per_shard=2000).collect()}
+    assert int(caplog.records[-1].getMessage().split()[-1]) <= 8000
+    assert got == {frozenset((int(v), int(v) ^ 5)) for v in x[np.isin(x ^ np.uint64(5), x)]}
+
+
 def test_keep_one_leaves_other_columns(spark):
     rows = [(1, "a b c d", 1, 2, 3), (2, "a b c d", 4, 5, 6), (None, "x y z", 7, 8, 9), (None, "x y z", 7, 8, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, hash__ long, id__ long, text_hash long")
