@@ -71,14 +71,22 @@ def _entries(buckets: DataFrame) -> tuple[int, DataFrame]:
 
 
 def _pages(over: DataFrame, byte_limit: int) -> DataFrame:
-    """``over`` (depth, prefix, row, n_bytes and others; rows of buckets beyond the limit) with the overflow page of each."""
-    over = over.withColumn("part", F.shiftright("row", 16))
-    parts = over.groupBy("depth", "prefix", "part").agg(F.sum("n_bytes").alias("s"), F.max("n_bytes").alias("m"))
-    ahead = parts.select("depth", "prefix", "part", (F.sum("s").over(Window.partitionBy("depth", "prefix").orderBy("part")) - F.col("s")).alias("ahead"), F.max("m").over(Window.partitionBy("depth", "prefix")).alias("largest"))
-    within = F.sum("n_bytes").over(Window.partitionBy("depth", "prefix", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    placed = over.withColumn("within", F.coalesce(within, F.lit(0))).join(ahead, ["depth", "prefix", "part"])
-    page = F.expr(f"CASE WHEN largest >= {byte_limit} THEN ahead + within ELSE (ahead + within) div greatest({byte_limit} - largest, 1) END")
-    return placed.withColumn("page", page.cast("long")).drop("part", "within", "ahead", "largest")
+    """``over`` (depth, prefix, row, n_bytes and others; rows of buckets beyond the limit) with the overflow page of each.
+
+    Rows of more than half the limit have a page each, after the pages of the
+    others: those are cut where the limit less the largest of them is reached,
+    which is at least half the limit, so one large row makes no small pages.
+    """
+    bucket, small = ["depth", "prefix"], F.col("n_bytes") * 2 <= byte_limit
+    over = over.withColumns({"part": F.shiftright("row", 16), "few": F.when(small, F.col("n_bytes")).otherwise(F.lit(0)), "big": (~small).cast("long")})
+    parts = over.groupBy(*bucket, "part").agg(F.sum("few").alias("s"), F.sum("big").alias("b"), F.max("few").alias("m"))
+    upto, all_ = Window.partitionBy(*bucket).orderBy("part"), Window.partitionBy(*bucket)
+    room = F.lit(byte_limit) - F.max("m").over(all_)
+    ahead = parts.select(*bucket, "part", (F.sum("s").over(upto) - F.col("s")).alias("ahead"), (F.sum("b").over(upto) - F.col("b")).alias("ahead_big"), room.alias("room"), F.sum("s").over(all_).alias("all_few"))
+    within = Window.partitionBy(*bucket, "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = over.withColumns({k: F.coalesce(F.sum(k).over(within), F.lit(0)).alias(k) for k in ("few", "big")} | {"alone": ~small}).join(ahead, [*bucket, "part"])
+    page = F.when(F.col("alone"), F.expr("all_few div room + 1 + ahead_big + big")).otherwise(F.expr("(ahead + few) div room"))
+    return placed.withColumn("page", page.cast("long")).drop("part", "few", "big", "alone", "ahead", "ahead_big", "room", "all_few")
 
 
 def shards(docs: DataFrame, byte_limit: int = 256 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,6 +50,26 @@ def test_written_shards(spark):
     assert spark.read.schema(docs.schema).parquet(folder).count() == 0
 
 
+@pytest.mark.parametrize(("large", "most"), [((), 21), ((900,), 23), ((1100,), 23), ((501, 499, 600, 2000), 47)])
+def test_one_large_row_makes_no_small_pages(spark, large, most):
+    docs = spark.createDataFrame([(7, "x" * n) for n in (*large, *[10] * 2000)], "doc_id long, text string").repartition(3)
+    pages = Counter()
+    for r in sharding.shards(docs, byte_limit=1000).collect():
+        pages[r.page] += r.n_bytes
+    assert len(pages) <= most and sum(pages.values()) == 20_000 + sum(large)
+    assert sorted(n for n in pages.values() if n > 1000) == [n for n in sorted(large) if n > 1000]
+
+
+def test_many_small_records_are_read_in_linear_time():
+    records = [b"record %d " % i + b"text " * (i % 50) for i in range(20_000)]
+    data = warc.archive_bytes(records, warc.train_dictionary(records))
+    began = time.process_time()
+    assert list(warc.read_archive(data)) == records
+    assert time.process_time() - began < 1.0
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.read_archive(data[:-3]))
+
+
 def test_visible_text():
     page = b"<html><script>var a;</script >x<STYLE>b</style><!-- c -->y<b>z</b> &eacute;&#228;&lt;"
     assert language.visible_text(page).decode().split() == ["x", "y", "z", "éä<"]
