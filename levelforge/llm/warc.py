@@ -44,6 +44,10 @@ def _page_id(urn: str) -> int:
     return NULL_ID if value == "null" else int(value)
 
 
+#: Compressed bytes that a reader takes at once.
+WINDOW = 1 << 12
+
+
 def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, date: str, number: int | None = None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit without its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -86,17 +90,23 @@ def archive_bytes(records: list[bytes], dictionary: bytes, level: int = 3) -> by
 
 
 def read_archive(data: bytes):
-    """Yields the records of an archive, one after the other."""
+    """Yields the records of an archive, one after the other; each is fed ``WINDOW`` bytes at a time, so nothing after it is copied."""
     magic, n = struct.unpack_from("<II", data)
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame")
     given = zstandard.ZstdCompressionDict(data[8 : 8 + n]) if n else None
     reader = zstandard.ZstdDecompressor(dict_data=given)
-    rest = data[8 + n :]
-    while rest:
-        frame = reader.decompressobj()
-        yield frame.decompress(rest)
-        rest = frame.unused_data
+    view, at = memoryview(data), 8 + n
+    while at < len(view):
+        frame, parts = reader.decompressobj(), []
+        while not frame.eof:
+            piece = view[at : at + WINDOW]
+            if not piece:
+                raise ValueError("the last record is cut off")
+            parts.append(frame.decompress(piece))
+            at += len(piece)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 100, bytes_per_file: int = 16_000_000, date: str = "2024-01-01T00:00:00Z", folder: str | None = None) -> DataFrame:
