@@ -171,18 +171,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
                         yield batch_of(schema, batch.column(0).take(pa.array(doc[part] + a)), at[part], np.full(len(doc[part]), length), h[part], own_h, _slots(own[part], length, value, slot))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(task(run), "doc_id long, doc_at long, length int, h long, doc_own_h long, doc_slots array<long>")
-    if few:
-        found = materialise(found)
+    found = materialise(rows.mapInArrow(task(run), "doc_id long, doc_at long, length int, h long, doc_own_h long, doc_slots array<long>"))
     pair = ["doc_id", "item_id", "n_windows"]
     own = items.groupBy("h", "own_h", "length", "item_id", "n_windows").agg(F.collect_list("at").alias("ats"))
     same = found.select("doc_id", "length", "h", F.col("doc_own_h").alias("own_h")).distinct().join(own, ["h", "own_h", "length"])
     same = same.select(*pair, F.explode("ats").alias("at"), F.lit(True).alias("same"))
-    changed = found.join(items.where("may_change"), ["h", "length"]).where("own_h <> doc_own_h AND size(slots) = size(doc_slots)")
+    # Which slots of a window hold one value: all that decides whether other values are consistent in it.
+    equal = lambda slots: F.transform(slots, lambda x: F.array_position(slots, x))
+    fits = F.forall(F.zip_with("equal", "doc_equal", lambda i, d: F.get("doc_equal", i.cast("int") - 1) == d), lambda ok: F.coalesce(ok, F.lit(False))) & (F.size("equal") == F.size("doc_equal"))
+    changing = items.where("may_change").withColumn("equal", equal(F.col("slots")))
+    kinds = found.select("doc_id", "h", "length", equal(F.col("doc_slots")).alias("doc_equal")).distinct()
+    # An item of one window is there if any window of the document fits it: a document's lines of one template count once for each pattern.
+    alone = kinds.join(changing.where("n_windows = 1").select("h", "length", "item_id", "n_windows", "at", "equal"), ["h", "length"]).where(fits)
+    alone = alone.select(*pair, "at", F.lit(False).alias("same")).distinct()
+    # Items of several windows: only where enough of their templates are in the document, whatever the values.
+    several = items.where("n_windows > 1").select("h", "length", "item_id", "n_windows", "at")
+    enough = found.select("doc_id", "h", "length").distinct().join(several, ["h", "length"]).groupBy(*pair).agg(F.countDistinct("at").alias("n")).where(100 * F.col("n") >= coverage_percent * F.col("n_windows"))
+    changed = found.withColumn("doc_equal", equal(F.col("doc_slots"))).join(changing.where("n_windows > 1"), ["h", "length"]).where(F.col("own_h") != F.col("doc_own_h"))
+    changed = changed.join(enough.select(*pair), pair, "left_semi").where(F.size("slots") == F.size("doc_slots"))
     changed = changed.select(*pair, "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.explode(F.arrays_zip("slots", "doc_slots")).alias("s"))
     value = changed.groupBy(*pair, "diagonal", "s.slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"), F.collect_set("at").alias("ats"))
     whole = value.groupBy(*pair, "diagonal").agg(F.min(F.col("low") == F.col("high")).alias("one"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")).where("one")
-    both = same.unionByName(whole.select(*pair, F.explode("ats").alias("at"), F.lit(False).alias("same")))
+    both = same.unionByName(alone).unionByName(whole.select(*pair, F.explode("ats").alias("at"), F.lit(False).alias("same")))
     out = both.groupBy(*pair, "at").agg(F.max("same").alias("same")).groupBy(*pair).agg(F.count("*").alias("n_matched"), F.min("same").alias("same"))
     return out.where(100 * F.col("n_matched") >= coverage_percent * F.col("n_windows")).select(*pair, "n_matched", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
 

@@ -97,3 +97,21 @@ def test_odd_tables(spark):
     assert D.without_contaminated(docs, bench).count() == 0
     assert D.without_contaminated(docs, bench.limit(0)).count() == 1
     assert D.without_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_one_template_in_many_items_and_lines(spark):
+    """Lines of a template do not multiply with the items that have it."""
+
+    def run(items, lines):
+        text = "\n".join(f"train to town {7000 + i} leaves at {9000 + i} daily" for i in range(lines))
+        docs = spark.createDataFrame([(1, text), (2, "train to town 5 leaves at 5 daily")], "doc_id long, text string")
+        bench = spark.createDataFrame([(i, f"train to town {i} leaves at {i + 500} daily") for i in range(items)] + [(-1, "train to town 1 leaves at 1 daily")], "item_id long, text string")
+        began = time.time()
+        out = D.contaminated(docs, bench).collect()
+        took = time.time() - began
+        assert {(r.doc_id, r.item_id) for r in out} == {(d, i) for d in (1, 2) for i in range(items)} | {(2, -1)}
+        return took
+
+    run(10, 10)
+    small = run(100, 1000)
+    assert run(400, 4000) < 2 * small + 3
