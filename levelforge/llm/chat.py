@@ -159,6 +159,29 @@ def settled(call_ids: list, needs: list, back: list[int], known: list) -> dict:
     return done
 
 
+def skipped(links: DataFrame, longer: DataFrame) -> DataFrame:
+    """``links`` where each call with one need, in the conversations of ``longer`` (c, n links), needs the end of its chain instead.
+
+    Steps double: a chain is gone after log2 of its length rounds, and its
+    ``back`` is the sum of those on the way. What still moves after as many
+    rounds as the largest conversation can need runs in a circle.
+    """
+    rounds = int(longer.agg(F.max("n")).first()[0]).bit_length() + 1
+    inside = links.join(longer.select("c"), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    one = inside.groupBy("conv_id", "call_id").agg(F.count("*").alias("k")).where("k = 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"))
+    one = materialise(one)
+    mine = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n"))
+    chains = materialise(links.join(one, mine, "left_semi"))
+    for _ in range(rounds):
+        ahead = chains.where("need <> call_id").select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.col("need").alias("next"), F.col("back").alias("more"))
+        moved = chains.join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("n")), "left")
+        moved = materialise(moved.select(*links.columns, "next", "more"))
+        if not moved.where("next IS NOT NULL").head(1):
+            break
+        chains = moved.withColumns({"need": F.coalesce("next", "need"), "back": F.least(F.col("back").cast("long") + F.coalesce("more", F.lit(0)), F.lit(1 << 30)).cast("int")}).drop("next", "more")
+    return materialise(links.join(one, mine, "left_anti").unionByName(chains))
+
+
 def levels(calls: DataFrame, links_per_piece: int = 10_000) -> DataFrame:
     """(conv_id, call_id, level, cyclic) of distinct calls; needs that name no call of the conversation are left out.
 
@@ -166,8 +189,10 @@ def levels(calls: DataFrame, links_per_piece: int = 10_000) -> DataFrame:
     turn (and, where one turn has very many calls, by identifier) into pieces of
     about ``links_per_piece`` links. In a round every piece orders what it can
     from the levels known before, so a conversation of one piece takes one
-    round, a longer one as many as a path changes pieces. What no round can
-    order is on a cycle or needs one.
+    round. In longer ones calls with one need skip along it first
+    (``skipped``), so a round is needed only where a path through calls with
+    several needs changes pieces. What no round can order is on a cycle or
+    needs one.
     """
     nodes = calls.select("conv_id", "call_id", "turn")
     there = nodes.select(F.col("conv_id").alias("c"), F.col("call_id").alias("known"), F.col("turn").alias("t"))
@@ -182,6 +207,9 @@ def levels(calls: DataFrame, links_per_piece: int = 10_000) -> DataFrame:
     own = links.join(odd, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("range", place).select("conv_id", "call_id", "need", "back", "range")
     size = own.groupBy("conv_id", "range").agg((1 + F.floor(F.count("*") / (4 * links_per_piece))).cast("int").alias("salts")).select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "salts")
     own = materialise(own.join(size, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).withColumn("salt", F.pmod(F.xxhash64("call_id"), F.col("salts")).cast("int")).drop("c", "r", "salts"))
+    longer = odd.where(F.col("n") > links_per_piece).select("c", "n")
+    if longer.head(1):
+        own = skipped(own, longer)
     kind = calls.schema["conv_id"].dataType.simpleString()
 
     def order(table):

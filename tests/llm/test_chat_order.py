@@ -86,3 +86,15 @@ def test_hostile_arguments(spark):
     assert out["0"].errors in (["$: too deep"], ["$: not JSON"]) and out["3"].errors == ["$: not JSON"] == out["6"].errors
     assert json.loads(out["1"].message)["arguments"] == "�" and out["2"].errors == ["$.�: additionalProperties"]
     assert json.loads(out["8"].message)["arguments"] == {"a": "\U0001f600"}
+
+
+def test_a_chain_within_one_turn_takes_few_rounds(spark, monkeypatch):
+    """Three thousand calls of one turn, each needing the next, in pieces of fifty links."""
+    tables = []
+    real = chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda df, *a: tables.append(1) or real(df, *a))
+    n = 3000
+    rows = [(1, 5, f"c{k}", [f"c{k + 1}"]) for k in range(n)] + [(1, 5, f"c{n}", []), (2, 1, "x", ["y"]), (2, 1, "y", ["x"]), (1, 5, "z", ["z"])]
+    got = {(r.conv_id, r.call_id): None if r.cyclic else r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, needs array<string>"), 50).collect()}
+    assert got == {(1, f"c{k}"): n - k for k in range(n + 1)} | {(2, "x"): None, (2, "y"): None, (1, "z"): None}
+    assert len(tables) <= 24
