@@ -41,6 +41,43 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one step, deleted together when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def write(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        self.folders.append(path := shared_dir(self.spark))
+        df.write.option("compression", compression).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, key: str, compression: str = "zstd") -> DataFrame:
+        """``df`` written in buckets of ``key``, as many as the session has shuffle partitions: joins on ``key`` move only their other side."""
+        self.folders.append(path := shared_dir(self.spark))
+        name = f"levelforge_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", compression).option("path", path).bucketBy(n, key).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # resolved: from here on the files are what counts
+        self.spark.sql(f"DROP TABLE {name}")
+        return out
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        for folder in self.folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders = []
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """``df`` (written before) to be broadcast if its rows, ``row_bytes`` each, take at most ``most`` bytes; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def fresh(name: str) -> str:
     """A column name that no table of the user has."""
     return f"{name}_{uuid.uuid4().hex}"

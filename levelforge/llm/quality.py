@@ -129,11 +129,18 @@ def quality(docs: DataFrame, most_broadcast_lines: int = 100_000, with_lines: bo
     return out.select("doc_id", *_MEASURES, failed.alias("base_failed"), removed.alias("removed_words"), (~failed & ~depleted).alias("kept"), *more)
 
 
+#: Bytes of verdicts up to which they are broadcast; beyond, the texts are shuffled to them.
+MOST_BROADCAST = 32 << 20
+
+
 def apply_quality(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents and without the lines above the limits (n_chars follows the text)."""
     verdict = quality(docs, with_lines=True).where("NOT kept OR gone IS NOT NULL").select("doc_id", "source", "text_hash", "kept", "gone").dropDuplicates(["doc_id", "source", "text_hash"])
     own = {c: fresh(c) for c in verdict.columns}
     verdict = materialise(verdict.withColumnsRenamed(own))
+    size = verdict.agg(F.sum(64 + 8 * F.coalesce(F.size(own["gone"]), F.lit(0)) + F.coalesce(F.octet_length(own["source"]), F.lit(0)))).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        verdict = F.broadcast(verdict)
     of = {c: F.col(x) for c, x in own.items()}
     same = F.col("doc_id").cast("long").eqNullSafe(of["doc_id"]) & F.col("source").cast("string").eqNullSafe(of["source"]) & (F.xxhash64("text") == of["text_hash"])
     names, mark = docs.columns, own["gone"]

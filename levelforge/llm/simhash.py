@@ -15,16 +15,18 @@ pairs.
 from __future__ import annotations
 
 import logging
+import zlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, fresh, materialise, mix64, task, text_slices, utf8_arrays
+from .common import Scratch, batch_of, connected_components, fresh, if_small, materialise, mix64, task, text_slices, utf8_arrays
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -360,19 +362,74 @@ def bands_of(raw: np.ndarray, offsets: np.ndarray, shingle_words: int = 5) -> tu
     return n, (group[first] >> np.uint64(4)).astype(np.int64), mix64(fp ^ (group[first] & np.uint64(15)))
 
 
-def prefixes(raw: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float, shingle_words: int = 5) -> tuple[np.ndarray, ...]:
+#: Counters of the table of shingle frequencies (4 bytes each); more would tell smaller frequencies apart in a larger corpus.
+COUNTERS = 1 << 21
+#: Counters to a row on the way to the table, and rows of a counter's part that are added up before the last sum.
+_SLICE, _FAN = 1 << 17, 64
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (mix64(h) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, scratch: Scratch, shingle_words: int, most_bytes: int) -> np.ndarray:
+    """Counters of the texts that have a shingle, over all of ``texts`` (text_hash, text): shingles share ``COUNTERS`` counters by hash.
+
+    A counter is no less than the frequency of each of its shingles, so what
+    very many texts share stands out from the mean, whatever the size of the
+    corpus. Tasks count what they read; their counters, compressed, are added up
+    in two steps as streams. The result has a fixed size.
+    """
+    sent = pa.schema([("part", pa.int32()), ("lane", pa.int32()), ("counts", pa.binary())])
+    columns = "part int, lane int, counts binary"
+
+    def rows(counts: np.ndarray, lane: int):
+        for k in range(0, len(counts), _SLICE):
+            yield batch_of(sent, [k // _SLICE], [lane], [zlib.compress(counts[k : k + _SLICE].tobytes(), 1)])
+
+    def count(batches):
+        counts = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            raw, offsets = utf8_arrays(batch.column(1))
+            for first, last in text_slices(offsets, most_bytes):
+                doc, h = shingle_hashes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle_words)
+                order = np.lexsort((doc, h))
+                doc, h = doc[order], h[order]
+                once = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+                counts += np.bincount(counter_of(h[once]), minlength=COUNTERS).astype(np.uint32)
+        yield from rows(counts, TaskContext.get().partitionId() % _FAN)
+
+    def add(batches):
+        at, total = None, None
+        for batch in batches:
+            for part, lane, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (part, lane) != at:
+                    if at:
+                        yield batch_of(sent, [at[0]], [at[1]], [zlib.compress(total.tobytes(), 1)])
+                    at, total = (part, lane), np.zeros(_SLICE, np.uint32)
+                total += np.frombuffer(zlib.decompress(counts), np.uint32)
+        if at:
+            yield batch_of(sent, [at[0]], [at[1]], [zlib.compress(total.tobytes(), 1)])
+
+    def added(df: DataFrame) -> DataFrame:
+        return df.repartition("part", "lane").sortWithinPartitions("part", "lane").mapInArrow(task(add), columns)
+
+    each = added(texts.mapInArrow(task(count), columns)).withColumn("lane", F.lit(0))
+    out = np.zeros(COUNTERS, np.uint32)
+    for row in scratch.write(added(each)).toArrow().to_pylist():
+        out[row["part"] * _SLICE : (row["part"] + 1) * _SLICE] += np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    return out
+
+
+def prefixes(raw: np.ndarray, offsets: np.ndarray, counts: np.ndarray, similarity: float, shingle_words: int = 5) -> tuple[np.ndarray, ...]:
     """(text, shingle, place, distinct shingles of the text) of the shingles that two texts at ``similarity`` can't all differ in.
 
-    A text's shingles are put in one order for all texts: those not in
-    ``common`` (sorted hashes, and their ranks from 1) first, then by rank. The
-    first common shingle of two similar texts is among the first
-    n - ceil(similarity * n) + 1 of both.
+    A text's shingles are put in one order for all texts: by the counters that
+    ``counts`` has for them, then by hash. The first common shingle of two
+    similar texts is among the first n - ceil(similarity * n) + 1 of both.
     """
     doc, h = shingle_hashes(raw, offsets, shingle_words)
-    hashes, ranks = common
-    at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-    rank = np.where(hashes[at] == h, ranks[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
-    order = np.lexsort((h, rank, doc))
+    order = np.lexsort((h, counts[counter_of(h)], doc))
     doc, h = doc[order], h[order]
     new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)]
     doc, h = doc[new], h[new]
@@ -440,7 +497,7 @@ def shared_shingles(texts: DataFrame, heads, buckets: int) -> DataFrame:
     return packed.mapInArrow(task(meet), "shingle long")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20, sample: int = 4000, most_common: int = 1 << 20, rows_per_salt: int = 256, most_shared: int = 4_000_000) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most_bytes: int = 1 << 20, rows_per_salt: int = 256, most_shared: int = 4_000_000) -> DataFrame:
     """(a, b): links that join the fingerprints, from ``rows`` (doc_id, text_hash, fp), joined by ``links``, and those of texts with Jaccard similarity of shingle sets of at least ``similarity``.
 
     Not all pairs are given, but all components. Two passes, each verified on
@@ -452,14 +509,18 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
     shorter text of a pair needs fewer shingles still, over the shingles that
     more than one component has (``shared_shingles``; where there are at most
     ``most_shared``, they are filtered as texts are read, else joined). Shingles
-    found often in a sample of texts come last, so a shared passage is no join
-    key; the sample decides the order alone, never what is found. The component
-    with most texts of a shingle is not compared with itself, and shingles of
-    many texts are dealt out by salts. The texts are written once more, without
-    exact copies, and shuffled only where the table of components is too large
-    to be broadcast.
+    that many texts have come last (``frequencies``), so a shared passage is no
+    join key. The component with most texts of a shingle is not compared with
+    itself, and shingles of many texts are dealt out by salts. The texts are
+    shuffled and written once more, without exact copies (which are combined
+    before the shuffle), in buckets of their hash, so that later joins move only
+    ids. All intermediate tables are deleted at the end.
     """
 
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    keep = scratch.write
+
     def sketch(batches):
         for batch in batches:
             raw, offsets = utf8_arrays(batch.column(2))
@@ -514,25 +575,25 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
 
     def possible(pairs):
         """The pairs without those that parity bits, half a byte for a shingle in place of eight, show to differ too much: none at ``similarity`` goes."""
-        ends = materialise(pairs.select(F.col("x").alias("end")).union(pairs.select("y")).distinct())
-        bits = materialise(distinct.join(ends, F.col("text_hash") == F.col("end"), "left_semi").mapInArrow(task(bitmaps), "text_hash long, n long, bits binary"))
+        ends = keep(pairs.select(F.col("x").alias("end")).union(pairs.select("y")).distinct())
+        bits = keep(distinct.join(if_small(ends, 16), F.col("text_hash") == F.col("end"), "left_semi").mapInArrow(task(bitmaps), "text_hash long, n long, bits binary"))
         side = lambda t: bits.select(F.col("text_hash").alias(t), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "fp_x", "fp_y", "bits_x", "bits_y", "n_x", "n_y")
-        return materialise(both.mapInArrow(task(close), "x long, y long, fp_x long, fp_y long"))
+        return keep(both.mapInArrow(task(close), "x long, y long, fp_x long, fp_y long"))
 
     def verified(pairs):
         """The pairs at ``similarity``. The set of the text with fewer pairs goes with the pair; the other's is sent once for each salt."""
         pairs = possible(pairs)
         ends = pairs.select(F.col("x").alias("end")).union(pairs.select("y"))
-        many = materialise(ends.groupBy("end").agg(F.count("*").alias("many")))
+        many = keep(ends.groupBy("end").agg(F.count("*").alias("many")))
         of_x, of_y = (many.select(F.col("end").alias(f"end_{t}"), F.col("many").alias(f"many_{t}")) for t in "xy")
         known = pairs.join(of_x, F.col("x") == F.col("end_x")).join(of_y, F.col("y") == F.col("end_y"))
         swap = F.struct("many_x", "x") > F.struct("many_y", "y")
         turned = known.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("few"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("hub"), F.greatest("many_x", "many_y").alias("many"), "fp_x", "fp_y")
         salts = (1 + F.floor(F.col("many") / rows_per_salt)).cast("int")
-        turned = materialise(turned.withColumn("salt", F.pmod(F.xxhash64("few"), salts).cast("int")))
-        some = distinct.join(many, F.col("text_hash") == F.col("end"), "left_semi")
-        shingles = materialise(some.mapInArrow(task(sets), "text_hash long, shingles array<long>"))
+        turned = keep(turned.withColumn("salt", F.pmod(F.xxhash64("few"), salts).cast("int")))
+        some = distinct.join(if_small(many, 24), F.col("text_hash") == F.col("end"), "left_semi")
+        shingles = keep(some.mapInArrow(task(sets), "text_hash long, shingles array<long>"))
         hubs = turned.select("hub", "salt").distinct().join(shingles.select(F.col("text_hash").alias("hub"), F.col("shingles").alias("sy")), "hub")
         both = turned.join(shingles.select(F.col("text_hash").alias("few"), F.col("shingles").alias("sx")), "few").join(hubs, ["hub", "salt"])
         shared = F.size(F.array_intersect("sx", "sy"))
@@ -540,60 +601,55 @@ def similar_links(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle_wo
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     sketches = plain.mapInArrow(task(sketch), "doc_id long, text_hash long, n_shingles long, bands array<long>")
-    texts = materialise(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    texts = keep(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     n_texts = texts.count()
-    least = materialise(texts.select(F.col("text_hash").alias("of"), F.col("doc_id").alias("least")))
-    distinct = materialise(plain.join(least, (F.col("text_hash") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text_hash", "text"), "zstd")
-    if distinct.count() > n_texts:
-        distinct = materialise(distinct.dropDuplicates(["text_hash"]), "zstd")
+    distinct = scratch.bucketed(plain.groupBy("text_hash").agg(F.first("text").alias("text")), "text_hash")
     each = texts.select("text_hash", "doc_id", "n", F.explode("bands").alias("band"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))["text_hash"]
     ends = each.groupBy("band").agg(first.alias("first"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
     met = each.join(ends, "band").select("text_hash", "n", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other"), "band").where("text_hash <> other")
     pairs = met.groupBy(F.least("text_hash", "other").alias("x"), F.greatest("text_hash", "other").alias("y")).agg(F.countDistinct("band").alias("bands"), F.min("n").alias("n"))
     # Of twelve bands two texts at the threshold share about half; one alone is chance, but for very short texts.
-    known = materialise(rows.groupBy("text_hash").agg(F.min("fp").alias("fp")))
+    known = keep(rows.groupBy("text_hash").agg(F.min("fp").alias("fp")))
     of = lambda t: known.select(F.col("text_hash").alias(t), F.col("fp").alias(f"fp_{t}"))
-    pairs = materialise(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y", "bands"))
+    pairs = keep(pairs.where("bands >= 2 OR n < 24").join(of("x"), "x").join(of("y"), "y").where("fp_x <> fp_y").select("x", "y", "fp_x", "fp_y", "bands"))
     ends = [pairs.select(F.col(t).alias("t"), F.struct("bands", F.col(o).alias("o"), F.col(f"fp_{t}").alias("fp_t"), F.col(f"fp_{o}").alias("fp_o")).alias("b")) for t, o in ("xy", "yx")]
     nearest = ends[0].union(ends[1]).groupBy("t").agg(F.max("b").alias("b"))
     turn = F.col("t") > F.col("b.o")
     pick = lambda yes, no: F.when(turn, yes).otherwise(no)
     nearest = nearest.select(F.least("t", "b.o").alias("x"), F.greatest("t", "b.o").alias("y"), pick(F.col("b.fp_o"), F.col("b.fp_t")).alias("fp_x"), pick(F.col("b.fp_t"), F.col("b.fp_o")).alias("fp_y")).distinct()
-    component = materialise(connected_components(links.union(verified(materialise(nearest)))))
+    component = keep(connected_components(links.union(verified(keep(nearest)))))
     in_ = lambda t: component.select(F.col("node").alias(f"node_{t}"), F.col("component").alias(f"in_{t}"))
     rest = pairs.join(in_("x"), F.col("fp_x") == F.col("node_x"), "left").join(in_("y"), F.col("fp_y") == F.col("node_y"), "left")
-    rest = materialise(rest.where(F.coalesce("in_x", "fp_x") != F.coalesce("in_y", "fp_y")).select("x", "y", "fp_x", "fp_y"))
+    rest = keep(rest.where(F.coalesce("in_x", "fp_x") != F.coalesce("in_y", "fp_y")).select("x", "y", "fp_x", "fp_y"))
     stars = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
     if rest.head(1):
-        component = materialise(connected_components(stars.union(verified(rest))))
+        component = keep(connected_components(stars.union(verified(rest))))
 
-    share = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) * n_texts < sample * (1 << 30)
-    seen = distinct.where(share).mapInArrow(task(sets), "text_hash long, shingles array<long>")
-    often = seen.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most_common).toArrow()
-    often, ranks = often["h"].to_numpy().view(np.uint64), often["count"].to_numpy()
-    order = np.argsort(often)
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast((often[order], ranks[order]))
-    group = materialise(known.join(component, F.col("fp") == F.col("node"), "left").select(F.col("text_hash").alias("of"), "fp", F.coalesce("component", "fp").alias("group")))
-    grouped = distinct.join(group, F.col("text_hash") == F.col("of")).select("text_hash", "text", "fp", "group")
+    common = spark.sparkContext.broadcast(frequencies(distinct, scratch, shingle_words, most_bytes))
+    group = keep(known.join(component, F.col("fp") == F.col("node"), "left").select(F.col("text_hash").alias("of"), "fp", F.coalesce("component", "fp").alias("group")))
+    grouped = distinct.join(if_small(group, 32), F.col("text_hash") == F.col("of")).select("text_hash", "text", "fp", "group")
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), n_texts // 20_000)
-    between = materialise(shared_shingles(grouped, heads, buckets))
+    between = keep(shared_shingles(grouped, heads, buckets))
     few = between.count() <= most_shared
     shared = spark.sparkContext.broadcast(np.sort(between.toArrow()["shingle"].to_numpy().view(np.uint64)) if few else None)
     head = grouped.mapInArrow(task(head_rows), "text_hash long, fp long, group long, shingle long, place int, n int")
-    some = materialise(head if few else head.join(between, "shingle", "left_semi"))
+    some = keep(head if few else head.join(between, "shingle", "left_semi"))
     of_shingle = some.groupBy("shingle", "group").count().groupBy("shingle").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.sum("count").alias("rows"), F.count("*").alias("groups"))
     salts = (1 + F.floor(F.col("rows") / rows_per_salt)).cast("int").alias("salts")
-    some = materialise(some.join(of_shingle.where("groups > 1").select("shingle", "main", salts), "shingle"))
+    some = keep(some.join(of_shingle.where("groups > 1").select("shingle", "main", salts), "shingle"))
     index = some.where(F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)).withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.col("salts")).cast("int"))
     probe = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     side = lambda df, t: df.select("shingle", "salt", F.col("text_hash").alias(t), F.col("fp").alias(f"fp_{t}"), F.col("group").alias(f"g_{t}"), F.col("n").alias(f"n_{t}"), (F.col("n") - F.col("place")).alias(f"left_{t}"))
     # x is the shorter; what is left from the first common shingle on must hold the overlap.
     fits = (F.col("g_x") != F.col("g_y")) & (F.struct("n_x", "x") < F.struct("n_y", "y")) & (F.col("n_x") >= similarity * F.col("n_y") - 1e-9) & (F.least("left_x", "left_y") >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6)
     meet = lambda i, p: side(i, "x").join(side(p, "y"), ["shingle", "salt"]).where(fits).select("x", "y", "fp_x", "fp_y")
-    across = materialise(meet(index.where("group <> main"), probe).union(meet(index.where("group = main"), probe.where("group <> main"))).distinct())
-    return component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(across))
+    across = keep(meet(index.where("group <> main"), probe).union(meet(index.where("group = main"), probe.where("group <> main"))).distinct())
+    out = materialise(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(across)))
+    for known in (common, shared):
+        known.unpersist()
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -611,7 +667,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     drop = materialise(out.select(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)).distinct())
     twice = materialise(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)))
     same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(hashed))
-    kept = docs.join(drop, same, "left_anti")
+    kept = docs.join(if_small(drop, 32), same, "left_anti")
     if not twice.head(1):
         return kept
     # Only rows that are there more than once are grouped.
