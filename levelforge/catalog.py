@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audio, checks, ends, frames, registry, relations, routing, series, tracks
+from .plans import audio, checks, ends, frames, registry, relations, routing, series, streams, tracks
 from .plans.frames import flagship
 
-MODULES = [frames, series, relations, routing, tracks, checks, ends, audio]
+MODULES = [frames, series, relations, routing, tracks, checks, ends, audio, streams]
 
 
 def queries() -> dict:
