@@ -40,6 +40,16 @@ def numbered(df: DataFrame, keys: list[str], order: list, position: str, total:
     return out.select(*df.columns, (F.col(at) + F.col(first)).alias(position), *([F.col(n).alias(total)] if total else []))
 
 
+def placed(df: DataFrame, keys: list[str], order: list, position: str, total: str | None = None, most: int = 1 << 20) -> DataFrame:
+    """As ``numbered``, by a window for each key where no key has over ``most`` rows (they are counted first), so small keys cost no written table."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        return numbered(df, keys, order, position, total)
+    w = Window.partitionBy(*keys)
+    out = {position: F.row_number().over(w.orderBy(*order)).cast("long")} | ({total: F.count("*").over(w)} if total else {})
+    return df.withColumns(out)
+
+
 def framed(df: DataFrame, keys: list[str], position: str, before: int, after: int, compute: dict, size: int = 1 << 14) -> DataFrame:
     """``df`` with window columns whose frames reach at most ``before`` rows back and ``after`` rows on.
 

@@ -165,6 +165,18 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), json_number(infinite).alias("safe"), block["input_i"].alias("last_block"))
 
 
+@query("""SELECT event_id, CASE WHEN value <= 400 THEN round(value, 4) END AS in_map, CASE WHEN event_id % 5 > 0 AND value <= 300 THEN round(value, 3) END AS in_struct, event_id % 5 = 0 AS no_struct, event_type AS beside FROM events""")
+def json_nested(spark, sf_dir):
+    """Numbers made safe for JSON three levels down: in a list of structs with a map of lists, and in a struct that may be null."""
+    from ..sources.tables import json_safe
+
+    v = F.col("value")
+    deep = F.array(F.struct(F.create_map(F.lit("k"), F.array(F.when(v > 400, float("nan")).otherwise(F.round(v, 4)))).alias("m"), F.col("event_type").alias("t")))
+    inner = F.when(F.col("event_id") % 5 > 0, F.struct(F.struct(F.when(v > 300, float("-inf")).otherwise(F.round(v, 3)).alias("x")).alias("s")))
+    safe = json_safe(table(spark, sf_dir, "events").select("event_id", deep.alias("deep"), inner.alias("inner")))
+    return safe.select("event_id", F.col("deep")[0]["m"]["k"][0].alias("in_map"), F.col("inner.s.x").alias("in_struct"), F.col("inner").isNull().alias("no_struct"), F.col("deep")[0]["t"].alias("beside"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 0 END AS codec, CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 1 END AS fullness, CASE WHEN o_orderpriority LIKE '1%' THEN 3 ELSE 1 END AS gates FROM orders")
 def retry_policy(spark, sf_dir):
     mode = F.when(F.col("o_orderpriority").startswith("1"), "QUALITY+").otherwise("FAST")

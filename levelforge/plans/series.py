@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import correlation
 from ..operators import rules as R
+from ..operators.scans import framed, placed
 from .registry import query, table
 
 ORDER = "(PARTITION BY user_id ORDER BY ts, event_id)"
 
 
 def series(spark, sf_dir) -> DataFrame:
-    """(user_id, i, n, v): each user's values in order, from 1. Windows are by user: as many groups as users."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("user_id")).alias("n"), F.col("value").alias("v"), "event_type")
-    return e
+    """(user_id, i, n, v, event_type): each user's values in order, from 1; a user with very many is numbered across tasks."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("v"), "event_type")
+    return placed(e, ["user_id"], ["ts", "event_id"], "i", "n").drop("ts", "event_id")
 
 
 BASE = f"WITH s AS (SELECT user_id, row_number() OVER {ORDER} AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS v, event_type FROM events)\n"
@@ -71,8 +71,8 @@ a AS (SELECT d.user_id, d, m, quantile_cont(abs(d - m), 0.5) OVER (PARTITION BY
 SELECT user_id, count(*) AS n, round(greatest(1.4826 * max(mad), 1e-8), 4) AS scale, count(*) FILTER (abs(d - m) > greatest(0.025, 2 * 1.4826 * mad)) AS spikes FROM a GROUP BY user_id""")
 def diff_spikes_mad(spark, sf_dir):
     """First differences, their robust scale, and those over twice it."""
-    w = Window.partitionBy("user_id").orderBy("i")
-    d = series(spark, sf_dir).select("user_id", F.round(F.col("v") - F.lag("v").over(w), 6).alias("d")).where("d IS NOT NULL").groupBy("user_id", "d").agg(F.count("*").alias("times"))
+    before = framed(series(spark, sf_dir), ["user_id"], "i", 1, 0, {"before": lambda w: F.lag("v").over(w)})
+    d = before.select("user_id", F.round(F.col("v") - F.col("before"), 6).alias("d")).where("d IS NOT NULL").groupBy("user_id", "d").agg(F.count("*").alias("times"))
     # Percentiles over counted values, joined back: no window holds a whole user.
     d = d.join(d.groupBy("user_id").agg(F.percentile("d", F.lit(0.5), F.col("times")).alias("m")), "user_id").withColumn("off", F.abs(F.col("d") - F.col("m")))
     d = d.join(d.groupBy("user_id").agg(F.percentile("off", F.lit(0.5), F.col("times")).alias("mad")), "user_id")
@@ -97,6 +97,7 @@ def spaced_window_median(spark, sf_dir):
     step = F.when(F.col("c") == 1, F.lit(0)).otherwise(F.floor(F.col("j") * F.greatest(F.lit(0), F.col("n") - 16) / (F.col("c") - 1)))
     s = s.withColumn("c", count).select("*", F.explode(F.sequence(F.lit(0), F.col("c").cast("int") - 1)).alias("j")).withColumn("a", step).where("i > a AND i <= a + 16")
     e = s.groupBy("user_id", "j").agg(F.round(F.avg("v")).cast("long").alias("est"))
+    # Three windows of a user at most: the window holds three rows.
     e = e.withColumn("med", F.round(F.percentile("est", F.lit(0.5)).over(Window.partitionBy("user_id"))).cast("long"))
     close = F.abs(F.col("est") - F.col("med")) <= 10
     inner = F.when(close, F.col("est"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.levels import html_escape, json_number
 
@@ -59,19 +60,31 @@ def write_report(df: DataFrame, path: str, columns: list[str]) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_floats(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _has_floats(kind.elementType)
+    return _has_floats(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, T.DoubleType | T.FloatType)
+
+
+def safe_value(c: Column, kind: T.DataType) -> Column:
+    """``c`` with non-finite numbers as null, however deep in structs, arrays and map values; null structs stay null, parts without floats are as they were."""
+    if not _has_floats(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*(safe_value(c.getField(f.name), f.dataType).alias(f.name) for f in kind))
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: safe_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: safe_value(v, kind.valueType))
+    return json_number(c)
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """Non-finite numbers as null, also in arrays and maps of doubles."""
-    out = []
-    for f in df.schema.fields:
-        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
-        if kind in ("double", "float"):
-            c = json_number(c)
-        elif kind in ("array<double>", "array<float>"):
-            c = F.transform(c, json_number)
-        elif kind in ("map<string,double>", "map<string,float>"):
-            c = F.transform_values(c, lambda _, v: json_number(v))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Every column's non-finite numbers as null, by its type."""
+    return df.select(*(safe_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from levelforge.operators.scans import framed, numbered, running
+from levelforge.operators.scans import framed, numbered, placed, running
 
 
 def rows(n=500):
@@ -41,3 +41,18 @@ def test_empty(spark):
     df = spark.createDataFrame([], "k string, t long")
     assert numbered(df, ["k"], ["t"], "i", "n").count() == 0
     assert numbered(df, [], ["t"], "i").count() == 0
+
+
+def test_large_keys_are_numbered_across_tasks(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "k string, t long, v long").repartition(7)
+    one, two = (sorted(map(str, map(tuple, placed(df, ["k"], ["t"], "i", "n", most).collect()))) for most in (10, 1000))
+    assert one == two and len(one) == len(data)
+
+
+def test_a_hot_series_is_dealt_out(spark):
+    """A key with all rows: no task of the frames gets more than a block and its neighbours."""
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("i") + 1, F.col("id").alias("v")).toDF("k", "i", "v")
+    out = framed(df, ["k"], "i", 1, 0, {"before": lambda w: F.lag("v").over(w)}, size=500)
+    assert out.where("before = v - 1 OR (i = 1 AND before IS NULL)").count() == 20_000
+    assert out.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0] < 20_000
