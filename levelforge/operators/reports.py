@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import finite, fixed, texts
+from ..sources.shared import fresh
 
 
 def blank(x: Column) -> Column:
@@ -16,14 +17,15 @@ def blank(x: Column) -> Column:
 
 def patch(report: DataFrame, found: DataFrame, key: str, always: dict[str, Column] | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
     """Left-join ``found`` onto ``report``: a hit overwrites, a miss fills only blank cells from ``defaults``; ``always`` is written anyway."""
-    names = [c for c in found.columns if c != key]
-    joined = report.join(found.select(F.col(key).alias("key__"), *(F.col(c).alias(f"{c}__") for c in names)), F.col(key) == F.col("key__"), "left")
-    hit = F.col("key__").isNotNull()
+    names, of = [c for c in found.columns if c != key], fresh("of")
+    new = {c: fresh("new") for c in names}
+    joined = report.join(found.select(F.col(key).alias(of), *(F.col(c).alias(x) for c, x in new.items())), F.col(key) == F.col(of), "left")
+    hit = F.col(of).isNotNull()
     columns = {}
     for c in dict.fromkeys([*report.columns, *names]):
         old = blank(F.col(c).cast("string")) if c in report.columns else F.lit(None).cast("string")
         kept = F.coalesce(old, (defaults or {}).get(c, F.lit(None)).cast("string"))
-        columns[c] = F.when(hit, F.col(f"{c}__").cast("string")).otherwise(kept) if c in names else (F.col(c) if c in report.columns else kept)
+        columns[c] = F.when(hit, F.col(new[c]).cast("string")).otherwise(kept) if c in names else (F.col(c) if c in report.columns else kept)
     columns.update(always or {})
     return joined.select(*(x.alias(c) for c, x in columns.items()))
 
@@ -87,13 +89,14 @@ def refresh(stale: DataFrame, measured: DataFrame, key: str) -> DataFrame:
     ``stale`` has lufs and warnings (an array) beside others, ``measured`` has
     lufs and any of the others.
     """
-    names = [c for c in measured.columns if c != key]
-    now = measured.select(F.col(key).alias("key__"), *(F.col(c).alias(f"{c}__") for c in names))
-    softer = F.col("lufs") - F.col("lufs__")
+    names, of = [c for c in measured.columns if c != key], fresh("of")
+    new = {c: fresh("new") for c in names}
+    now = measured.select(F.col(key).alias(of), *(F.col(c).alias(x) for c, x in new.items()))
+    softer = F.col("lufs") - F.col(new["lufs"])
     text = F.concat(F.lit("codec safety attenuation applied: -"), fixed(softer, 2), F.lit(" dB"))
     warned = F.when(softer > 0.03, F.array_union("warnings", F.array(text))).otherwise(F.col("warnings"))
-    joined = stale.join(now, F.col(key) == F.col("key__"), "left")
-    pick = lambda c: F.when(F.col("key__").isNotNull(), F.col(f"{c}__")).otherwise(F.col(c))
+    joined = stale.join(now, F.col(key) == F.col(of), "left")
+    pick = lambda c: F.when(F.col(of).isNotNull(), F.col(new[c])).otherwise(F.col(c))
     return joined.select(*((warned if c == "warnings" else pick(c) if c in names else F.col(c)).alias(c) for c in stale.columns))
 
 
@@ -128,7 +131,7 @@ def loudness_flags(final: Column, target: Column, tolerance: float = 0.20) -> tu
 
 
 def source_warnings(true_peak: Column, lra: Column, final: Column, final_peak: Column, target: Column, ceiling: Column | None = None) -> Column:
-    """Warnings of a master in their fixed order; with a ceiling the stricter limits hold. Nulls and NaN warn of nothing."""
+    """Warnings of a finished track in their fixed order; with a ceiling the stricter limits hold. Nulls and NaN warn of nothing."""
     over = F.abs(final - target) > (0.35 if ceiling is not None else 0.8)
     peak = final_peak > (ceiling + 0.10 if ceiling is not None else -0.5)
     ok = lambda x, c: finite(x) & c

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import INF, db, lit
+from ..sources.shared import fresh
 from . import arrays as A
 
 #: The end of a track in ms, and the levels in dB that judge and mend it.
@@ -78,7 +79,8 @@ def repair_tail(tracks: DataFrame, candidates: Column | None = None) -> DataFram
     """
     ladder = candidates if candidates is not None else fade_candidates()
     rms, last = end_levels(F.col("channels"), F.col("sample_rate"))
-    df = tracks.withColumns({"end__": rms, "last__": last})
+    end, final = fresh("end"), fresh("last")
+    df = tracks.withColumns({end: rms, final: last})
 
     def passes(ms):
         after, sample = end_levels(faded(F.col("channels"), F.col("sample_rate"), ms), F.col("sample_rate"))
@@ -86,13 +88,13 @@ def repair_tail(tracks: DataFrame, candidates: Column | None = None) -> DataFram
 
     first = F.array_min(F.filter(ladder, passes))
     chosen = F.coalesce(first, F.array_max(ladder))
-    mode = F.when(F.col("end__") > ENERGETIC, "musical_tail_fade").when((F.col("end__") > END_RMS) & (F.col("last__") > LAST_SAMPLE), "click_safe_fade").when(F.col("last__") > MICRO, "micro_fade").otherwise("none")
+    mode = F.when(F.col(end) > ENERGETIC, "musical_tail_fade").when((F.col(end) > END_RMS) & (F.col(final) > LAST_SAMPLE), "click_safe_fade").when(F.col(final) > MICRO, "micro_fade").otherwise("none")
     df = df.withColumn("mode", mode)
     by = {"musical_tail_fade": chosen, "click_safe_fade": F.lit(HARD_FADE_MS), "micro_fade": F.lit(MICRO_FADE_MS)}
     df = df.withColumn("fade_ms", F.coalesce(*(F.when(F.col("mode") == m, x) for m, x in by.items()), F.lit(0.0)))
     tried = F.when(F.col("mode") == "musical_tail_fade", F.filter(ladder, lambda x: x <= F.col("fade_ms"))).when(F.col("mode") == "none", F.array().cast("array<double>")).otherwise(F.array("fade_ms"))
     mended = F.when(F.col("fade_ms") > 0, faded(F.col("channels"), F.col("sample_rate"), F.col("fade_ms"))).otherwise(F.col("channels"))
-    return df.withColumns({"attempted": tried, "channels": mended}).drop("end__", "last__")
+    return df.withColumns({"attempted": tried, "channels": mended}).drop(end, final)
 
 
 def within_budgets(attempts: DataFrame, track: str, kind: str, order: str, budgets: dict[str, int]) -> DataFrame:
