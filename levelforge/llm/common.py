@@ -18,13 +18,13 @@ NULL_ID = np.iinfo(np.int64).max
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir``.
 
-    Where that is not set, a session whose master is local gets a temporary
+    Where that is not set, a session that runs in one process gets a temporary
     folder; on a cluster each executor would write to its own disk, so it is an
     error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext._jsc.isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-levelforge-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

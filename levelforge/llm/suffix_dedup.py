@@ -1,11 +1,11 @@
-"""Removal of byte strings that earlier documents hold, by distributed prefix doubling over names.
-
-Positions are named for growing lengths: the name of 16 bytes pairs the names at
-offsets 0 and 8, that of 24 bytes two of 16, that of 32 two of 16 at offset 16,
-that of 50 two of 32 at offset 18. Names are mixes of the pair and stand in for
-ranks, so any position is named without a shuffle; Spark's part in each round is
-to bring equal names together, drop positions whose name is unique, and rank the
-others by the smallest document that holds it.
+"""Removal of byte strings that earlier documents hold: content-chosen cells and two rounds in which Spark brings equal names together.
+
+This is not prefix doubling of all positions' ranks (see the README for what
+that costs). What is left of it is inside a task: a position is named for
+growing lengths, 16 bytes from the names at offsets 0 and 8, 24 from two of 16,
+32 from two of 16 at offset 16, 50 from two of 32 at offset 18. Names are mixes
+of the pair and stand in for ranks, so no position is named by a shuffle, and
+none has a dense rank.
 
 To have fewer rows than bytes, positions are handled in cells: all windows of
 ``LENGTH`` bytes whose smallest 24-byte name is at the same place (equal windows
