@@ -56,19 +56,18 @@ def table(n, langs, seed=1):
     return [(i, rnd.choice(["s", None, ""]), rnd.choice(langs), rnd.choice([i, None]), rnd.choice([None, "", "Ünd SO", "ABC", "abc", "x" * 1000]), "clash", 1) for i in rnd.sample(range(n), n)]
 
 
-@pytest.mark.parametrize(
-    "rows",
-    [
-        table(700, ["en", "en", "en", "de", "fr"]),
-        table(65, ["en"]),
-        table(1, [None]),
-        table(40, ["en", None, "", "é", "z", "Z", "de", "fr", "es", "pt", "it", "nl"]),
-        [*table(9, ["en"]), *table(9, ["en"]), (None, None, None, None, None, None, None), (None, "s", "en", 1, "T", "", 0), (None, "s", "en", 1, "T", "", 0), (-5, "s", "en", 1, "T", "", 0)],
-    ],
-    ids=["levels", "run of one", "lone leaf", "languages", "nulls and repeats"],
-)
-@pytest.mark.parametrize("levels", [1, 3])
-def test_same_as_plain_python(spark, rows, levels):
+CASES = {
+    "levels": table(700, ["en", "en", "en", "de", "fr"]),
+    "run of one": table(65, ["en"]),
+    "lone leaf": table(1, [None]),
+    "languages": table(40, ["en", None, "", "é", "z", "Z", "de", "fr", "es", "pt", "it", "nl"]),
+    "nulls and repeats": [*table(9, ["en"]), *table(9, ["en"]), (None, None, None, None, None, None, None), (None, "s", "en", 1, "T", "", 0), (None, "s", "en", 1, "T", "", 0), (-5, "s", "en", 1, "T", "", 0)],
+}
+
+
+@pytest.mark.parametrize(("case", "levels"), [("levels", 1), ("levels", 3), ("run of one", 3), ("lone leaf", 3), ("languages", 1), ("nulls and repeats", 3)])
+def test_same_as_plain_python(spark, case, levels):
+    rows = CASES[case]
     got = manifest(spark.createDataFrame(rows, SCHEMA).repartition(3), tampered_text(), levels=levels).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
 
