@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import attempts, audio, checks, ends, frames, registry, relations, routing, series, streams, tracks
+from .plans import attempts, audio, checks, ends, frames, records, registry, relations, routing, series, streams, tracks
 from .plans.frames import flagship
 
-MODULES = [frames, series, relations, routing, tracks, checks, ends, audio, streams, attempts]
+MODULES = [frames, series, relations, routing, tracks, checks, ends, audio, streams, attempts, records]
 
 
 def queries() -> dict:

@@ -132,3 +132,26 @@ def smooth_three(x: Column) -> Column:
     """.25, .5, .25 with the ends repeated."""
     at = lambda i: F.element_at(x, F.greatest(F.lit(1), F.least(F.size(x), i)).cast("int"))
     return F.transform(x, lambda v, i: 0.25 * at(i) + 0.5 * v + 0.25 * at(i + 2))
+
+
+def middle(x: Column) -> Column:
+    """The median of an array; null where it is empty."""
+    s, n = F.array_sort(x), F.size(x)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+
+
+def once(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def transient_rate(x: Column, rate: Column, times: float = 12.0, least: float = 0.025) -> Column:
+    """Jumps a second: first differences beyond ``times`` their robust scale (1.4826 of the median deviation), and beyond ``least``."""
+    steps = F.zip_with(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), lambda b, a: b - a)
+
+    def beyond(d: Column) -> Column:
+        off = once(middle(d), lambda m: F.transform(d, lambda v: F.abs(v - m)))
+        limit = F.greatest(F.lit(least), F.greatest(once(off, middle) * 1.4826, F.lit(1e-8)) * times)
+        return once(limit, lambda most: F.size(F.filter(d, lambda v: F.abs(v) > most)) / F.greatest(F.size(d), F.lit(1)))
+
+    return once(steps, beyond) * rate
