@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed transitions: (state, event) to state.
@@ -200,3 +200,50 @@ def follow(events: DataFrame, jobs_path: str, checkpoint: str, slots: int = 1, k
                 system.delete_dir(path)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+
+
+RECORD = "job_id long, seq long, status string, batch long"
+
+
+def recorded(spark: SparkSession, path: str, number: int, every: int) -> DataFrame:
+    """(job_id, seq, status, batch) of all jobs after micro-batch ``number``: the last compacted table, and the changes since."""
+    last = (number + 1) // every * every - 1
+    paths = [f"{path}/jobs/{last}"] * (last >= 0) + [f"{path}/changes/{k}" for k in range(last + 1, number + 1)]
+    if not paths:
+        return spark.createDataFrame([], RECORD)
+    rows = spark.read.schema(RECORD).parquet(*paths)
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("seq", "status", "batch"), "batch").alias("r")).select("job_id", "r.*")
+
+
+def record(events: DataFrame, path: str, checkpoint: str, slots: int = 1, every: int = 20):
+    """As ``follow``, but what a micro-batch writes is a record for each job that changed; returns the query's writer.
+
+    ``path``/changes/<number> has those records (job_id, seq, status, batch).
+    Each ``every`` micro-batches all jobs are written to ``path``/jobs/<number>,
+    and the changes before that table's predecessor go, so a look (``recorded``)
+    reads one table and fewer than ``every`` small ones. Names depend on the
+    micro-batch alone: one that is repeated, or a restart, writes the same.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = recorded(spark, path, number - 1, every)
+        told = folded(batch, "job_id", "seq").join(batch.groupBy("job_id").agg(F.min("seq").alias("new_seq")), "job_id")
+        both = before.join(told, "job_id", "full")
+        jobs = both.select("job_id", F.col("status").alias("was"), F.coalesce("seq", "new_seq").alias("seq"), state_after(F.coalesce("status", F.lit("WAITING")), F.col("maps")).alias("status"))
+        running = jobs.where("status = 'RUNNING'").count()
+        chosen = jobs.where("status = 'WAITING'").orderBy("seq", "job_id").limit(max(0, slots - running)).select("job_id", F.lit(True).alias("go"))
+        after = jobs.join(chosen, "job_id", "left").withColumn("status", F.when(F.col("go"), "RUNNING").otherwise(F.col("status")))
+        changed = after.where(~F.col("status").eqNullSafe(F.col("was"))).select("job_id", "seq", "status", F.lit(number).cast("long").alias("batch"))
+        changed.write.mode("overwrite").parquet(f"{path}/changes/{number}")
+        if (number + 1) % every:
+            return
+        all_ = recorded(spark, path, number - 1, every).unionByName(spark.read.schema(RECORD).parquet(f"{path}/changes/{number}"))
+        all_.groupBy("job_id").agg(F.max_by(F.struct("seq", "status", "batch"), "batch").alias("r")).select("job_id", "r.*").write.mode("overwrite").parquet(f"{path}/jobs/{number}")
+        system, root = fs.FileSystem.from_uri(path)
+        old = [f"{root}/changes/{k}" for k in range(number - 2 * every + 1, number - every + 1) if k >= 0] + [f"{root}/jobs/{number - 2 * every}"] * (number >= 2 * every)
+        for folder in old:
+            with contextlib.suppress(FileNotFoundError):
+                system.delete_dir(folder)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)

@@ -83,6 +83,23 @@ def test_looks_meet_ends(spark, tmp_path):
     assert [(x.job_id, x.status, x.current_track, x.error) for x in out] == [(1, "RUNNING", 2, None), (2, "RUNNING", 3, None), (3, "RUNNING", 4, None), (1, "COMPLETED", 15, None), (2, "FAILED", 6, "worker exited with code 1"), (3, "FAILED", 7, "no disk")]
 
 
+def test_records_follow_the_changes(spark, tmp_path):
+    """What is written is what changed, tables are compacted and old ones go, and a restart goes on from the records."""
+    schema = "job_id long, seq long, kind string"
+    parts = [[(k, k, "submit") for k in range(1, 6)], [(1, 10, "finish")], [(9, 11, "submit")], [(2, 12, "fail")], [(3, 13, "cancel"), (4, 14, "odd")]]
+    path, folder = f"file://{tmp_path}/jobs", tmp_path / "in"
+    changed = []
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{folder}")
+        stream = spark.readStream.schema(schema).parquet(f"file://{folder}")
+        queue.record(stream, path, f"file://{tmp_path}/cp", 1, every=2).trigger(availableNow=True).start().awaitTermination()
+        changed.append({r.job_id: r.status for r in spark.read.parquet(f"{path}/changes/{i}").collect()})
+    assert changed == [{1: "RUNNING", 2: "WAITING", 3: "WAITING", 4: "WAITING", 5: "WAITING"}, {1: "COMPLETED", 2: "RUNNING"}, {9: "WAITING"}, {2: "FAILED", 3: "RUNNING"}, {3: "CANCELLED", 4: "RUNNING"}]
+    now = {r.job_id: r.status for r in queue.recorded(spark, path, 4, 2).collect()}
+    assert now == {1: "COMPLETED", 2: "FAILED", 3: "CANCELLED", 4: "RUNNING", 5: "WAITING", 9: "WAITING"}
+    assert sorted(p.name for p in (tmp_path / "jobs/jobs").iterdir()) == ["1", "3"] and sorted(p.name for p in (tmp_path / "jobs/changes").iterdir()) == ["2", "3", "4"]
+
+
 @pytest.mark.parametrize("kind", ["start"])
 def test_output_has_a_row_for_each_batch_with_events(spark, tmp_path, kind):
     rows = [[("x", at(0), 1, kind)], [("x", at(1), 2, kind), ("y", at(1), 3, "odd")]]
