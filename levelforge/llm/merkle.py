@@ -134,7 +134,8 @@ def manifest(docs: DataFrame, claimed: Column | None = None, fanout: int = FANOU
     way up. ``folded_root``: from the leaf of ``claimed``, a column of texts
     held instead of ``text`` (without it: the leaf itself) and the siblings;
     ``verified`` is true if that is the root. Repeated rows have a leaf each. An
-    empty table gives no row. Texts are read once and stay in their task.
+    empty table gives no row. Texts are read twice (to sample ranges, and to sort
+    digests) and stay in their task.
     """
     five = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
     text = F.col("text")
