@@ -36,12 +36,12 @@ q AS (SELECT take, n_frames, i, greatest(-8388608, least(8388607, round_even(l *
 SELECT 'take-' || take || '.wav' AS name, i // 100 AS chunk, i // 100 * 100 AS start, n_frames, count(*) AS frames, round(sum(l), 6) AS left_sum, round(sum(r * r), 6) AS right_energy, round(max(abs(l)), 6) AS left_peak
 FROM q GROUP BY take, n_frames, i // 100""")
 def wav_round_trip(spark, sf_dir):
-    """Takes written as 24-bit WAV files, a commit for all, and read back in chunks of 100 frames, a few kilobytes to a task."""
+    """Takes written as 24-bit WAV files, a commit for all, and read back in chunks of 100 frames, 64 KiB of files to a task."""
     folder = shared_folder(spark)
     write_chunks(takes(spark, sf_dir), folder)
     x, y = F.col("channels")[0], F.col("channels")[1]
     add = lambda v, of: F.aggregate(v, F.lit(0.0), lambda s, a: s + of(a))
-    rows = read_chunks(spark, folder, chunk_frames=100, split_bytes=4096)
+    rows = read_chunks(spark, folder, chunk_frames=100, split_bytes=1 << 16)
     return rows.select(F.element_at(F.split("track_id", "/"), -1).alias("name"), "chunk", "start", "n_frames", F.size(x).cast("long").alias("frames"), F.round(add(x, lambda a: a), 6).alias("left_sum"), F.round(add(y, lambda a: a * a), 6).alias("right_energy"), F.round(F.array_max(F.transform(x, F.abs)), 6).alias("left_peak"))
 
 
