@@ -66,10 +66,19 @@ def compare(sources: DataFrame, processed: DataFrame, delays: DataFrame | None =
     return out.select("track_id", "issues", "warnings", "notes", R.gate_status(c("issues"), c("warnings")).alias("status"), R.disposition(c("issues"), c("warnings"), F.lit(True)).alias("disposition"))
 
 
+#: Frames that one task measures: each is half a second of samples there.
+TASK_FRAMES = 256
+
+
 def _tiled(spark, sf_dir) -> DataFrame:
-    """Frames as tracks: both sides repeated to half a second at 48 kHz."""
-    tile = lambda x: F.flatten(F.array_repeat(x, 750))
-    return frames(spark, sf_dir).repartition("vec_id").select(F.col("vec_id").cast("string").alias("track_id"), F.lit(48_000).alias("sample_rate"), F.array(tile("l"), tile("r")).alias("channels"))
+    """Frames as tracks: both sides, looped to half a second at 48 kHz. Tasks by the number of frames, as bytes say nothing of the work."""
+    f = frames(spark, sf_dir)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-f.count() // TASK_FRAMES))
+    return f.select("vec_id", "l", "r").repartition(tasks, "vec_id").select(F.col("vec_id").cast("string").alias("track_id"), F.lit(48_000).alias("sample_rate"), F.array("l", "r").alias("channels"), F.lit(750).alias("loops"))
+
+
+def _rendered(spark, sf_dir) -> DataFrame:
+    return _tiled(spark, sf_dir).withColumns({"warmth": F.lit(0.4), "body": F.lit(0.2), "saturation": F.lit(3.0), "density": F.lit(2.0)})
 
 
 @query()
@@ -82,7 +91,7 @@ def spectral_and_loudness(spark, sf_dir):
 def fullness_chain(spark, sf_dir):
     from ..operators.kernels import render_fullness
 
-    made = render_fullness(_tiled(spark, sf_dir).withColumns({"warmth": F.lit(0.4), "body": F.lit(0.2), "saturation": F.lit(3.0), "density": F.lit(2.0)}))
+    made = render_fullness(_rendered(spark, sf_dir))
     return made.select("track_id", F.round(db(A.peak(F.flatten("channels"))), 3).alias("peak_db"), F.round(db(A.rms(F.flatten("channels"))), 3).alias("rms_db"))
 
 
@@ -94,8 +103,8 @@ def spectral_invariants(spark, sf_dir):
     half = t.withColumn("channels", F.transform("channels", lambda x: F.transform(x, lambda v: v * 0.5)))
     names = ["lufs", "true_peak_db", "flatness", "high_ratio", "hum"]
     peak = F.array_max(F.transform("channels", A.peak))
-    a = spectral_metrics(t.withColumn("sample_peak", peak), ["sample_peak"])
-    b = spectral_metrics(half).select(F.col("track_id").alias("half_id"), *(F.col(n).alias(f"half_{n}") for n in names), F.col("bands").alias("half_bands"))
+    a = spectral_metrics(t.withColumn("sample_peak", peak), ["sample_peak"], [*names, "bands"])
+    b = spectral_metrics(half, measures=[*names, "bands"]).select(F.col("track_id").alias("half_id"), *(F.col(n).alias(f"half_{n}") for n in names), F.col("bands").alias("half_bands"))
     step = {n: F.round(F.col(n) - F.col(f"half_{n}"), 3) + 0.0 for n in names}
     band = F.round(F.col("bands")["500-1000Hz"] - F.col("half_bands")["500-1000Hz"], 3)
     over = F.col("true_peak_db") >= db(F.col("sample_peak")) - 1e-9
@@ -107,7 +116,7 @@ def fullness_invariants(spark, sf_dir):
     """What the fullness chain must keep: shape, a peak of at most 0.998, and the loudness, unless the peak held it down."""
     from ..operators.kernels import render_fullness
 
-    t = _tiled(spark, sf_dir).withColumns({"warmth": F.lit(0.4), "body": F.lit(0.2), "saturation": F.lit(3.0), "density": F.lit(2.0)})
+    t = _rendered(spark, sf_dir)
     made = render_fullness(t)
     peak = F.array_max(F.transform("channels", A.peak))
     shape = {"n_channels": F.size("channels"), "n_frames": F.array_min(F.transform("channels", F.size)), "peak": peak}
