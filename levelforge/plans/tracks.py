@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import db
 from ..operators import arrays as A
 from ..operators import rules as R
-from ..operators.kernels import spectral_metrics
+from ..operators.kernels import render_levels, spectral_metrics
 from .frames import BASE, _peak, frames
 from .registry import query
 
@@ -114,13 +114,6 @@ def spectral_invariants(spark, sf_dir):
 @query(BASE + "SELECT CAST(vec_id AS VARCHAR) AS track_id, 2 AS n_channels, 24000 AS n_frames, TRUE AS peak_held, TRUE AS loudness_held, TRUE AS finite FROM f")
 def fullness_invariants(spark, sf_dir):
     """What the fullness chain must keep: shape, a peak of at most 0.998, and the loudness, unless the peak held it down."""
-    from ..operators.kernels import render_fullness
-
-    t = _rendered(spark, sf_dir)
-    made = render_fullness(t)
-    peak = F.array_max(F.transform("channels", A.peak))
-    shape = {"n_channels": F.size("channels"), "n_frames": F.array_min(F.transform("channels", F.size)), "peak": peak}
-    after = spectral_metrics(made.withColumns(shape), list(shape))
-    before = spectral_metrics(t).select(F.col("track_id").alias("of"), F.col("lufs").alias("lufs_before"))
+    made = render_levels(_rendered(spark, sf_dir))
     held = (F.abs(F.col("lufs") - F.col("lufs_before")) < 0.01) | (F.col("peak") > 0.9979)
-    return after.join(before, F.col("track_id") == F.col("of")).select("track_id", "n_channels", "n_frames", (F.col("peak") <= 0.998 + 1e-9).alias("peak_held"), held.alias("loudness_held"), F.col("error").isNull().alias("finite"))
+    return made.select("track_id", "n_channels", "n_frames", (F.col("peak") <= 0.998 + 1e-9).alias("peak_held"), held.alias("loudness_held"), F.col("error").isNull().alias("finite"))
