@@ -89,10 +89,8 @@ def spectral_and_loudness(spark, sf_dir):
 
 @query()
 def fullness_chain(spark, sf_dir):
-    from ..operators.kernels import render_fullness
-
-    made = render_fullness(_rendered(spark, sf_dir))
-    return made.select("track_id", F.round(db(A.peak(F.flatten("channels"))), 3).alias("peak_db"), F.round(db(A.rms(F.flatten("channels"))), 3).alias("rms_db"))
+    made = render_levels(_rendered(spark, sf_dir), loudness=False)
+    return made.select("track_id", F.round(db(F.col("peak")), 3).alias("peak_db"), F.round(db(F.col("rms")), 3).alias("rms_db"))
 
 
 @query(f"""{BASE}g AS (SELECT CAST(vec_id AS VARCHAR) AS track_id, greatest({_peak('l')}, {_peak('r')}) AS p FROM f)
