@@ -83,8 +83,9 @@ def _rendered(spark, sf_dir) -> DataFrame:
 
 @query()
 def spectral_and_loudness(spark, sf_dir):
-    m = spectral_metrics(_tiled(spark, sf_dir))
-    return m.select("track_id", *(F.round(c, 3).alias(c) for c in ("lufs", "true_peak_db", "low_band_correlation", "high_ratio", "very_high_ratio", "flatness", "hum")), F.round(F.col("bands")["500-1000Hz"], 3).alias("mid_band_db"), "error")
+    names = ["lufs", "true_peak_db", "low_band_correlation", "high_ratio", "very_high_ratio", "flatness", "hum"]
+    m = spectral_metrics(_tiled(spark, sf_dir), measures=[*names, "bands"])
+    return m.select("track_id", *(F.round(c, 3).alias(c) for c in names), F.round(F.col("bands")["500-1000Hz"], 3).alias("mid_band_db"), "error")
 
 
 @query()
