@@ -129,12 +129,15 @@ CASE WHEN art THEN 'NEEDS_REVIEW' WHEN score >= 52 THEN 'MEDIUM_REPAIR' WHEN sco
 def noise_decision(spark, sf_dir):
     v = F.col("v")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    # Zero has a logarithm of minus infinity, as in SQL; Spark's is null. A mean of zero gives NaN.
+    log = F.when(v == 0, float("-inf")).when(v < 0, float("nan")).otherwise(F.ln(v))
+    flatness = lambda w, x: F.when(F.avg(x) == 0, float("nan")).otherwise(F.exp(F.avg(w)) / F.avg(x)) - 0.4
     start = F.greatest(F.lit(0), F.expr("n div 2") - 4)
     middle = (F.col("i") > start) & (F.col("i") <= start + 8)
     part = lambda own, c: F.avg(F.when(own, F.when(c, 1.0).otherwise(0.0)))
-    flat = F.exp(F.avg(F.when(middle, F.ln(v)))) / F.avg(F.when(middle, v)) - 0.4
+    flat = flatness(F.when(middle, log), F.when(middle, v))
     body = [F.round(part(middle, v > 200), 6).alias("mid_high"), F.round(flat, 6).alias("mid_flat"), F.round(F.greatest(part(middle, v > 250), part(F.col("i") > F.col("n") - 8, v > 250)), 6).alias("body_very")]
-    u = series(spark, sf_dir).groupBy("user_id").agg(F.round(-30 + F.avg(F.when(F.col("i") <= 15, v)) / 10, 6).alias("rms"), share(v < 30).alias("quiet"), share(v > 200).alias("high"), share(v > 250).alias("very"), F.round(F.exp(F.avg(F.ln(v))) / F.avg(v) - 0.4, 6).alias("flat"), F.round(F.count_if(v > 300) / 10.0, 6).alias("clicks"), F.round(F.max(v) / 20, 6).alias("hum"), *body)
+    u = series(spark, sf_dir).groupBy("user_id").agg(F.round(-30 + F.avg(F.when(F.col("i") <= 15, v)) / 10, 6).alias("rms"), share(v < 30).alias("quiet"), share(v > 200).alias("high"), share(v > 250).alias("very"), F.round(flatness(log, v), 6).alias("flat"), F.round(F.count_if(v > 300) / 10.0, 6).alias("clicks"), F.round(F.max(v) / 20, 6).alias("hum"), *body)
     d = u.select("user_id", R.noise_decision(*(F.col(x) for x in ("rms", "quiet", "high", "very", "flat", "clicks", "hum", "mid_high", "mid_flat", "body_very"))).alias("d"))
     return d.select("user_id", F.round("d.score", 3).alias("score"), F.array_join("d.found", " / ").alias("found"), "d.decision")
 
