@@ -67,23 +67,17 @@ def half_even(x: Column, digits: int = 3) -> Column:
 def fixed(x: Column, digits: int, sign: bool = False) -> Column:
     """``x`` in ``digits`` decimals, the exact binary value rounded half to even, as printf does; ``sign`` shows a plus too.
 
-    Spark's format_string rounds the shortest decimal form half up. Here the
-    error of the product with 10^digits is worked out (Dekker's split), so it is
-    known on which side of a tie the value lies.
+    Spark's format_string rounds the shortest decimal form half up, and is slow;
+    a pattern of format_number rounds the exact value, but for a single 5 one
+    place beyond the last, which Java takes for a tie.
     """
-    k = 10.0**digits
-    c = x * 134217729.0
-    high = c - (c - x)
-    product = x * k
-    error = (high * k - product) + (x - high) * k
-    whole = F.floor(product).cast("double")
-    rest = product - whole
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1.0))))
-    nearest = whole + F.when(up, 1.0).otherwise(0.0)
-    text = F.format_string(f"%.{digits}f", F.abs(nearest) / k)
-    prefix = F.when((x < 0) | (nearest < 0), "-").otherwise("+" if sign else "")
+    half = float(f"5e-{digits + 1}")
+    text = F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
+    text = F.when(x == half, f"{half:.{digits}f}").when(x == -half, f"{-half:.{digits}f}").otherwise(text)
+    if sign:
+        text = F.concat(F.when(text.startswith("-"), "").otherwise("+"), text)
     odd = F.when(F.isnan(x), "nan").when(x == INF, "+inf" if sign else "inf").when(x == -INF, "-inf")
-    return F.when(x.isNotNull(), F.coalesce(odd, F.concat(prefix, text)))
+    return F.when(x.isNotNull(), F.coalesce(odd, text))
 
 
 def metric_text(x: Column) -> Column:
